@@ -10,8 +10,8 @@ The range join runs on a grid over that embedding. Each grid spans a few segment
 generator; its cells are one count wide, and two fingerprints are compared where they share a cell.
 The number of segments grows with the logarithm of the number of fingerprints, so a cell holds a
 bounded number of unrelated ones, and the number of grids follows from the recall wanted at the
-design distance. Pairs from a cell pass the Manhattan bound over all segments first (evaluated on
-packed 32-bit segments' counts), then the exact Hamming distance decides. No pair is capped.
+design distance. Pairs from a cell must pass the Manhattan bound first (over the whole fingerprint, on
+32-bit segments), then the exact Hamming distance decides. No pair is capped.
 
 Groups are the connected components of the pairs within ``MAX_DISTANCE``. The kept row of a group has
 the least doc_id (nulls last, then the row's content hash).
@@ -45,8 +45,9 @@ MIN_WORDS = 8
 #: Distance for which RECALL is the least share of pairs found; nearer pairs are found more often.
 DESIGN_DISTANCE = 16
 RECALL = 0.95
-#: Unrelated fingerprints that a cell may hold on average, as a power of two.
-CELL_POWER = 5
+#: Unrelated fingerprints that a cell may hold on average, as a power of two. Comparing two takes nanoseconds,
+#: another grid a row for every fingerprint: cells are worth filling until comparisons cost as much as rows.
+CELL_POWER = 9
 #: -log2 of the chance that two unrelated 2-bit segments have equal counts: 1/16 + 1/4 + 1/16.
 SEGMENT_POWER = -math.log2(0.375)
 SEED = 20240229
@@ -85,12 +86,21 @@ def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
-def grid_plan(n: int) -> tuple[int, int]:
-    """(segments in a grid, number of grids) for n distinct fingerprints."""
-    segments = max(4, round((math.log2(max(n, 2)) - CELL_POWER) / SEGMENT_POWER))
+def grid_plan(n: int) -> list[int]:
+    """Segments of each grid, for n distinct fingerprints.
+
+    The number of segments that keeps cells filled to CELL_POWER is rarely whole: some grids take one more.
+    Grids are added until a pair at DESIGN_DISTANCE shares a cell in one of them with probability RECALL.
+    """
+    wanted = max(4.0, (math.log2(max(n, 2)) - CELL_POWER) / SEGMENT_POWER)
     q = DESIGN_DISTANCE / BITS
-    same = ((1 - q) ** 2 + q * q / 2) ** segments
-    return segments, math.ceil(math.log(1 - RECALL) / math.log(1 - same))
+    same = (1 - q) ** 2 + q * q / 2
+    plan, missed = [], 1.0
+    while missed > 1 - RECALL:
+        k = len(plan) + 1
+        plan.append(math.floor(wanted * k + 1e-9) - math.floor(wanted * (k - 1) + 1e-9))
+        missed *= 1 - same ** plan[-1]
+    return plan
 
 
 def segment_counts(half: str, segments: list[int]) -> list[Column]:
@@ -100,10 +110,9 @@ def segment_counts(half: str, segments: list[int]) -> list[Column]:
 
 def cells(n: int) -> Column:
     """Array of one cell key per grid; a key packs the grid's number and its segments' counts in base 4."""
-    segments, grids = grid_plan(n)
     rng = np.random.default_rng(SEED)
     keys = []
-    for g in range(grids):
+    for g, segments in enumerate(grid_plan(n)):
         chosen = sorted(int(x) for x in rng.choice(BITS // 2, segments, replace=False))
         counts = segment_counts("f1", [s for s in chosen if s < 32]) + segment_counts("f2", [s - 32 for s in chosen if s >= 32])
         low, high = F.lit(0).cast("long"), F.lit(0).cast("long")
@@ -117,30 +126,30 @@ def cells(n: int) -> Column:
 
 
 def coarse(half: str) -> list[Column]:
+    """Counts of a half's two 32-bit segments: sums of the fine segments' counts, hence a looser and cheaper bound."""
     x = F.col(half)
-    return [F.bit_count(x.bitwiseAND(F.lit(0xFFFFFFFF))).cast("byte"), F.bit_count(F.shiftrightunsigned(x, 32)).cast("byte")]
+    return [F.bit_count(x.bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_count(F.shiftrightunsigned(x, 32))]
 
 
 def near_pairs(prints: DataFrame, n: int) -> DataFrame:
     """Pairs (a1, a2, b1, b2, distance), a before b, of distinct fingerprints (f1, f2) within MAX_DISTANCE."""
-    c = [*coarse("f1"), *coarse("f2")]
-    rows = prints.select("f1", "f2", *[x.alias(f"c{i}") for i, x in enumerate(c)], F.explode(cells(n)).alias("cell"))
-    a = rows.select("cell", *[F.col(x).alias(f"a_{x}") for x in ("f1", "f2", "c0", "c1", "c2", "c3")])
-    b = rows.select("cell", *[F.col(x).alias(f"b_{x}") for x in ("f1", "f2", "c0", "c1", "c2", "c3")])
-    bound = sum((F.abs(F.col(f"a_c{i}").cast("int") - F.col(f"b_c{i}").cast("int")) for i in range(4)), F.lit(0))
-    distance = F.bit_count(F.col("a_f1").bitwiseXOR(F.col("b_f1"))) + F.bit_count(F.col("a_f2").bitwiseXOR(F.col("b_f2")))
-    before = (F.col("a_f1") < F.col("b_f1")) | ((F.col("a_f1") == F.col("b_f1")) & (F.col("a_f2") < F.col("b_f2")))
+    rows = prints.select("f1", "f2", F.explode(cells(n)).alias("cell"))
+    a = rows.select("cell", F.col("f1").alias("a1"), F.col("f2").alias("a2"))
+    b = rows.select("cell", F.col("f1").alias("b1"), F.col("f2").alias("b2"))
+    bound = sum((F.abs(x - y) for ha, hb in (("a1", "b1"), ("a2", "b2")) for x, y in zip(coarse(ha), coarse(hb))), F.lit(0))
+    distance = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    before = (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
     met = a.hint("merge").join(b, "cell").filter(before & (bound <= MAX_DISTANCE) & (distance <= MAX_DISTANCE))
-    return met.select(F.col("a_f1").alias("a1"), F.col("a_f2").alias("a2"), F.col("b_f1").alias("b1"), F.col("b_f2").alias("b2"), distance.alias("distance")).distinct()
+    return met.select("a1", "a2", "b1", "b2", distance.alias("distance")).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, root) for every node of the pairs (u, v): root is the least node of its component.
+    """(node, root) for every node of the distinct pairs (u, v), u and v not equal: root is the least node of its component.
 
     Alternating large-star and small-star contraction; each round is materialised, and the number of
     rounds grows with the logarithm of the longest chain.
     """
-    edges = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    edges = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
