@@ -65,6 +65,7 @@ def expand(found: DataFrame, edges: DataFrame, symbols: DataFrame, options: Opti
     # At most ``seeds`` rows are numbered in one task.
     seeds = seeds.withColumn("seed", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("id", "seed")
     near = F.broadcast(seeds)
+    edges = edges.select("source_id", "target_id")
     down = edges.join(near, F.col("source_id") == F.col("id")).select(F.col("target_id").alias("to"), "seed", F.lit(0.5).alias("s"), F.lit(0).alias("side"))
     up = edges.join(near, F.col("target_id") == F.col("id")).select(F.col("source_id").alias("to"), "seed", F.lit(0.4).alias("s"), F.lit(1).alias("side"))
     both = down.unionByName(up).groupBy("to").agg(F.min_by("s", F.struct("seed", "side")).alias("score"))
@@ -74,7 +75,7 @@ def expand(found: DataFrame, edges: DataFrame, symbols: DataFrame, options: Opti
 
 def named_neighbours(top: DataFrame, edges: DataFrame, symbols: DataFrame, own: str, other: str, limit: int, name: str) -> DataFrame:
     """id and the qualified names of up to ``limit`` callers or callees, by id."""
-    calls = edges.filter(F.col("kind").isin(*schema.CALLS)).join(F.broadcast(top.select(F.col("id").alias("_n"))), F.col(own) == F.col("_n"))
+    calls = edges.filter(F.col("kind").isin(*schema.CALLS)).select("source_id", "target_id").join(F.broadcast(top.select(F.col("id").alias("_n"))), F.col(own) == F.col("_n"))
     rows = calls.select("_n", F.col(other).alias("id")).join(symbols.select("id", "qualified_name"), "id")
     first = rows.withColumn("place", F.row_number().over(Window.partitionBy("_n").orderBy("id"))).filter(F.col("place") <= limit)
     return first.groupBy(F.col("_n").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "qualified_name"))), lambda x: x["qualified_name"]).alias(name))
