@@ -4,9 +4,9 @@ Candidates are runs of at least ``MIN_LENGTH`` characters of A-Z a-z 0-9 + / _ =
 models are trained from labelled samples: one for each kind of random string (lower and upper hexadecimal,
 base 32, base 62, base 64), drawn by a seeded generator, and one for ordinary strings: identifiers of the
 standard library, words of a bounded sample of documents, their usual joinings (snake, camel, upper case,
-paths), and plain numbers. A candidate is reported if the log-likelihood ratio of the likeliest random kind
-(kinds have equal weight) to the ordinary model exceeds ``LEAST_SCORE`` nats, the odds against a random
-string being a secret a priori.
+paths), plain numbers, and rules of one repeated character. A candidate is reported if the log-likelihood
+ratio of the likeliest random kind (kinds have equal weight) to the ordinary model exceeds ``LEAST_SCORE``
+nats, the odds against a random string being a secret a priori.
 
 Defined results
 * A null or empty text has no candidate and no line; a document has one line per find.
@@ -51,7 +51,7 @@ def random_samples(n: int, seed: int = SEED) -> list[list[str]]:
 
 
 def ordinary_samples(words: list[str], n: int, seed: int = SEED) -> list[str]:
-    """Labelled ordinary strings: n joinings of words, and a tenth as many numbers."""
+    """Labelled ordinary strings: n joinings of words, a tenth as many numbers, and rules of one repeated character."""
     rng = np.random.default_rng(seed + 1)
     names = [w for x in (sys.stdlib_module_names, dir(builtins), keyword.kwlist, *(dir(t) for t in (str, dict, list, int, np.ndarray))) for w in x]
     base = sorted({p for w in [*names, *words] for p in w.replace("_", " ").split() if p.isascii() and p.isalpha()})
@@ -59,7 +59,8 @@ def ordinary_samples(words: list[str], n: int, seed: int = SEED) -> list[str]:
     for style in rng.integers(0, 8, n):
         w = [base[i] for i in rng.integers(0, len(base), int(rng.integers(1, 6)))]
         out.append(("_".join(w).lower(), "".join(map(str.title, w)), "-".join(w), "/".join(w).lower(), "_".join(w).upper(), "".join(w).lower(), "=".join(w[:2]), "".join(w).upper())[style])
-    return out + ["".join(rng.choice(list("0123456789-"), int(rng.integers(4, 30)), p=[0.095] * 10 + [0.05])) for _ in range(n // 10)]
+    out += ["".join(rng.choice(list("0123456789-"), int(rng.integers(4, 30)), p=[0.095] * 10 + [0.05])) for _ in range(n // 10)]
+    return out + [c * int(rng.integers(4, 80)) for c in _CHARS for _ in range(n // 2000)]
 
 
 def train(samples: list[str], smooth: float) -> np.ndarray:
