@@ -43,7 +43,7 @@ BITS = 128
 MAX_DISTANCE = 20
 MIN_WORDS = 8
 #: Distance for which RECALL is the least share of pairs found; nearer pairs are found more often.
-DESIGN_DISTANCE = 16
+DESIGN_DISTANCE = 18
 RECALL = 0.95
 #: Unrelated fingerprints that a cell may hold on average, as a power of two. Comparing two takes nanoseconds,
 #: another grid a row for every fingerprint: cells are worth filling until comparisons cost as much as rows.
@@ -89,10 +89,11 @@ def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def grid_plan(n: int) -> list[int]:
     """Segments of each grid, for n distinct fingerprints.
 
-    The number of segments that keeps cells filled to CELL_POWER is rarely whole: some grids take one more.
+    The number of segments that keeps cells filled to CELL_POWER is rarely whole: some grids take one more. Few
+    fingerprints need none: one cell, in which all pairs meet.
     Grids are added until a pair at DESIGN_DISTANCE shares a cell in one of them with probability RECALL.
     """
-    wanted = max(4.0, (math.log2(max(n, 2)) - CELL_POWER) / SEGMENT_POWER)
+    wanted = max(0.0, (math.log2(max(n, 2)) - CELL_POWER) / SEGMENT_POWER)
     q = DESIGN_DISTANCE / BITS
     same = (1 - q) ** 2 + q * q / 2
     plan, missed = [], 1.0
