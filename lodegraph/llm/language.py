@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, hash_sample
 from .subword import Model, Spec, train
 
 LABELLED_ROWS = 3000
@@ -57,7 +57,7 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
 def fit(docs: DataFrame, rows: int = LABELLED_ROWS) -> Model | None:
     """A calibrated model, or None if no document carries a language."""
     slim = docs.select(col(docs, "doc_id").alias("id"), col(docs, "text").alias("t"), col(docs, "lang").alias("y")).filter("t is not null and y is not null")
-    got = slim.orderBy(F.xxhash64("id"), "id", "t", "y").limit(rows).collect()
+    got = hash_sample(slim, F.struct("id", "t"), rows).collect()
     if not got:
         return None
     part = np.arange(len(got)) % 4 == 3

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col, fresh, hash_sample
 from .subword import Model, Spec, train
 
 #: Bound on the labelled documents that the classifier is fitted to.
@@ -37,7 +37,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> t
     one = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     one = one.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("id", "y")
     # Twice the bound: labels may name documents that are not in the table.
-    pick = one.orderBy(F.xxhash64("id"), "id").limit(2 * rows)
+    pick = hash_sample(one, F.col("id"), 2 * rows)
     text = docs.select(col(docs, "doc_id").cast("long").alias("id"), col(docs, "text").alias("t")).filter("t is not null")
     found = text.join(F.broadcast(pick), "id").groupBy("id", "y").agg(F.min("t").alias("t"))
     got = found.orderBy(F.xxhash64("id"), "id").limit(rows).collect()

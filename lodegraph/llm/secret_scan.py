@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, hash_sample
 from .textvec import codes, owners, slices, spans
 
 MIN_LENGTH = 20
@@ -122,7 +122,8 @@ class Scanner:
 
 
 def fit(docs: DataFrame) -> Scanner:
-    rows = docs.select(col(docs, "text").alias("t"), F.xxhash64(col(docs, "doc_id"), col(docs, "text")).alias("h")).filter("t is not null").orderBy("h", "t").limit(SAMPLE_ROWS).collect()
+    slim = docs.select(col(docs, "doc_id").alias("id"), col(docs, "text").alias("t")).filter("t is not null")
+    rows = hash_sample(slim, F.struct("id", "t"), SAMPLE_ROWS).collect()
     return Scanner(sorted({w.strip(".,;:!?") for r in rows for w in r["t"].split()}))
 
 
