@@ -45,7 +45,7 @@ def features(texts: list[str | None], spec: Spec) -> tuple[np.ndarray, np.ndarra
         # A word followed by itself is one feature whatever the word: repetition is learned as such.
         hashes.append(np.where(a == b, np.uint64(0xD0B1E), mix(a * np.uint64(3) + b)))
         docs.append(doc[1:][same])
-    if len(cp) > 2:
+    if len(cp) > 1:
         edge = np.where(space, 32, cp).astype(np.uint64)
         word_of = np.cumsum(space)
         lead = np.empty(len(cp) + 1, np.uint64)

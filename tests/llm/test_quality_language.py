@@ -12,25 +12,27 @@ SF01 = SF.replace("sf0.001", "sf0.01")
 
 
 def brute_features(text, spec):
-    """Feature strings of one text, by loops."""
+    """Features of one text, by loops: words, pairs of words, and n-grams of each word between spaces."""
     words = text.split()
-    out = list(words)
-    out += ["same" if a == b else f"{a} {b}" for a, b in zip(words, words[1:])]
+    out = [("word", w) for w in words]
+    out += [("same",) if a == b else ("pair", a, b) for a, b in zip(words, words[1:])]
     for w in words:
         padded = f" {w} "
-        out += [padded[i : i + n] for n in spec.chars for i in range(len(padded) - n + 1)]
+        out += [("gram", padded[i : i + n]) for n in spec.chars for i in range(len(padded) - n + 1)]
     return out
 
 
 def test_features_equal_loops():
     """Vectorised features fall together exactly as the strings they stand for do."""
     spec = Spec(buckets=1 << 40, chars=(3, 4))
-    texts = ["the cat cat sat", "", None, "a bb ccc", "ünï cödé 数据"]
+    texts = ["the cat cat sat", "", None, "a", "a bb ccc", "ünï cödé 数据", "x  y\n\nz"]
     d, f = features(texts, spec)
     for i, t in enumerate(texts):
         own = sorted(np.unique(f[d == i], return_counts=True)[1].tolist())
         want = brute_features(t or "", spec)
         assert own == sorted(want.count(x) for x in set(want))
+        alone = features([t], spec)[1]
+        assert sorted(alone.tolist()) == sorted(f[d == i].tolist())  # whatever else is in the batch
 
 
 def test_scores_are_the_softmax_of_the_mean_vector():
