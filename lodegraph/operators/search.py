@@ -19,10 +19,11 @@ LIMIT = 20
 
 
 def build_postings(symbols: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """id, token, tf, size: occurrences of each token of a symbol, and the symbol's tokens in all."""
+    """id, token, tf, size: occurrences of each token of a symbol, and the symbol's tokens in all. One shuffle, by symbol."""
     tokens = F.concat(*[fts_tokens(F.col(f)) for f in fields])
-    rows = symbols.select("id", tokens.alias("t")).select("id", F.size("t").alias("size"), F.explode("t").alias("token"))
-    return rows.groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    rows = symbols.select("id", *fields).repartition("id").select("id", tokens.alias("t")).select("id", F.size("t").alias("size"), F.explode_outer("t").alias("token"))
+    # explode_outer and a filter after it: explode would have the optimizer tokenise twice, to drop empty arrays first.
+    return rows.filter("token is not null").groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
 
 
 def bm25(symbols: DataFrame, postings: DataFrame, terms: DataFrame) -> DataFrame:

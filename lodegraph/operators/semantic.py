@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens
@@ -13,16 +13,17 @@ LIMIT = 20
 
 
 def token_counts(symbols: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """node_id, source (field), token, n."""
+    """node_id, source (field), token, n. The fields move once, by symbol; all counts within a symbol then stay in place."""
     parts = F.explode(F.array(*[F.struct(F.lit(f).alias("source"), index_tokens(F.col(f)).alias("tokens")) for f in fields]))
-    rows = symbols.select(F.col("id").alias("node_id"), parts.alias("p")).select("node_id", "p.source", F.explode("p.tokens").alias("token"))
+    rows = symbols.select(F.col("id").alias("node_id"), *fields).repartition("node_id")
+    rows = rows.select("node_id", parts.alias("p")).select("node_id", "p.source", F.explode("p.tokens").alias("token"))
     return rows.groupBy("node_id", "source", "token").agg(F.count("*").alias("n"))
 
 
 def term_frequency(counted: DataFrame) -> DataFrame:
     """node_id, token, tf, source: each count over the greatest of its symbol and field."""
-    most = counted.groupBy("node_id", "source").agg(F.max("n").alias("most"))
-    return counted.join(most, ["node_id", "source"]).select("node_id", "token", (F.col("n") / F.col("most")).alias("tf"), "source")
+    most = F.max("n").over(Window.partitionBy("node_id", "source"))
+    return counted.select("node_id", "token", (F.col("n") / most).alias("tf"), "source")
 
 
 def document_frequency(counted: DataFrame) -> DataFrame:
