@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code
 from ..functions.text import INDEX_STOP_WORDS, QUERY_STOP_WORDS, fts_terms, index_tokens, query_keywords
-from ..operators import analysis, context, graph, lookup, resolve, search, semantic
+from ..operators import analysis, context, extract, graph, lookup, resolve, search, semantic
 from ..schema import CYCLE, DEAD_KINDS, HOTSPOT_KINDS, IMPACT, MEMBER, edge_id, node_id
 from ..sources import files as sources_files
 from ..sources import fixtures as fx
@@ -505,7 +505,21 @@ def context_(s, d):  # noqa: ANN001, ANN201
     return out.select("place", "id", "score", "name", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"), "searched")
 
 
-@query("reference_resolution")
+_RESOLVED = rf"""WITH {SUPPLY}, sized AS (SELECT id, list_filter(string_split_regex(lower(strip_accents(concat_ws(' ', name, qualified_name, signature, docstring))), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) > 0) AS t FROM symbols),
+    postings AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(t) AS token FROM sized) AS x GROUP BY ALL), names AS (SELECT q, string_split(q, ' ') AS t FROM (SELECT DISTINCT p_name AS q FROM part) AS x),
+    terms AS (SELECT q, i AS no, t[i] AS term, i = len(t) AS is_prefix FROM names, unnest(range(1, len(t) + 1)) AS r(i)), per_term AS (SELECT q, no, id, sum(tf) AS f FROM postings JOIN terms ON token = term OR (is_prefix AND starts_with(token, term)) GROUP BY ALL),
+    found AS (SELECT q, no, count(*) AS n_i FROM per_term GROUP BY ALL), a AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM sized),
+    scored AS (SELECT q, id, sum((CASE WHEN n - n_i + 0.5 <= n_i + 0.5 THEN 1e-6 ELSE ln((n - n_i + 0.5) / (n_i + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(t) / avgdl))) AS score, count(*) AS got FROM per_term JOIN found USING (q, no) JOIN sized USING (id), a GROUP BY ALL),
+    top AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS place FROM scored JOIN names USING (q) WHERE got = len(names.t) QUALIFY place <= 10),
+    refs AS (SELECT DISTINCT 's:' || l_suppkey AS source_id, p_name AS q FROM lineitem JOIN part ON l_partkey = p_partkey),
+    rated AS (SELECT r.source_id, r.q, c.id, CASE WHEN c.name = r.q THEN 10 ELSE 0 END + CASE WHEN o.file_path = c.file_path THEN 8 WHEN regexp_replace(o.file_path, '/[^/]*$', '') = regexp_replace(c.file_path, '/[^/]*$', '') THEN 5
+        ELSE least(3, list_sum(list_transform(list_zip(string_split(o.file_path, '/'), string_split(c.file_path, '/')), lambda p: CASE WHEN p[1] = p[2] THEN 1 ELSE 0 END))) END + CASE WHEN c.exported THEN 3 ELSE 0 END + CASE WHEN c.kind IN ('class', 'interface', 'module') THEN 2 ELSE 0 END AS points, c.file_path, place
+        FROM refs AS r JOIN symbols AS o ON o.id = r.source_id JOIN top USING (q) JOIN symbols AS c ON c.id = top.id),
+    won AS (SELECT source_id, id AS target_id FROM rated QUALIFY row_number() OVER (PARTITION BY source_id, q ORDER BY points DESC, length(file_path), place) = 1)
+    SELECT DISTINCT substr(sha256(source_id || '->' || target_id || ':imports'), 1, 16) AS id, source_id, target_id, 'imports' AS kind FROM won WHERE source_id <> target_id"""
+
+
+@query("reference_resolution", _RESOLVED)
 def reference_resolution(s, d):  # noqa: ANN001, ANN201
     """Every distinct part name as a reference from each supplier that ships such a part, resolved among the supply symbols."""
     parts = fx.table(s, d, "part").select("p_partkey", "p_name")
@@ -557,3 +571,28 @@ def watch_apply(s, d):  # noqa: ANN001, ANN201
     log = fx.table(s, d, "events").withColumnRenamed("user_id", "path")
     kept = watch.bursts(log, "1 hour", "event_id")
     return watch.latest(kept, "event_id").filter("event_type <> 'error'").select(F.col("path").alias("user_id"), "event_type")
+
+
+# Extraction: the tables hold no source code, so these read this package's own
+
+
+def _sources(s: SparkSession) -> DataFrame:
+    import os
+
+    return extract.parsed(sources_files.discover(s, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+@query("extract_symbols")
+def extract_symbols(s, d):  # noqa: ANN001, ANN201
+    """Symbols of this package's modules; the tests hold extraction against known trees."""
+    return extract.symbols(_sources(s)).drop("created_at", "updated_at", "metadata")
+
+
+@query("extract_contains")
+def extract_contains(s, d):  # noqa: ANN001, ANN201
+    return extract.contains(_sources(s)).drop("metadata")
+
+
+@query("extract_refs")
+def extract_refs(s, d):  # noqa: ANN001, ANN201
+    return extract.refs(_sources(s))
