@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BRANCHES = r"\b(if|else|for|while|switch|case|catch|&&|\|\||\?|match)\b"
-_IMPORTS = (r"""from\s+['"]([^'"]+)['"]""", r"""import\s+['"]([^'"]+)['"]""", r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)""", r"use\s+([\w:]+)")
+BRANCHES = r"\b(" + "|".join("case catch else for if match switch while".split() + [r"\?", r"\|{2}", "&{2}"]) + r")\b"
+_QUOTE, _QUOTED = r"""["']""", r"""([^"']+)"""
+#: Forms that name an import, in the order they are tried; group 1 is the path.
+IMPORTS = (rf"from\s+{_QUOTE}{_QUOTED}{_QUOTE}", rf"import\s+{_QUOTE}{_QUOTED}{_QUOTE}", rf"require\s*[(]\s*{_QUOTE}{_QUOTED}{_QUOTE}\s*[)]", r"use\s+([:\w]+)")
 
 
 def complexity(text: Column) -> Column:
@@ -27,7 +29,7 @@ def signature(text: Column) -> Column:
 
 def import_path(text: Column) -> Column:
     """The path that the first matching form of import names, else null."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in _IMPORTS])
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in IMPORTS])
 
 
 def qualified_name(file_path: Column, name: Column) -> Column:

@@ -363,7 +363,7 @@ def keyword_search_like(s, d):  # noqa: ANN001, ANN201
     return search.search(fx.part_symbols(s, d), "%").select("id", "score")
 
 
-@query("complexity_estimate", r"SELECT doc_id, CAST(least(1 + len(regexp_extract_all(text, '\b(if|else|for|while|switch|case|catch|&&|\|\||\?|match)\b')), 100) AS INTEGER) AS complexity FROM documents")
+@query("complexity_estimate", f"SELECT doc_id, CAST(least(1 + len(regexp_extract_all(text, '{code.BRANCHES}')), 100) AS INTEGER) AS complexity FROM documents")
 def complexity_estimate(s, d):  # noqa: ANN001, ANN201
     return fx.table(s, d, "documents").select("doc_id", code.complexity(F.col("text")).alias("complexity"))
 
@@ -374,7 +374,10 @@ def signature_extract(s, d):  # noqa: ANN001, ANN201
     return fx.table(s, d, "documents").select("doc_id", code.signature(F.col("text")).alias("signature"))
 
 
-@query("import_path_extract", r"""SELECT page_id, coalesce(nullif(regexp_extract(html, 'from\s+[''"]([^''"]+)[''"]', 1), ''), nullif(regexp_extract(html, 'import\s+[''"]([^''"]+)[''"]', 1), ''), nullif(regexp_extract(html, 'require\s*\(\s*[''"]([^''"]+)[''"]\s*\)', 1), ''), nullif(regexp_extract(html, 'use\s+([\w:]+)', 1), '')) AS path FROM pages""")
+_FORMS = ", ".join("nullif(regexp_extract(html, '" + p.replace("'", "''") + "', 1), '')" for p in code.IMPORTS)
+
+
+@query("import_path_extract", f"SELECT page_id, coalesce({_FORMS}) AS path FROM pages")
 def import_path_extract(s, d):  # noqa: ANN001, ANN201
     return fx.table(s, d, "pages").select("page_id", code.import_path(F.col("html")).alias("path"))
 
@@ -454,8 +457,8 @@ def keywords(s, d):  # noqa: ANN001, ANN201
 
 _TASK = "fix small ring Brand#13 widget"
 _SCORE = "(CASE WHEN lower(name) = k THEN 10 WHEN contains(lower(name), k) THEN 5 ELSE 0 END + CASE WHEN contains(lower(qualified_name), k) THEN 3 ELSE 0 END + CASE WHEN contains(lower(coalesce(signature, '')), k) THEN 2 ELSE 0 END + CASE WHEN contains(lower(coalesce(docstring, '')), k) THEN 2 ELSE 0 END)"
-_SCORED = f"""scored AS (SELECT id, CAST(sum({_SCORE}) + max(CASE WHEN exported THEN 2 ELSE 0 END) + max(CASE WHEN kind IN ('class', 'interface', 'component') THEN 1 ELSE 0 END)
-    + max(CASE WHEN regexp_matches(lower(name), '^(main|index|app|server|handler|controller|route|api)') THEN 1 ELSE 0 END) AS DOUBLE) AS score FROM symbols, (SELECT unnest(['small', 'ring', 'brand#13', 'widget']) AS k) AS words GROUP BY id)"""
+_SCORED = f"""scored AS (SELECT id, CAST(sum({_SCORE}) + max(CASE WHEN exported THEN 2 ELSE 0 END) + max(CASE WHEN kind IN ('class', 'component', 'interface') THEN 1 ELSE 0 END)
+    + max(CASE WHEN regexp_matches(lower(name), '^(api|app|controller|handler|index|main|route|server)') THEN 1 ELSE 0 END) AS DOUBLE) AS score FROM symbols, (SELECT unnest(['small', 'ring', 'brand#13', 'widget']) AS k) AS words GROUP BY id)"""
 
 
 @query("context_score", f"WITH {SUPPLY}, {_SCORED} SELECT id, score FROM scored")
