@@ -19,7 +19,7 @@ Defined results
   commonest (the least of several), is not indexed and has no line; nor has a null vec_id.
 * Rows with equal vec_ids count once, with the least vector. Equal vectors under different ids are neighbours
   at distance 0. A vector is not its own neighbour.
-* A table with one vector or none gives an empty result; with fewer than k + 1, all others are neighbours.
+* A table with one vector or none gives an empty result; one with k vectors or fewer gives what is found of the rest.
 * Extra columns are ignored, whatever their names.
 """
 
@@ -38,7 +38,7 @@ from .common import col, materialize, sized
 from .textvec import mix
 
 K = 10
-TABLES = 3
+TABLES = 2
 HASHES = 3
 PROBES = 10
 WIDTH = 2.0

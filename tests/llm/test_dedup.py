@@ -77,7 +77,8 @@ def edited(text, seed, share):
     return " ".join(prose(rnd.random(), 1) if rnd.random() < share else w for w in text.split())
 
 
-WIDE = [a + b for a in WORDS for b in WORDS] if (WORDS := [x + y for x in "bcdfgklm" for y in "aeiou"]) else []
+SYLLABLES = [x + y for x in "bcdfgklm" for y in "aeiou"]
+WIDE = [a + b for a in SYLLABLES for b in SYLLABLES]
 
 
 def test_lower_bound_and_fingerprint_by_loops():
