@@ -14,7 +14,8 @@ twice in the corpus, in other documents or the same one.
    form one string over the integers, whose suffix array is built by grouping: suffixes are grouped by their
    Lyndon prefixes, groups are processed in descending order with previous-smaller pointers, and the order
    within groups is then emitted along these pointers, without recursive renaming. A window is repeated if
-   it shares PASSAGE words with its neighbour in the suffix array.
+   it shares PASSAGE words with its neighbour in the suffix array. An anchor with over HOT_CONTEXTS distinct
+   contexts would not fit one task: its windows are grouped by 128-bit hashes instead, with the same result.
 4. Repeated windows go back to every run with that context, and are merged per document.
 
 Words are compared by 64-bit hashes in anchors and contexts (128 bits for a context's identity).
@@ -42,6 +43,8 @@ PASSAGE = 50
 ANCHOR = 20
 #: Contexts in a shard, on average; a shard's suffix array holds about 65 words of each.
 SHARD_CONTEXTS = 3000
+#: Anchors with more distinct contexts than a task should hold have their windows compared one by one.
+HOT_CONTEXTS = 20000
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +240,23 @@ def _search(shard: pa.Table) -> pa.Table:
     return pa.table({"anchor": shard.column("anchor").take(take), "context": shard.column("context").take(take), "off": pa.array(out[1], pa.int64()), "count": pa.array(out[2], pa.int64())})
 
 
+def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the contexts, as its place in the context and two hashes of its words."""
+    for batch in batches:
+        for i, packed in enumerate(batch.column(2).to_pylist()):
+            words = np.frombuffer(packed, np.uint64)
+            one, two = (gram_hashes(words, PASSAGE, seed).view(np.int64) for seed in (41, 43))
+            at = pa.array(np.full(len(one), i))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.arange(len(one))), pa.array(one), pa.array(two)], ["anchor", "context", "off", "h1", "h2"])
+
+
+def _contexts(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(anchor, context, words) of the contexts in ``asked``, read from the documents that ``one`` names."""
+    wanted = materialize(asked.groupBy("one.doc").agg(F.collect_list(F.struct("anchor", "context", "one.place")).alias("wanted")))
+    some = rows.select("doc", "text").join(sized(wanted.select("doc"), wanted.count(), 64), "doc", "left_semi").dropDuplicates(["doc"])
+    return some.join(wanted, "doc").select("text", "wanted").mapInArrow(_emit_words, "anchor long, context long, words binary")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start_word (from 0) and n_words of every maximal stretch of repeated passages."""
     text, doc_id = col(docs, "text"), col(docs, "doc_id")
@@ -247,15 +267,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     often = materialize(often)
     groups = often.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one"))
     groups = materialize(groups.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))))
-    asked = groups.filter("kinds > 1")
-    wanted = materialize(asked.groupBy("one.doc").agg(F.collect_list(F.struct("anchor", "context", "one.place")).alias("wanted")))
-    n_docs, n_contexts = wanted.count(), asked.count()
-    ids = wanted.select("doc")
-    some = rows.select("doc", "text").join(sized(ids, n_docs, 64), "doc", "left_semi").dropDuplicates(["doc"])
-    found = some.join(wanted, "doc").select("text", "wanted").mapInArrow(_emit_words, "anchor long, context long, words binary")
-    shards = max(1, -(-n_contexts // SHARD_CONTEXTS))
-    found = found.withColumn("shard", F.pmod(F.col("anchor"), F.lit(shards)))
+    asked = groups.filter((F.col("kinds") > 1) & (F.col("kinds") <= HOT_CONTEXTS))
+    shards = max(1, -(-asked.count() // SHARD_CONTEXTS))
+    found = _contexts(asked, rows).withColumn("shard", F.pmod(F.col("anchor"), F.lit(shards)))
     parts = found.groupBy("shard").applyInArrow(_search, "anchor long, context long, off long, count long")
+    hot = groups.filter(F.col("kinds") > HOT_CONTEXTS)
+    if hot.limit(1).count():
+        windows = materialize(_contexts(hot, rows).mapInArrow(_emit_windows, "anchor long, context long, off long, h1 long, h2 long"))
+        twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+        parts = parts.unionByName(windows.join(twice, ["h1", "h2"]).select("anchor", "context", "off", F.lit(1).cast("long").alias("count")))
     part = often.join(parts, ["anchor", "context"]).select("doc", (F.shiftright("place", 24) + F.col("off")).alias("s"), F.col("count"))
     whole = often.join(groups.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("doc", F.shiftright("place", 24).alias("s"), F.col("place").bitwiseAND(F.lit(0xFFFFFF)).alias("count"))
     hits = part.unionByName(whole).select("doc", "s", (F.col("s") + F.col("count") + PASSAGE - 1).alias("e"))

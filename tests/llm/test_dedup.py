@@ -178,9 +178,10 @@ def brute_stretches(rows, n=suffix_dedup.PASSAGE):
     return out
 
 
-@pytest.mark.parametrize("shard", [1, 3000])
-def test_passages_by_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "hot"), [(1, 20000), (3000, 20000), (3000, 4), (3000, 1)])
+def test_passages_by_brute_force(spark, monkeypatch, shard, hot):
     monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", shard)
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
     rnd = random.Random(8)
     shared = [prose(f"s{i}", k) for i, k in enumerate((49, 50, 51, 70, 120, 300))]
     rows = []
