@@ -1,7 +1,8 @@
 """The index: a stored graph kept equal to a tree of files, by full build, by sync, or by a stream of changes.
 
-References are stored as well. After a change, the references of the changed files and all those that might point into
-them are resolved again, so that an index after any number of syncs equals one that was built anew.
+References are stored as well. Only changed files are parsed again, but search ranks and inverse document frequencies
+depend on all symbols: after a change all references are resolved and the TF-IDF tables made anew, each name once, so
+that an index after any number of syncs equals one that was built from nothing.
 """
 
 from __future__ import annotations
