@@ -74,11 +74,11 @@ def bags(texts: list[str | None], spec: Spec) -> list[tuple[np.ndarray, np.ndarr
     for a, b in slices(texts):
         d, f = features(texts[a:b], spec)
         key, count = np.unique(d * spec.buckets + f, return_counts=True)
-        d, f = key // spec.buckets, key % spec.buckets
+        d, f = key // spec.buckets, (key % spec.buckets).astype(np.int32)
         cut = np.searchsorted(d, np.arange(b - a + 1))
         for i in range(b - a):
             n = count[cut[i] : cut[i + 1]].astype(np.float32)
-            out.append((f[cut[i] : cut[i + 1]], n / max(n.sum(), 1)))
+            out.append((f[cut[i] : cut[i + 1]].copy(), n / np.float32(max(n.sum(), 1))))
     return out
 
 
