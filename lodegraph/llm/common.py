@@ -13,8 +13,11 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    """A table; with a key, one whose files make fewer scan tasks than there are cores is spread over them by it."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if key and df.rdd.getNumPartitions() < cores else df
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

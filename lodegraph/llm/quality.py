@@ -29,7 +29,7 @@ from .subword import Model, Spec, train
 LABELLED_ROWS = 3000
 #: Least probability of being good at which a document stays.
 LEAST_SCORE = 0.3
-SPEC = Spec(buckets=1 << 16, dim=16, chars=(3, 4), pairs=True, rate=1.0, epochs=8)
+SPEC = Spec(buckets=1 << 16, dim=16, chars=(3, 4), pairs=True, rate=1.0, epochs=5)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[list[str], list[int]]:

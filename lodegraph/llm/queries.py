@@ -12,16 +12,16 @@ from .common import table
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_quality_classifier": lambda s, d: quality.classify(table(s, d, "documents"), table(s, d, "labels")),
-        "op2_exact_dedup": lambda s, d: exact_dedup.exact_duplicates(table(s, d, "documents")),
-        "op3_simhash_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents")),
-        "op4_language_id": lambda s, d: language.identify(table(s, d, "documents")),
-        "op5_secret_scan": lambda s, d: secret_scan.scan(table(s, d, "documents")),
-        "op6_suffix_array_dedup": lambda s, d: suffix_dedup.repeated_passages(table(s, d, "documents")),
+        "op1_quality_classifier": lambda s, d: quality.classify(table(s, d, "documents", "doc_id"), table(s, d, "labels")),
+        "op2_exact_dedup": lambda s, d: exact_dedup.exact_duplicates(table(s, d, "documents", "doc_id")),
+        "op3_simhash_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents", "doc_id")),
+        "op4_language_id": lambda s, d: language.identify(table(s, d, "documents", "doc_id")),
+        "op5_secret_scan": lambda s, d: secret_scan.scan(table(s, d, "documents", "doc_id")),
+        "op6_suffix_array_dedup": lambda s, d: suffix_dedup.repeated_passages(table(s, d, "documents", "doc_id")),
         "op7_chat_formatting": lambda s, d: chat.format_chats(table(s, d, "conversations")),
-        "op8_source_mixing": lambda s, d: mixing.mixture(table(s, d, "documents")),
-        "op9_packing": lambda s, d: packing.pack(table(s, d, "documents")),
-        "op10_nearest_neighbours": lambda s, d: ann.neighbours(table(s, d, "embeddings")),
+        "op8_source_mixing": lambda s, d: mixing.mixture(table(s, d, "documents", "doc_id")),
+        "op9_packing": lambda s, d: packing.pack(table(s, d, "documents", "doc_id")),
+        "op10_nearest_neighbours": lambda s, d: ann.neighbours(table(s, d, "embeddings", "vec_id")),
     }
 
 
