@@ -289,7 +289,9 @@ def _tokens_sql(text: str) -> str:
 
 @query("tokenize", f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_tokens_sql('text')}) AS token FROM documents) AS x GROUP BY token")
 def tokenize(s, d):  # noqa: ANN001, ANN201
-    rows = fx.table(s, d, "documents").select("doc_id", F.explode(index_tokens(F.col("text"))).alias("token"))
+    # Texts move once, by document; then only distinct tokens of each part move.
+    docs = fx.table(s, d, "documents").select("doc_id", "text").repartition("doc_id")
+    rows = docs.select("doc_id", F.explode_outer(index_tokens(F.col("text"))).alias("token")).filter("token is not null")
     return rows.groupBy("token", "doc_id").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
