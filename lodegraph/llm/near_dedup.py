@@ -10,7 +10,7 @@ The range join runs on a grid over that embedding. Each grid spans a few segment
 generator; its cells are one count wide, and two fingerprints are compared where they share a cell.
 The number of segments grows with the logarithm of the number of fingerprints, so a cell holds a
 bounded number of unrelated ones, and the number of grids follows from the recall wanted at the
-design distance. Pairs from a cell must pass the Manhattan bound first (over the whole fingerprint, on
+greatest distance, measured over random pairs. Pairs from a cell must pass the Manhattan bound first (over the whole fingerprint, on
 32-bit segments), then the exact Hamming distance decides. No pair is capped.
 
 Groups are the connected components of the pairs within ``MAX_DISTANCE``. The kept row of a group has
@@ -43,8 +43,10 @@ BITS = 128
 MAX_DISTANCE = 20
 MIN_WORDS = 8
 #: Distance for which RECALL is the least share of pairs found; nearer pairs are found more often.
-DESIGN_DISTANCE = 18
+DESIGN_DISTANCE = MAX_DISTANCE
 RECALL = 0.95
+#: Random pairs over which the share found is measured.
+TRIALS = 1 << 16
 #: Unrelated fingerprints that a cell may hold on average, as a power of two. Comparing two takes nanoseconds,
 #: another grid a row for every fingerprint: cells are worth filling until comparisons cost as much as rows.
 CELL_POWER = 9
@@ -86,43 +88,64 @@ def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
-def grid_plan(n: int) -> list[int]:
-    """Segments of each grid, for n distinct fingerprints.
+def shared_segments(distance: int, seed: int) -> np.ndarray:
+    """For TRIALS random pairs at the distance, the segments of equal counts as bits of a uint64, segment 0 lowest."""
+    rng = np.random.default_rng(seed)
+    flips = np.zeros((TRIALS, BITS), np.int8)
+    np.put_along_axis(flips, np.argsort(rng.random((TRIALS, BITS)), axis=1)[:, :distance], 1, axis=1)
+    n = flips.reshape(TRIALS, BITS // 2, 2).sum(2)
+    # Two flips turn 01 and 10 into each other, but 00 and 11 too.
+    same = (n == 0) | ((n == 2) & (rng.random(n.shape) < 0.5))
+    return np.packbits(same, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
+
+
+def grid_plan(n: int) -> list[list[int]]:
+    """Segments (0 to 63) of each grid, for n distinct fingerprints.
 
     The number of segments that keeps cells filled to CELL_POWER is rarely whole: some grids take one more. Few
-    fingerprints need none: one cell, in which all pairs meet.
-    Grids are added until a pair at DESIGN_DISTANCE shares a cell in one of them with probability RECALL.
+    fingerprints need none: one cell, in which all pairs meet. Segments are dealt from shuffled decks, so that grids
+    overlap little.
+    The segments of a pair share its flipped bits, hence grids don't miss it independently: the share missed is
+    counted over random pairs at DESIGN_DISTANCE. Grids are added until that share, and three standard errors of
+    its measurement, leave RECALL.
     """
     wanted = max(0.0, (math.log2(max(n, 2)) - CELL_POWER) / SEGMENT_POWER)
-    q = DESIGN_DISTANCE / BITS
-    same = (1 - q) ** 2 + q * q / 2
-    plan, missed = [], 1.0
-    while missed > 1 - RECALL:
+    rng = np.random.default_rng(SEED)
+    missed = shared_segments(DESIGN_DISTANCE, SEED + 1)
+    most = TRIALS * (1 - RECALL) - 3 * math.sqrt(TRIALS * RECALL * (1 - RECALL))
+    plan: list[list[int]] = []
+    deck: list[int] = []
+    while len(missed) > most:
         k = len(plan) + 1
-        plan.append(math.floor(wanted * k + 1e-9) - math.floor(wanted * (k - 1) + 1e-9))
-        missed *= 1 - same ** plan[-1]
+        size = math.floor(wanted * k + 1e-9) - math.floor(wanted * (k - 1) + 1e-9)
+        if len(deck) < size:
+            deck = rng.permutation(BITS // 2).tolist()
+        plan.append(sorted(deck[:size]))
+        deck = deck[size:]
+        mask = np.uint64(sum(1 << s for s in plan[-1]))
+        missed = missed[(missed & mask) != mask]
     return plan
 
 
-def segment_counts(half: str, segments: list[int]) -> list[Column]:
-    """Bit counts of 2-bit segments (0 to 31) of one 64-bit half."""
-    return [F.bit_count(F.shiftrightunsigned(F.col(half), 2 * s).bitwiseAND(F.lit(3))) for s in segments]
+def segment_counts(half: str) -> Column:
+    """The bit counts of the 2-bit segments (0 to 31) of one 64-bit half, each in its segment's place."""
+    x, low = F.col(half), F.lit(0x5555555555555555)
+    y = F.shiftrightunsigned(x, 1)
+    return x.bitwiseXOR(y).bitwiseAND(low).bitwiseOR(F.shiftleft(x.bitwiseAND(y).bitwiseAND(low), 1))
 
 
 def cells(n: int) -> Column:
-    """Array of one cell key per grid; a key packs the grid's number and its segments' counts in base 4."""
-    rng = np.random.default_rng(SEED)
+    """Array of one cell key per grid: the grid's number above 32 bits of a hash of its segments' counts.
+
+    Cells that the hash lets fall together are compared in vain, nothing more.
+    """
     keys = []
     for g, segments in enumerate(grid_plan(n)):
-        chosen = sorted(int(x) for x in rng.choice(BITS // 2, segments, replace=False))
-        counts = segment_counts("f1", [s for s in chosen if s < 32]) + segment_counts("f2", [s - 32 for s in chosen if s >= 32])
-        low, high = F.lit(0).cast("long"), F.lit(0).cast("long")
-        for i, c in enumerate(counts):
-            if i < 26:
-                low = low * 4 + c
-            else:
-                high = high * 4 + c
-        keys.append(F.xxhash64(F.lit(g), low, high) if segments > 22 else F.lit(g).cast("long") * (1 << 44) + low)
+        counts = []
+        for half, first in (("f1", 0), ("f2", 32)):
+            mask = sum(3 << 2 * (s - first) for s in segments if first <= s < first + 32)
+            counts.append(segment_counts(half).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
+        keys.append(F.xxhash64(*counts).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(g << 32).cast("long")))
     return F.array(*keys)
 
 

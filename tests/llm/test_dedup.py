@@ -108,6 +108,24 @@ def test_recall_of_pairs_against_brute_force(spark):
     assert all(r["distance"] == bin((r["a1"] ^ r["b1"]) & (2**64 - 1)).count("1") + bin((r["a2"] ^ r["b2"]) & (2**64 - 1)).count("1") <= 20 for r in got)
 
 
+@pytest.mark.parametrize("n", [300_000, 12_000_000])
+def test_recall_at_each_distance_in_the_plan_of_large_inputs(spark, n):
+    rng = np.random.default_rng(7)
+    rows, size = [], 2500
+    for distance in (12, 18, 19, 20):
+        a = rng.integers(0, 2, (size, 128), np.uint8)
+        b = a.copy()
+        for row in b:
+            row[rng.permutation(128)[:distance]] ^= 1
+        a, b = (np.packbits(x, axis=1).view(np.int64).tolist() for x in (a, b))
+        rows += [(distance, i, *x) for i in range(size) for x in (a[i], b[i])]
+    pairs = spark.createDataFrame(rows, "distance int, pair int, f1 long, f2 long").repartition(8)
+    met = pairs.select("distance", "pair", F.explode(near_dedup.cells(n)).alias("cell")).groupBy("distance", "pair", "cell").count().filter("count = 2")
+    found = {r["distance"]: r["n"] / size for r in met.groupBy("distance").agg(F.countDistinct("pair").alias("n")).collect()}
+    # Four standard errors of 2,500 pairs are 0.017.
+    assert found[20] >= 0.95 - 0.017 and found[20] < 1 and found[19] >= 0.95 and found[18] >= 0.95 and found[12] >= 0.99, found
+
+
 def test_components(spark):
     rnd = random.Random(4)
     arcs = {tuple(sorted(rnd.sample(range(400), 2))) for _ in range(250)} | {(i, i + 1) for i in range(500, 560)}
