@@ -89,30 +89,59 @@ def shortest_path(symbols: DataFrame, edges: DataFrame, start: str, end: str, de
 def cycles(edges: DataFrame, longest: int = 6, limit: int | None = 20) -> DataFrame:
     """Simple cycles of up to ``longest`` edges over the cycle kinds, each once: path (joined by >, closed), size, via.
 
+    A strongly connected component without such a cycle gives one of any length: a shortest through its least id.
     A cycle starts at its least id; ``via`` is the least kind of its closing edge. Edges outside strongly connected
-    components cannot lie on a cycle and are left out first.
+    components cannot lie on a cycle and are left out first. Cycles are found by rising size, up to the first size
+    at which there are ``limit``.
     """
     e = edges.filter(F.col("kind").isin(*schema.CYCLE)).groupBy(F.col("source_id").alias("u"), F.col("target_id").alias("v")).agg(F.min("kind").alias("kind"))
     e = materialize(e)
     scc = components(e.select("u", "v"))
     inside = e.join(scc.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u").join(scc.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v").filter("cu = cv")
-    inside = materialize(inside.select("u", "v", "kind"))
-    paths = inside.select(F.col("u").alias("root"), F.col("v").alias("at"), F.array("u").alias("path"), "kind").filter("at >= root")
-    found = []
+    inside = materialize(inside.select("u", "v", "kind", F.col("cu").alias("c")))
+    paths = inside.select("c", F.col("u").alias("root"), F.col("v").alias("at"), F.array("u").alias("path"), "kind").filter("at >= root")
+    found, n = [], 0
     for size in range(1, longest + 1):
         paths = materialize(paths)
-        found.append(paths.filter("at = root").select("path", "kind", F.lit(size).alias("size")))
+        found.append(paths.filter("at = root").select("c", "path", "kind", F.lit(size).alias("size")))
+        n += found[-1].count() if limit else 0
+        if limit and n >= limit:
+            break
         open_ = paths.filter("at > root")
         if size == longest or not open_.limit(1).count():
             break
         step = open_.join(inside.select(F.col("u").alias("at"), F.col("v").alias("next"), F.col("kind").alias("k")), "at")
         step = step.filter((F.col("next") >= F.col("root")) & ~F.array_contains(F.slice(F.concat("path", F.array("at")), 2, longest), F.col("next")))
-        paths = step.select("root", F.col("next").alias("at"), F.concat("path", F.array("at")).alias("path"), F.col("k").alias("kind"))
+        paths = step.select("c", "root", F.col("next").alias("at"), F.concat("path", F.array("at")).alias("path"), F.col("k").alias("kind"))
     all_ = reduce(DataFrame.unionByName, found)
+    if not limit or n < limit:
+        all_ = all_.unionByName(_one_cycle_each(materialize(inside.join(all_.select("c").distinct(), "c", "left_anti"))))
     named = all_.select(F.array_join(F.concat("path", F.array(F.col("path")[0])), ">").alias("cycle"), "size", F.col("kind").alias("via")).orderBy("size", "cycle")
     return named.limit(limit) if limit else named
 
 
+def _one_cycle_each(arcs: DataFrame) -> DataFrame:
+    """c, path, kind and size of the least of the shortest cycles through the node c, for each component c of arcs (u, v, kind, c).
+
+    Breadth first from all c at once; a component is done when it comes back to c.
+    """
+    spark = arcs.sparkSession
+    front = arcs.select("c").distinct().select("c", F.col("c").alias("at"), F.array().cast("array<string>").alias("path"))
+    seen, found = front.select("c", "at"), [spark.createDataFrame([], "c string, path array<string>, kind string, size int")]
+    depth = 0
+    while front.limit(1).count():
+        depth += 1
+        step = arcs.join(front.withColumnRenamed("at", "u"), ["c", "u"]).select("c", F.col("v").alias("at"), F.concat("path", F.array("u")).alias("path"), "kind")
+        step = materialize(step.groupBy("c", "at").agg(F.min(F.struct("path", "kind")).alias("least")).select("c", "at", "least.path", "least.kind"))
+        back = step.filter("at = c")
+        found.append(back.select("c", "path", "kind", F.lit(depth).alias("size")))
+        front = materialize(step.join(back.select("c"), "c", "left_anti").join(seen, ["c", "at"], "left_anti").select("c", "at", "path"))
+        seen = seen.unionByName(front.select("c", "at"))
+        if depth % 4 == 0:  # short lineage
+            seen, found = materialize(seen), [materialize(reduce(DataFrame.unionByName, found))]
+    return reduce(DataFrame.unionByName, found)
+
+
 def components(arcs: DataFrame) -> DataFrame:
     """Strongly connected components of (u, v): id and component, the component's least id.
 

@@ -102,6 +102,17 @@ def test_cycles(spark):
     assert {r["id"] for r in graph.scc_members(e).collect()} == {"a", "b", "c"}
 
 
+def test_components_of_long_cycles_are_reported(spark):
+    def ring(ids):
+        return [(a, b, "calls") for a, b in zip(ids, ids[1:] + ids[:1])]
+
+    seven, nine = [f"a{i}" for i in range(7)], [f"b{i}" for i in range(9)]
+    # b has cycles of 8 and 9 edges: the shortest counts.
+    arcs = ring(seven) + ring(nine) + [("b3", "b5", "extends"), ("a0", "b0", "calls"), ("x", "y", "calls"), ("y", "x", "calls")]
+    want = [("x>y>x", 2, "calls"), (">".join([*seven, "a0"]), 7, "calls"), (">".join([*nine[:4], *nine[5:], "b0"]), 8, "calls")]
+    assert [tuple(r) for r in graph.cycles(edges(spark, *arcs)).collect()] == want
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_graph(spark, seed):
     rnd = random.Random(seed)
