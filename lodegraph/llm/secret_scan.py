@@ -6,7 +6,10 @@ base 32, base 62, base 64), drawn by a seeded generator, and one for ordinary st
 standard library, words of a bounded sample of documents, their usual joinings (snake, camel, upper case,
 paths), plain numbers, and rules of one repeated character. A candidate is reported if the log-likelihood
 ratio of the likeliest random kind (kinds have equal weight) to the ordinary model exceeds ``LEAST_SCORE``
-nats, the odds against a random string being a secret a priori.
+nats, the odds against a random string being a secret a priori. Where the whole candidate isn't, the same is asked of
+its best segment of at least ``MIN_LENGTH`` characters, less the logarithm of the number of its segments: ordinary
+characters glued to a secret don't cancel it. It is reported up to the marks or ends around it that close its outer
+letters and digits. What is left on both sides of a reported segment is searched again.
 
 Defined results
 * A null or empty text has no candidate and no line; a document has one line per find.
@@ -37,6 +40,7 @@ SAMPLES = 20000
 SEED = 5
 
 _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_ALNUM = 62  # the symbols up to it are letters and digits, those above it marks
 _S = len(_CHARS) + 1  # symbol 0: before the first character
 _SYMBOL = np.zeros(129, np.int64)
 for _i, _c in enumerate(_CHARS):
@@ -95,10 +99,14 @@ class Scanner:
         n = SAMPLES
         self.table = np.stack([train(s, 40.0) for s in random_samples(n // len(KINDS))] + [train(ordinary_samples(words, n), 5.0)]).astype(np.float32)
 
-    def _ratio(self, c: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def _ratios(self, c: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """[kinds, characters]: what each character adds to the log-likelihood ratio of each kind."""
         one, two = _before(c, first)
-        total = np.add.reduceat(self.table[:, (two * _S + one) * _S + c].astype(np.float64), first, axis=1)
-        return total[:-1].max(0) - np.log(len(KINDS)) - total[-1]
+        each = self.table[:, (two * _S + one) * _S + c].astype(np.float64)
+        return each[:-1] - each[-1]
+
+    def _ratio(self, c: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self._ratios(c, first), first, axis=1).max(0) - np.log(len(KINDS))
 
     def score(self, strings: list[str]) -> np.ndarray:
         size = np.array([len(s) for s in strings])
@@ -115,10 +123,58 @@ class Scanner:
             return s, s, e, np.zeros(0)
         first = np.cumsum(e - s) - (e - s)
         at = np.arange(int((e - s).sum())) + np.repeat(s - first, e - s)
-        score = self._ratio(sym[at], first)
+        ratios = self._ratios(sym[at], first)
+        score = np.add.reduceat(ratios, first, axis=1).max(0) - np.log(len(KINDS))
         hit = score > LEAST_SCORE
-        doc = owners(starts, s[hit])
-        return doc, s[hit] - starts[doc], e[hit] - starts[doc], score[hit]
+        found = [(s[hit], e[hit], score[hit])]
+        # Parts of the other runs; what a found part leaves on both sides is searched again.
+        lo, hi = first[~hit], (first + e - s)[~hit]
+        mark, i = sym[at] > _ALNUM, np.arange(len(at))
+        left = np.maximum.accumulate(np.where(mark, i, -1)) + 1  # after the last mark
+        right = np.minimum.accumulate(np.where(mark, i, len(at))[::-1])[::-1]  # the next mark
+        while len(lo):
+            score, a, b = best_segments(ratios, lo, hi)
+            hit = score > LEAST_SCORE
+            lo, hi, a, b = lo[hit], hi[hit], a[hit], b[hit]
+            a = np.where(mark[a], a, np.maximum(lo, left[a]))
+            b = np.where(mark[b - 1], b, np.minimum(hi, right[b - 1]))
+            found.append((at[a], at[b - 1] + 1, score[hit]))
+            lo, hi = np.concatenate([lo, b]), np.concatenate([a, hi])
+            long = hi - lo >= MIN_LENGTH
+            lo, hi = lo[long], hi[long]
+        s, e, score = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(s)
+        s, e, score = s[order], e[order], score[order]
+        doc = owners(starts, s)
+        return doc, s - starts[doc], e - starts[doc], score
+
+
+def best_segments(ratios: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, start and end of the best segment of MIN_LENGTH characters or more in each piece [lo, hi) of the characters.
+
+    The score is the segment's ratio to the ordinary model, all segments of a piece being equally likely a priori.
+    """
+    size = hi - lo
+    first = np.cumsum(size) - size
+    piece = np.repeat(np.arange(len(lo)), size)
+    at = np.arange(int(size.sum())) + np.repeat(lo - first, size)
+    best, start, end = np.full(len(lo), -np.inf), lo.copy(), hi.copy()
+    where = np.arange(len(at))
+    fits = at + MIN_LENGTH <= hi[piece]
+    stop = np.minimum(at + MIN_LENGTH, hi[piece])
+    for ratio in ratios:
+        total = np.concatenate([[0.0], np.cumsum(ratio)])
+        # Each piece lies below the ones before it, so the running minimum starts anew with it.
+        low = total[at] - piece * (np.ptp(total) + 1)
+        begin = at[np.maximum.accumulate(np.where(low <= np.minimum.accumulate(low), where, 0))]
+        value = np.where(fits, total[stop] - total[begin], -np.inf)
+        top = np.maximum.reduceat(value, first)
+        at_top = np.flatnonzero(value == top[piece])
+        at_top = at_top[np.unique(piece[at_top], return_index=True)[1]]
+        better = top > best
+        best[better], start[better], end[better] = top[better], begin[at_top][better], stop[at_top][better]
+    starts = size - MIN_LENGTH + 1.0
+    return best - np.log(len(KINDS)) - np.log(starts * (starts + 1) / 2), start, end
 
 
 def fit(docs: DataFrame) -> Scanner:

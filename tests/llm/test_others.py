@@ -57,6 +57,37 @@ def test_finds_by_brute_force(scanner):
     assert got == want and len(got) == 20
 
 
+@pytest.mark.parametrize("prefix", [42, 80, 150])
+def test_secrets_glued_to_ordinary_text(scanner, prefix):
+    rnd = random.Random(prefix)
+    words = ["services", "config", "station", "reading", "deploy", "token", "internal", "settings"]
+    kinds = [("0123456789abcdef", 40), (secret_scan._CHARS[:62], 24), (secret_scan._CHARS[:64], 40)]
+
+    def path():
+        return "/".join(rnd.choice(words) for _ in range(prefix))[: prefix - 1] + "/"
+
+    for chars, size in kinds:
+        secrets = ["".join(rnd.choice(chars) for _ in range(size)) for _ in range(100)]
+        heads, tails = [path() for _ in secrets], ["/" + path() if i % 2 else "" for i in range(100)]
+        doc, s, e, score = scanner.find([h + x + t for h, x, t in zip(heads, secrets, tails)])
+        shared = [max(0, min(e[j], prefix + size) - max(s[j], prefix)) for j in range(len(doc))]
+        assert len({d for d, n in zip(doc, shared) if n >= 0.8 * size}) >= 95
+    assert len(scanner.find([path() for _ in range(300)])[0]) <= 1
+    # Two in one run are both found.
+    x, y = (f"{rnd.getrandbits(160):040x}" for _ in range(2))
+    text = path() + x + "/" + path() + path() + y
+    assert [any(w in text[a:b] for a, b in zip(*scanner.find([text])[1:3])) for w in (x, y)] == [True, True]
+
+
+def test_best_segments_by_loops(scanner):
+    rnd = np.random.default_rng(2)
+    ratios = rnd.normal(-0.1, 1, (5, 400))
+    lo, hi = np.array([0, 30, 120, 300]), np.array([20, 110, 260, 400])
+    for got, a, b, i, j in zip(*secret_scan.best_segments(ratios, lo, hi), lo, hi):
+        sums = {(r[x:y].sum(), x, y) for r in ratios for x in range(i, j) for y in range(x + secret_scan.MIN_LENGTH, j + 1)}
+        assert np.isclose(got, max(sums)[0] - math.log(5) - math.log(len(sums) / 5)) and (a, b) == max(sums)[1:]
+
+
 def test_secrets_in_documents(spark):
     """Every token of the table is found and nothing else is reported."""
     d = table(spark, SF.replace("0.001", "0.1"), "documents")
