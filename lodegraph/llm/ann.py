@@ -7,7 +7,8 @@ visited by rising cost, which is the order of estimated success.
 
 Every vector is a query. Members and probes of a bucket meet in one group, or in several where a bucket has more
 of either than a worker should hold: each block of members meets each block of probes, so nothing is left out.
-Distances within a group are one matrix product, and each query keeps its ``k`` nearest there. Its lists from all
+Distances within a group are one matrix product in single precision; all members that may be among a query's ``k``
+nearest within its error bound are measured exactly, and the query keeps its ``k`` nearest there. Its lists from all
 buckets and tables are merged, repeats dropped, and reranked by exact distance; ties go to the lower vec_id.
 
 Hashing sees the vectors divided by their mean norm, so WIDTH means the same for any unit. The defaults suit
@@ -44,6 +45,8 @@ PROBES = 10
 WIDTH = 2.0
 #: Members and probes that meet in one group at most, on average over the blocks of a bucket.
 MEMBER_BLOCK, PROBE_BLOCK = 1 << 14, 1 << 15
+#: Decimal places of a distance; those equal in them are ties.
+PLACES = 6
 #: Queries whose lists are merged together.
 MERGE = 4096
 SEED = 42
@@ -116,17 +119,31 @@ def nearest(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k:
     """For each query the k nearest members other than itself: ids and exact distances, -1 and inf where there are fewer."""
     k = min(k, len(ids))
     found, far = np.full((len(qids), k), -1, np.int64), np.full((len(qids), k), np.inf)
-    norm = (x * x).sum(1)
-    for a in range(0, len(qids), 512):
-        part, own = q[a : a + 512], qids[a : a + 512]
-        d = norm - 2 * (part @ x.T)
-        d[own[:, None] == ids] = np.inf
-        top = np.argpartition(d, k - 1, axis=1)[:, :k]
-        gap = x[top].astype(np.float64) - part[:, None, :]
-        dist = np.sqrt((gap * gap).sum(2))
-        self = own[:, None] == ids[top]
-        found[a : a + 512] = np.where(self, -1, ids[top])
-        far[a : a + 512] = np.where(self, np.inf, dist)
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm = (x * x).sum(1)
+        longest = np.sqrt((x.astype(np.float64) ** 2).sum(1).max())
+        for a in range(0, len(qids), 512):
+            part, own = q[a : a + 512], qids[a : a + 512]
+            d = norm - 2 * (part @ x.T)
+            self = own[:, None] == ids
+            d[self] = np.inf
+            top = np.argpartition(d, k - 1, axis=1)[:, :k]
+            # d lacks the query's squared length and is off by up to err: every member that may be among the k nearest is kept.
+            square = (part.astype(np.float64) ** 2).sum(1)
+            err = (x.shape[1] + 4) * 2.0**-23 * (longest + np.sqrt(square)) ** 2
+            kth = np.take_along_axis(d, top, 1).max(1).astype(np.float64)
+            limit = (np.sqrt(np.maximum(kth + square + err, 0)) + 10.0**-PLACES) ** 2 - square + err
+            near = ~(d > limit[:, None]) & ~self
+            gap = x[top].astype(np.float64) - part[:, None, :]
+            mine = np.take_along_axis(self, top, 1)
+            found[a : a + 512] = np.where(mine, -1, ids[top])
+            far[a : a + 512] = np.where(mine, np.inf, np.sqrt((gap * gap).sum(2)))
+            for i in np.flatnonzero(near.sum(1) > k):
+                c = np.flatnonzero(near[i])
+                gap = x[c].astype(np.float64) - part[i]
+                dist = np.sqrt((gap * gap).sum(1))
+                best = np.lexsort((ids[c], np.round(dist, PLACES)))[:k]
+                found[a + i], far[a + i] = ids[c[best]], dist[best]
     return found, far
 
 
@@ -138,7 +155,7 @@ def merged(qids: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> tuple[
     qids, ids, far = qids[order], ids[order], far[order]
     new = np.ones(len(qids), bool)
     new[1:] = (qids[1:] != qids[:-1]) | (ids[1:] != ids[:-1])
-    qids, ids, far = qids[new], ids[new], np.round(far[new], 6)
+    qids, ids, far = qids[new], ids[new], np.round(far[new], PLACES)
     order = np.lexsort((ids, far, qids))
     qids, ids, far = qids[order], ids[order], far[order]
     rank = np.arange(len(qids)) - np.searchsorted(qids, qids) + 1

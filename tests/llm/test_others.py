@@ -287,6 +287,19 @@ def test_recall(spark):
     assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
 
 
+@pytest.mark.parametrize("noise", [1e-3, 1e-4, 0])
+def test_nearest_in_tight_clusters(noise):
+    rng = np.random.default_rng(3)
+    x = (np.repeat(rng.standard_normal((6, 64)), 100, axis=0) + noise * rng.standard_normal((600, 64))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = rng.permutation(600).astype(np.int64)
+    found, far = ann.nearest(ids, x, ids, x, 10)
+    for i in range(600):
+        dist = np.round(np.sqrt(((x.astype(np.float64) - x[i]) ** 2).sum(1)), 6)
+        order = [j for j in np.lexsort((ids, dist)) if j != i][:10]
+        assert set(found[i]) == set(ids[order]) and sorted(np.round(far[i], 6)) == dist[order].tolist()
+
+
 def test_blocks_leave_nothing_out(spark, monkeypatch):
     e = table(spark, SF, "embeddings")
     one = sorted(tuple(r) for r in ann.neighbours(e).collect())
