@@ -448,6 +448,43 @@ def scc_members(s, d):  # noqa: ANN001, ANN201
     return graph.scc_members(fx.trade_edges(s, d))
 
 
+# The same over the whole graph: paths are too many for recursive SQL, so the tests hold these against plain Python.
+
+
+@query("dead_code_whole")
+def dead_code_whole(s, d):  # noqa: ANN001, ANN201
+    return analysis.dead_code(fx.whole_symbols(s, d), fx.whole_edges(s, d)).select("id", "name", "file_path")
+
+
+def _impact_whole(s: SparkSession, d: str) -> DataFrame:
+    return graph.impact(fx.whole_symbols(s, d), fx.whole_edges(s, d), "p:1")
+
+
+@query("impact_paths_whole")
+def impact_paths_whole(s, d):  # noqa: ANN001, ANN201
+    return _impact_whole(s, d).select("id", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query("impact_by_depth_whole")
+def impact_by_depth_whole(s, d):  # noqa: ANN001, ANN201
+    return graph.impact_by_depth(_impact_whole(s, d))
+
+
+@query("shortest_path_whole")
+def shortest_path_whole(s, d):  # noqa: ANN001, ANN201
+    return graph.shortest_path(fx.whole_symbols(s, d), fx.whole_edges(s, d), "r:0", "p:1")
+
+
+@query("circular_deps_whole")
+def circular_deps_whole(s, d):  # noqa: ANN001, ANN201
+    return graph.cycles(fx.whole_edges(s, d))
+
+
+@query("scc_members_whole")
+def scc_members_whole(s, d):  # noqa: ANN001, ANN201
+    return graph.scc_members(fx.whole_edges(s, d))
+
+
 # Context and resolution
 
 

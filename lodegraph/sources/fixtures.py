@@ -2,7 +2,8 @@
 
 SUPPLY: regions, nations, suppliers, customers and parts as symbols; containment, calls (customer to supplier
 through orders) and imports (supplier to part) as edges. TRADE: nations, each calling the two nations whose
-suppliers it buys from most. TEXT: documents as symbols and as files.
+suppliers it buys from most. WHOLE, in Spark only: SUPPLY with the nations as in TRADE and a call from each nation to
+every other one it buys from. TEXT: documents as symbols and as files.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ _TRADE = """
             FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
             WHERE c_nationkey <> s_nationkey GROUP BY 1, 2) AS pairs) AS placed
     WHERE place <= 2"""
+_ALL_TRADE = """
+    SELECT DISTINCT concat('n:', c_nationkey) AS source_id, concat('n:', s_nationkey) AS target_id, 'calls' AS kind
+    FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
+    WHERE c_nationkey <> s_nationkey"""
 _TRADE_SYMBOLS = "SELECT concat('n:', n_nationkey) AS id, 'function' AS kind, n_name AS name, concat('nations/', n_name) AS file_path, n_nationkey + 1 AS start_line, n_regionkey > 1 AS exported FROM {nation}"
 
 
@@ -58,6 +63,15 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _views(spark, sf_dir, _TRADE, "lineitem orders customer supplier")
 
 
+def whole_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = trade_symbols(spark, sf_dir)
+    return supply_symbols(spark, sf_dir).filter("kind <> 'namespace'").select(nations.columns).unionByName(nations)
+
+
+def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supply_edges(spark, sf_dir).unionByName(_views(spark, sf_dir, _ALL_TRADE, "lineitem orders customer supplier"))
+
+
 def text_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as symbols: name source, qualified name language.source, signature first line, docstring whole text."""
     d = table(spark, sf_dir, "documents")
