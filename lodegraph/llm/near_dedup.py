@@ -1,58 +1,96 @@
 """SimHash near-duplicate removal over a segment-popcount embedding.
 
-A text's fingerprint has 128 bits: its distinct words (lower case, letters and digits) vote on every
-bit with a weight that grows with their length. Cut into 2-bit segments, a fingerprint becomes the
-vector of its segments' bit counts. Flipping one bit moves one count by one, so the Manhattan
-distance of two such vectors never exceeds the Hamming distance of the fingerprints: it bounds it
-from below.
-
-The range join runs on a grid over that embedding. Each grid spans a few segments drawn by a seeded
-generator; its cells are one count wide, and two fingerprints are compared where they share a cell.
-The number of segments grows with the logarithm of the number of fingerprints, so a cell holds a
-bounded number of unrelated ones, and the number of grids follows from the recall wanted at the
-greatest distance, measured over random pairs. Pairs from a cell must pass the Manhattan bound first (over the whole fingerprint, on
-32-bit segments), then the exact Hamming distance decides. No pair is capped.
-
-Groups are the connected components of the pairs within ``MAX_DISTANCE``. The kept row of a group has
-the least doc_id (nulls last, then the row's content hash).
+A text's fingerprint has 128 bits: its distinct words (lower case, letters and digits) vote on every bit with a
+weight that grows with their length. Scripts written without spaces vote by pairs of neighbouring characters, and
+texts of fewer than ``MIN_WORDS`` words by their letters' trigrams: a word more or less would be all or nothing there.
+
+All pairs of distinct fingerprints within Hamming distance ``MAX_DISTANCE`` are found, none is left to chance:
+
+1. The bits are cut into ``GROUPS`` groups with radii that add up to MAX_DISTANCE - GROUPS + 1. A pair within the
+   distance is within the radius in one group at least, else its distance were greater.
+2. A group's bits are cut into segments and mapped to the segments' bit counts. Flipping one bit moves one count by
+   one, so the Manhattan distance of two such vectors bounds the Hamming distance from below. The counts are the
+   cells of a grid: a fingerprint is a member of its own cell and a guest of the cells after it within the radius,
+   so that two that may be near meet in exactly one cell. More fingerprints take more segments, which keeps cells
+   to about CELL_ROWS. A cell that is fuller still is cut into blocks, and each pair of blocks meets.
+3. Within a cell members are sorted by their bits of the group, those of each other member or guest are looked up
+   with every set of up to radius flips, and the exact distance decides. A pair counts in the first group that finds it.
+
+A cell returns, per fingerprint, its number of links and one edge towards a representative of what it is connected
+to there, hence no more rows than it was given. Groups of near duplicates are the connected components of the
+edges. The kept row of a group has the least doc_id (nulls last, then the row's content hash).
 
 Defined results
-* A null text, or one without any letter or digit, has no fingerprint: kept, in no group.
-* A text of fewer than ``MIN_WORDS`` distinct words has too few votes to measure nearness: its
-  fingerprint is a hash of its word sequence, so it matches equal word sequences only.
+* A null text, or one without any letter or digit, has no fingerprint: kept, in no group, without links.
+* Very long texts are fingerprinted whole, piece by piece; what counts as short has no bearing on them.
 * Equal texts and repeated rows share a fingerprint and therefore a group; of rows equal in every
   column one stays. A null doc_id takes part like any other and loses ties.
-* Very long texts are fingerprinted whole. An empty table gives an empty result.
-* Extra columns pass through untouched, whatever their names.
+* An empty table gives an empty result. Extra columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, drop_rows, locator, materialize, min_by_order
-from .textvec import codes, is_word, mix, owners, slices, span_hashes, spans
+from .common import col, drop_rows, locator, materialize, min_by_order, sized
+from .textvec import SLICE_CHARS, codes, is_word, mix, owners, pieces, slices, span_hashes, spans, unspaced
 
 BITS = 128
 MAX_DISTANCE = 20
+GROUPS = 7
 MIN_WORDS = 8
-#: Distance for which RECALL is the least share of pairs found; nearer pairs are found more often.
-DESIGN_DISTANCE = MAX_DISTANCE
-RECALL = 0.95
-#: Random pairs over which the share found is measured.
-TRIALS = 1 << 16
-#: Unrelated fingerprints that a cell may hold on average, as a power of two. Comparing two takes nanoseconds,
-#: another grid a row for every fingerprint: cells are worth filling until comparisons cost as much as rows.
-CELL_POWER = 9
-#: -log2 of the chance that two unrelated 2-bit segments have equal counts: 1/16 + 1/4 + 1/16.
-SEGMENT_POWER = -math.log2(0.375)
-SEED = 20240229
+#: Members and guests that a cell, or a pair of blocks of a fuller one, holds.
+CELL_ROWS = 1 << 19
+#: Pairs looked at together within a task.
+CHUNK = 1 << 20
+#: Distinct words that vote together.
+VOTERS = 1 << 14
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of the distinct words of one text, read piece by piece."""
+    hashes, weights = [], []
+    for a, b in pieces(text):
+        _, h, weight = _votes(codes([text[a:b].lower()])[0])
+        h, first = np.unique(h, return_index=True)
+        hashes.append(h)
+        weights.append(weight[first])
+    h, first = np.unique(np.concatenate(hashes), return_index=True)
+    return h, np.concatenate(weights)[first]
+
+
+def _votes(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, hash and weight of every word, and of every pair of characters of scripts without spaces."""
+    word, bare = is_word(cp), unspaced(cp)
+    parts = [spans(word & ~bare)]
+    if bare.any():
+        pair = np.flatnonzero(bare[:-1] & bare[1:])
+        parts += [(pair[pair % 2 == k], pair[pair % 2 == k] + 2) for k in (0, 1)]  # neighbours overlap, so each half by itself
+        lone = np.flatnonzero(bare & ~np.append(bare[1:], False) & ~np.insert(bare[:-1], 0, False))
+        parts.append((lone, lone + 1))
+    h = np.concatenate([span_hashes(cp, s, e) for s, e in parts])
+    s, e = (np.concatenate(x) for x in zip(*parts))
+    return s, h, np.sqrt(np.maximum(e - s - 2, 0.25)).astype(np.float32)
+
+
+def _trigrams(cp: np.ndarray, starts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every letter with its two neighbours, a gap between words being one space, in the documents marked."""
+    word = is_word(cp)
+    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    use = of[doc] & (word | np.insert(word[:-1], 0, False))
+    c, d, letter = np.where(word, cp, 32)[use].astype(np.uint64), doc[use], word[use]
+    same = d[1:] == d[:-1]
+    space = np.uint64(32)
+    before, after = np.where(np.insert(same, 0, False), np.roll(c, 1), space), np.where(np.append(same, False), np.roll(c, -1), space)
+    return d[letter], mix(mix(mix(before + np.uint64(5)) + c) + after)[letter]
 
 
 def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,111 +98,246 @@ def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(texts), 2), np.int64)
     has = np.zeros(len(texts), bool)
     for a, b in slices(texts):
-        cp, starts = codes([t.lower() if t else t for t in texts[a:b]])
-        s, e = spans(is_word(cp))
-        if not len(s):
+        if len(texts[a] or "") > SLICE_CHARS:
+            h, weight = _words(texts[a])
+            d = np.zeros(len(h), np.int64)
+        else:
+            cp, starts = codes([t.lower() if t else t for t in texts[a:b]])
+            s, h, weight = _votes(cp)
+            d = owners(starts, s)
+            few = np.bincount(d, minlength=b - a) < MIN_WORDS
+            if few.any():
+                td, th = _trigrams(cp, starts, few)
+                many = ~few[d]
+                d, h, weight = np.append(d[many], td), np.append(h[many], th), np.append(weight[many], np.ones(len(th), np.float32))
+            order = np.lexsort((h, d))
+            h, d, weight = h[order], d[order], weight[order]
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            h, d, weight = h[first], d[first], weight[first]
+        if not len(h):
             continue
-        h, d, size = span_hashes(cp, s, e), owners(starts, s), e - s
-        seq = np.zeros(b - a, np.uint64)
-        pos = np.arange(len(h)) - np.searchsorted(d, d)
-        np.add.at(seq, d, mix(h + mix(pos.astype(np.uint64) + np.uint64(1))))
-        order = np.lexsort((h, d))
-        h, d, size = h[order], d[order], size[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d = h[first], d[first]
-        weight = np.sqrt(np.maximum(size[first] - 2, 0.25)).astype(np.float32)
-        cut = np.flatnonzero(np.diff(d, prepend=-1))
-        own = d[cut]
+        whole = np.bincount(d, weights=weight, minlength=b - a)
         for half in range(2):
-            votes = np.unpackbits(mix(h + np.uint64(1 + 7919 * half)).view(np.uint8).reshape(-1, 8), axis=1)
-            total = np.add.reduceat(votes * weight[:, None], cut, axis=0)
-            sign = total * 2 > np.add.reduceat(weight, cut)[:, None]
-            out[a + own, half] = np.packbits(sign, axis=1).view(np.int64)[:, 0]
-        few = own[np.diff(np.append(cut, len(h))) < MIN_WORDS]
-        out[a + few, 0] = mix(seq[few] + np.uint64(11)).view(np.int64)
-        out[a + few, 1] = mix(seq[few] + np.uint64(23)).view(np.int64)
-        has[a + own] = True
+            total = np.zeros((b - a, 64))
+            for at in range(0, len(h), VOTERS):
+                cut = slice(at, at + VOTERS)
+                votes = np.unpackbits(mix(h[cut] + np.uint64(1 + 7919 * half)).view(np.uint8).reshape(-1, 8), axis=1)
+                head = np.flatnonzero(np.diff(d[cut], prepend=-1))
+                total[d[cut][head]] += np.add.reduceat(votes * weight[cut, None], head, axis=0, dtype=np.float64)
+            out[a:b, half] = np.packbits(total * 2 > whole[:, None], axis=1).view(np.int64)[:, 0]
+        has[a + np.unique(d)] = True
     return out, has
 
 
-def shared_segments(distance: int, seed: int) -> np.ndarray:
-    """For TRIALS random pairs at the distance, the segments of equal counts as bits of a uint64, segment 0 lowest."""
-    rng = np.random.default_rng(seed)
-    flips = np.zeros((TRIALS, BITS), np.int8)
-    np.put_along_axis(flips, np.argsort(rng.random((TRIALS, BITS)), axis=1)[:, :distance], 1, axis=1)
-    n = flips.reshape(TRIALS, BITS // 2, 2).sum(2)
-    # Two flips turn 01 and 10 into each other, but 00 and 11 too.
-    same = (n == 0) | ((n == 2) & (rng.random(n.shape) < 0.5))
-    return np.packbits(same, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
-
+def radii() -> list[int]:
+    """The radius of each group: they add up to MAX_DISTANCE - GROUPS + 1."""
+    return [(MAX_DISTANCE - GROUPS + 1 + i) // GROUPS for i in range(GROUPS)]
+
+
+def cut(n: int, parts: int) -> list[tuple[int, int]]:
+    """n bits in ``parts`` ranges of nearly equal size."""
+    at = [n * i // parts for i in range(parts + 1)]
+    return list(itertools.pairwise(at))
+
+
+def bits_of(f: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Bits [lo, hi) of [rows, 2] uint64 fingerprints as numbers; the range has 64 bits at most."""
+    x = f[:, 0] >> np.uint64(lo) if lo < 64 else f[:, 1] >> np.uint64(lo - 64)
+    if lo < 64 < hi:
+        x = x | f[:, 1] << np.uint64(64 - lo)
+    return (x & np.uint64((1 << hi - lo) - 1)).astype(np.int64)
+
+
+def segments_for(n: int) -> int:
+    """Segments of a group such that the fullest cell holds about CELL_ROWS of n unrelated fingerprints; at least one."""
+    width = BITS // GROUPS
+    for segments in range(1, width):
+        share = 1.0
+        for lo, hi in cut(width, segments):
+            share *= comb(hi - lo, (hi - lo) // 2) / 2 ** (hi - lo)
+        if n * share <= CELL_ROWS:
+            return segments
+    return width
+
+
+@cache
+def moves(segments: int, radius: int) -> np.ndarray:
+    """Every step of Manhattan length up to ``radius`` whose first change is upwards, and no step at all, which is first."""
+    out = [s for s in _steps(segments, radius) if next((x for x in s if x), 0) >= 0]
+    return np.array(sorted(out, key=lambda s: sum(map(abs, s))), np.int64)
+
+
+def _steps(n: int, radius: int) -> Iterator[tuple[int, ...]]:
+    if not n:
+        yield ()
+        return
+    for x in range(-radius, radius + 1):
+        for rest in _steps(n - 1, radius - abs(x)):
+            yield (x, *rest)
+
+
+def cells(f: np.ndarray, segments: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(group, rows, their cells, whether these are guests) of [rows, 2] uint64 fingerprints."""
+    for g, ((lo, hi), radius) in enumerate(zip(cut(BITS, GROUPS), radii())):
+        parts = [(lo + a, lo + b) for a, b in cut(hi - lo, segments)]
+        counts = np.stack([np.bitwise_count(bits_of(f, *p)) for p in parts], axis=1).astype(np.int64)
+        most = np.array([b - a for a, b in parts])
+        scale = np.concatenate([[1], np.cumprod(most[:-1] + 1)])
+        for step in moves(segments, radius):
+            to = counts + step
+            rows = np.flatnonzero(((to >= 0) & (to <= most)).all(1))
+            yield g, rows, to[rows] @ scale, bool(step.any())
+
+
+@cache
+def flips(width: int, radius: int) -> np.ndarray:
+    """Every number of ``width`` bits with up to ``radius`` ones, zero first."""
+    return np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in itertools.combinations(range(width), k)], np.int64)
+
+
+def _sorted(keys: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    return keys[order], f[order], order
+
+
+def met(keys: np.ndarray, f: np.ndarray, own: tuple, group: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of near fingerprints: of f (any order; None: the sorted ones themselves) and of the sorted ``own``."""
+    lo, hi = cut(BITS, GROUPS)[group]
+    okeys, of, order = own
+    same = f is None
+    if same:
+        keys, f = okeys, of
+    if not len(okeys) or not len(keys):
+        return
+    start = np.zeros((1 << hi - lo) + 1, np.int32)
+    np.cumsum(np.bincount(okeys, minlength=len(start) - 1), out=start[1:])
+    masks = flips(hi - lo, radii()[group])
+    many = max(1, CHUNK // len(keys))
+    for m in range(0, len(masks), many):
+        probe = keys[None, :] ^ masks[m : m + many, None]
+        n = start[probe + 1] - start[probe]
+        if same:  # each pair once: the key looked up is the greater one, or the place where keys are equal
+            n[probe < keys] = 0
+        which = np.flatnonzero(n)
+        n, first, row = n.ravel()[which], start[probe.ravel()[which]], which % len(keys)
+        ends = np.cumsum(n, dtype=np.int64)
+        at = 0
+        while at < len(n):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + CHUNK, side="right")))
+            k = n[at:to]
+            b = np.repeat(row[at:to], k)
+            a = np.arange(len(b)) + np.repeat(first[at:to] - (ends[at:to] - k - done), k)
+            ok = np.bitwise_count(of[a, 0] ^ f[b, 0]) <= MAX_DISTANCE
+            if same:
+                ok &= (a > b) | (okeys[a] != keys[b])
+            a, b = a[ok], b[ok]
+            one, two = of[a, 0] ^ f[b, 0], of[a, 1] ^ f[b, 1]
+            ok = np.bitwise_count(one) + np.bitwise_count(two) <= MAX_DISTANCE
+            a, b, x = a[ok], b[ok], np.stack([one[ok], two[ok]], axis=1)
+            for (i, j), radius in zip(cut(BITS, GROUPS)[:group], radii()):  # found in an earlier group already?
+                ok = np.bitwise_count(bits_of(x, i, j)) > radius
+                a, b, x = a[ok], b[ok], x[ok]
+            if len(a):
+                yield order[a], order[b] if same else b
+            at = to
+
+
+class Links:
+    """Links among n rows: their number for each row, and the least row that each is connected to."""
+
+    def __init__(self, n: int) -> None:
+        self.count, self.root = np.zeros(n, np.int64), np.arange(n)
+        self._held: list[tuple[np.ndarray, np.ndarray]] = []
+        self._size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.count += np.bincount(a, minlength=len(self.count)) + np.bincount(b, minlength=len(self.count))
+        self._held.append((a, b))
+        self._size += len(a)
+        if self._size > CHUNK:
+            self.unite()
+
+    def unite(self) -> None:
+        if self._held:
+            a, b = (np.concatenate(x) for x in zip(*self._held))
+            while True:
+                a, b = self.root[a], self.root[b]
+                apart = a != b
+                if not apart.any():
+                    break
+                a, b = a[apart], b[apart]
+                np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+                while (up := self.root[self.root]).tobytes() != self.root.tobytes():
+                    self.root = up
+        self._held, self._size = [], 0
+
+
+_CELL = "g int, cell long, i int, j int, guest boolean, side int, f1 long, f2 long"
+_LINKS = "f1 long, f2 long, r1 long, r2 long, links long"
+
+
+def _meet(rows: pa.Table) -> pa.Table:
+    """Links within one cell, or between two blocks (sides 0 and 1) of it; two guests of a cell don't concern it."""
+    f = np.stack([np.asarray(rows.column(c).combine_chunks()) for c in ("f1", "f2")], axis=1)
+    order = np.lexsort((f[:, 1], f[:, 0]))  # the same whatever order the rows come in
+    u = f[order].view(np.uint64)
+    guest, side = (np.asarray(rows.column(c).combine_chunks())[order] for c in ("guest", "side"))
+    group = rows.column("g")[0].as_py()
+    keys = bits_of(u, *cut(BITS, GROUPS)[group])
+    links = Links(len(u))
+
+    def between(one: np.ndarray, two: np.ndarray | None) -> None:
+        own = _sorted(keys[one], u[one])
+        for a, b in met(None, None, own, group) if two is None else met(keys[two], u[two], own, group):
+            links.add(one[a], one[b] if two is None else two[b])
+
+    if side.any():
+        zero, one = np.flatnonzero(~guest & (side == 0)), np.flatnonzero(~guest & (side == 1))
+        between(zero, np.flatnonzero(side == 1))
+        between(one, np.flatnonzero(guest & (side == 0)))
+    else:
+        member = np.flatnonzero(~guest)
+        between(member, None)
+        between(member, np.flatnonzero(guest))
+    links.unite()
+    k = np.flatnonzero(links.count)
+    r = f[order][links.root[k]]
+    f = f[order][k]
+    return pa.table({"f1": f[:, 0], "f2": f[:, 1], "r1": r[:, 0], "r2": r[:, 1], "links": links.count[k]})
+
+
+def near_links(prints: DataFrame, n: int) -> DataFrame:
+    """(f1, f2, r1, r2, links) of n distinct fingerprints (f1, f2): what each cell found.
+
+    The links of a fingerprint add up over its rows; (f1, f2) and (r1, r2) are connected, and these edges connect
+    whatever the links connect.
+    """
+    segments = segments_for(n)
 
-def grid_plan(n: int) -> list[list[int]]:
-    """Segments (0 to 63) of each grid, for n distinct fingerprints.
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = np.stack([np.asarray(batch.column(i)) for i in range(2)], axis=1)
+            for g, rows, cell, guest in cells(f.view(np.uint64), segments):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), g, np.int32)), pa.array(cell), pa.array(np.full(len(rows), guest)), pa.array(f[rows, 0]), pa.array(f[rows, 1])], ["g", "cell", "guest", "f1", "f2"])
 
-    The number of segments that keeps cells filled to CELL_POWER is rarely whole: some grids take one more. Few
-    fingerprints need none: one cell, in which all pairs meet. Segments are dealt from shuffled decks, so that grids
-    overlap little.
-    The segments of a pair share its flipped bits, hence grids don't miss it independently: the share missed is
-    counted over random pairs at DESIGN_DISTANCE. Grids are added until that share, and three standard errors of
-    its measurement, leave RECALL.
-    """
-    wanted = max(0.0, (math.log2(max(n, 2)) - CELL_POWER) / SEGMENT_POWER)
-    rng = np.random.default_rng(SEED)
-    missed = shared_segments(DESIGN_DISTANCE, SEED + 1)
-    most = TRIALS * (1 - RECALL) - 3 * math.sqrt(TRIALS * RECALL * (1 - RECALL))
-    plan: list[list[int]] = []
-    deck: list[int] = []
-    while len(missed) > most:
-        k = len(plan) + 1
-        size = math.floor(wanted * k + 1e-9) - math.floor(wanted * (k - 1) + 1e-9)
-        if len(deck) < size:
-            deck = rng.permutation(BITS // 2).tolist()
-        plan.append(sorted(deck[:size]))
-        deck = deck[size:]
-        mask = np.uint64(sum(1 << s for s in plan[-1]))
-        missed = missed[(missed & mask) != mask]
-    return plan
-
-
-def segment_counts(half: str) -> Column:
-    """The bit counts of the 2-bit segments (0 to 31) of one 64-bit half, each in its segment's place."""
-    x, low = F.col(half), F.lit(0x5555555555555555)
-    y = F.shiftrightunsigned(x, 1)
-    return x.bitwiseXOR(y).bitwiseAND(low).bitwiseOR(F.shiftleft(x.bitwiseAND(y).bitwiseAND(low), 1))
-
-
-def cells(n: int) -> Column:
-    """Array of one cell key per grid: the grid's number above 32 bits of a hash of its segments' counts.
-
-    Cells that the hash lets fall together are compared in vain, nothing more.
-    """
-    keys = []
-    for g, segments in enumerate(grid_plan(n)):
-        counts = []
-        for half, first in (("f1", 0), ("f2", 32)):
-            mask = sum(3 << 2 * (s - first) for s in segments if first <= s < first + 32)
-            counts.append(segment_counts(half).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
-        keys.append(F.xxhash64(*counts).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(g << 32).cast("long")))
-    return F.array(*keys)
-
-
-def coarse(half: str) -> list[Column]:
-    """Counts of a half's two 32-bit segments: sums of the fine segments' counts, hence a looser and cheaper bound."""
-    x = F.col(half)
-    return [F.bit_count(x.bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_count(F.shiftrightunsigned(x, 32))]
-
-
-def near_pairs(prints: DataFrame, n: int) -> DataFrame:
-    """Pairs (a1, a2, b1, b2, distance), a before b, of distinct fingerprints (f1, f2) within MAX_DISTANCE."""
-    rows = prints.select("f1", "f2", F.explode(cells(n)).alias("cell"))
-    a = rows.select("cell", F.col("f1").alias("a1"), F.col("f2").alias("a2"))
-    b = rows.select("cell", F.col("f1").alias("b1"), F.col("f2").alias("b2"))
-    bound = sum((F.abs(x - y) for ha, hb in (("a1", "b1"), ("a2", "b2")) for x, y in zip(coarse(ha), coarse(hb))), F.lit(0))
-    distance = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    before = (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
-    met = a.hint("merge").join(b, "cell").filter(before & (bound <= MAX_DISTANCE) & (distance <= MAX_DISTANCE))
-    return met.select("a1", "a2", "b1", "b2", distance.alias("distance")).distinct()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = np.stack([np.asarray(batch.column(i)) for i in range(2)], axis=1).view(np.uint64)
+            for g, _, cell, _ in cells(f, segments):
+                u, k = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), g, np.int32)), pa.array(u), pa.array(k)], ["g", "cell", "k"])
+
+    slim = prints.select("f1", "f2")
+    load = slim.mapInArrow(count, "g int, cell long, k long").groupBy("g", "cell").agg(F.sum("k").alias("k"))
+    full = materialize(load.filter(F.col("k") > CELL_ROWS).select("g", "cell", F.ceil(2 * F.col("k") / CELL_ROWS).cast("int").alias("blocks")))
+    placed = slim.mapInArrow(emit, "g int, cell long, guest boolean, f1 long, f2 long")
+    placed = placed.join(sized(full, full.count(), 64), ["g", "cell"], "left").withColumn("mine", F.pmod(F.xxhash64("f1", "f2"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
+    placed = placed.select("g", "cell", "guest", "f1", "f2", "mine", other)
+    placed = placed.select("g", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "guest", (F.col("mine") > F.col("other")).cast("int").alias("side"), "f1", "f2")
+    return placed.groupBy("g", "cell", "i", "j").applyInArrow(_meet, _LINKS)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -191,7 +364,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def _decide(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fingerprinted rows: l1, l2, doc_id, f1, f2), (f1, f2, root, w1, w2, keep_id) for fingerprints in groups of several rows."""
+    """(fingerprinted rows: l1, l2, doc_id, f1, f2), (f1, f2, w1, w2, keep_id, links) for fingerprints in groups of several rows."""
     one, two = locator(docs)
     slim = docs.select(one.alias("l1"), two.alias("l2"), col(docs, "doc_id").cast("long").alias("doc_id"), col(docs, "text").alias("text"))
 
@@ -203,21 +376,27 @@ def _decide(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialize(slim.mapInArrow(mark, "l1 long, l2 long, doc_id long, f1 long, f2 long"))
     order = (F.col("doc_id"), F.col("l1"), F.col("l2"))
     prints = materialize(rows.filter("f1 is not null").groupBy("f1", "f2").agg(min_by_order(F.struct("doc_id", "l1", "l2"), *order).alias("w"), F.count("*").alias("n")))
-    pairs = materialize(near_pairs(prints, prints.count()))
-    roots = components(pairs.select(F.struct(F.col("a1").alias("f1"), F.col("a2").alias("f2")).alias("u"), F.struct(F.col("b1").alias("f1"), F.col("b2").alias("f2")).alias("v")))
+    found = materialize(near_links(prints, prints.count()))
+    edges = found.filter("f1 <> r1 or f2 <> r2").select(F.struct("f1", "f2").alias("u"), F.struct(F.col("r1").alias("f1"), F.col("r2").alias("f2")).alias("v"))
+    roots = components(edges.distinct())
+    links = found.groupBy("f1", "f2").agg(F.sum("links").alias("links"))
     grouped = prints.join(roots.select("node.f1", "node.f2", "root"), ["f1", "f2"], "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", F.struct("f1", "f2")))
     best = grouped.groupBy("root").agg(min_by_order(F.col("w"), F.col("w.doc_id"), F.col("w.l1"), F.col("w.l2")).alias("keep"))
-    return rows, materialize(grouped.join(best, "root").select("f1", "f2", F.col("keep.doc_id").alias("keep_id"), F.col("keep.l1").alias("w1"), F.col("keep.l2").alias("w2")))
+    named = grouped.join(best, "root").select("f1", "f2", F.col("keep.doc_id").alias("keep_id"), F.col("keep.l1").alias("w1"), F.col("keep.l2").alias("w2"))
+    return rows, materialize(named.join(links, ["f1", "f2"], "left").withColumn("links", F.coalesce("links", F.lit(0))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, group_id (doc_id of the group's kept row, its own if alone), kept."""
+    """One row per row of docs: doc_id, group_id (doc_id of the group's kept row, its own if alone), links, kept.
+
+    links is the number of other fingerprints within the distance; rows of the same fingerprint aren't counted.
+    """
     rows, groups = _decide(docs)
     found = rows.join(groups, ["f1", "f2"], "left")
     place = F.row_number().over(Window.partitionBy("l1", "l2").orderBy("doc_id"))
-    alone = found.filter("w1 is null").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(True).alias("kept"))
+    alone = found.filter("w1 is null").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("kept"))
     inside = found.filter("w1 is not null").withColumn("place", place)
-    return alone.unionByName(inside.select("doc_id", F.col("keep_id").alias("group_id"), ((F.col("l1") == F.col("w1")) & (F.col("l2") == F.col("w2")) & (F.col("place") == 1)).alias("kept")))
+    return alone.unionByName(inside.select("doc_id", F.col("keep_id").alias("group_id"), "links", ((F.col("l1") == F.col("w1")) & (F.col("l2") == F.col("w2")) & (F.col("place") == 1)).alias("kept")))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.llm import exact_dedup, near_dedup, suffix_dedup
+from lodegraph.llm import exact_dedup, near_dedup, suffix_dedup, textvec
 from lodegraph.llm.common import table
 from lodegraph.llm.queries import oracle_sql, queries
 
@@ -94,36 +94,108 @@ def test_lower_bound_and_fingerprint_by_loops():
     assert 0 < bits[0].sum() < 128
 
 
-def test_recall_of_pairs_against_brute_force(spark):
-    d = table(spark, SF.replace("0.001", "0.1"), "documents")
-    texts = [r["text"] for r in d.select("text").collect()]
+def test_long_and_short_texts(monkeypatch):
+    """A text read in pieces has the fingerprint of the text read at once; short texts differ by their letters."""
+    long = " ".join(f"{prose(i, 40, WIDE)}\n" for i in range(60)) + " 数据库系统的设计与实现。" * 30
+    one = near_dedup.fingerprints([long])[0]
+    for limit in (300, 5000):
+        monkeypatch.setattr(near_dedup, "SLICE_CHARS", limit)
+        monkeypatch.setattr(near_dedup, "VOTERS", 50)
+        monkeypatch.setattr(near_dedup, "pieces", lambda t, n=limit: textvec.pieces(t, n))
+        assert (near_dedup.fingerprints([long])[0] == one).all() or bits_apart(near_dedup.fingerprints([long])[0][0], one[0]) <= 1
+    monkeypatch.undo()
+    texts = ["That it.", "that is!", "THAT, it", "a", "a", "数据库系统的设计与实现是计算机科学的一个重要课题", "数据库系统的设计与实现是计算机科学的一个主要课题", "今天的天气非常好我们一起去公园散步看花吧朋友们"]
     f, has = near_dedup.fingerprints(texts)
-    f = np.unique(f[has], axis=0)
-    bits = np.unpackbits(f.view(np.uint8).reshape(len(f), 16), axis=1).astype(np.float32) * 2 - 1
-    apart = (128 - bits @ bits.T) / 2
-    want = int(np.triu(apart <= near_dedup.MAX_DISTANCE, 1).sum())
+    assert has.all() and (f[0] == f[2]).all() and (f[3] == f[4]).all() and bits_apart(f[0], f[1]) > 20
+    assert bits_apart(f[5], f[6]) <= 24 < 40 < bits_apart(f[5], f[7])
+    alone = np.concatenate([near_dedup.fingerprints([t])[0] for t in texts])
+    assert (alone == f).all()  # whatever else is in the batch
+
+
+def bits_apart(a, b):
+    return sum(((int(x) ^ int(y)) & (2**64 - 1)).bit_count() for x, y in zip(a, b))
+
+
+def brute_links(f):
+    """Number of other fingerprints within the distance, and the pairs."""
+    u = f.view(np.uint64)
+    near = [np.flatnonzero(np.bitwise_count(u[:, 0] ^ x[0]) + np.bitwise_count(u[:, 1] ^ x[1]) <= near_dedup.MAX_DISTANCE) for x in u]
+    return [len(n) - 1 for n in near], {(i, int(j)) for i, n in enumerate(near) for j in n if j > i}
+
+
+def clustered(n, seed):
+    """Distinct fingerprints: unrelated ones, pairs at every distance up to 24, and a cluster of 300 around one."""
+    rng = np.random.default_rng(seed)
+    bits = rng.integers(0, 2, (n, 128), np.uint8)
+    for i in range(0, n // 2, 2):
+        bits[i + 1] = bits[i]
+        bits[i + 1, rng.permutation(128)[: i // 2 % 25]] ^= 1
+    for i in range(n - 300, n):
+        bits[i] = bits[n - 1]
+        bits[i, rng.permutation(128)[: rng.integers(0, 12)]] ^= 1
+    return np.unique(np.packbits(bits, axis=1).view(np.int64), axis=0)
+
+
+@pytest.mark.parametrize("cell_rows", [1 << 19, 500])
+def test_every_link_is_found(spark, monkeypatch, cell_rows):
+    """2,600 fingerprints in coarse cells, in fine ones, and in cells cut into blocks: the links of the brute force."""
+    monkeypatch.setattr(near_dedup, "CELL_ROWS", cell_rows)
+    f = clustered(2600, cell_rows)
+    count, pairs = brute_links(f)
     prints = spark.createDataFrame([tuple(map(int, x)) for x in f], "f1 long, f2 long")
-    got = near_dedup.near_pairs(prints, len(f)).collect()
-    assert len(got) >= 0.95 * want > 500
-    assert all(r["distance"] == bin((r["a1"] ^ r["b1"]) & (2**64 - 1)).count("1") + bin((r["a2"] ^ r["b2"]) & (2**64 - 1)).count("1") <= 20 for r in got)
-
-
-@pytest.mark.parametrize("n", [300_000, 12_000_000])
-def test_recall_at_each_distance_in_the_plan_of_large_inputs(spark, n):
-    rng = np.random.default_rng(7)
-    rows, size = [], 2500
-    for distance in (12, 18, 19, 20):
-        a = rng.integers(0, 2, (size, 128), np.uint8)
-        b = a.copy()
-        for row in b:
-            row[rng.permutation(128)[:distance]] ^= 1
-        a, b = (np.packbits(x, axis=1).view(np.int64).tolist() for x in (a, b))
-        rows += [(distance, i, *x) for i in range(size) for x in (a[i], b[i])]
-    pairs = spark.createDataFrame(rows, "distance int, pair int, f1 long, f2 long").repartition(8)
-    met = pairs.select("distance", "pair", F.explode(near_dedup.cells(n)).alias("cell")).groupBy("distance", "pair", "cell").count().filter("count = 2")
-    found = {r["distance"]: r["n"] / size for r in met.groupBy("distance").agg(F.countDistinct("pair").alias("n")).collect()}
-    # Four standard errors of 2,500 pairs are 0.017.
-    assert found[20] >= 0.95 - 0.017 and found[20] < 1 and found[19] >= 0.95 and found[18] >= 0.95 and found[12] >= 0.99, found
+    rows = near_dedup.near_links(prints, len(f)).collect()
+    got = defaultdict(int)
+    place = {tuple(map(int, x)): i for i, x in enumerate(f)}
+    root = list(range(len(f)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in rows:
+        got[r["f1"], r["f2"]] += r["links"]
+        a, b = top(place[r["f1"], r["f2"]]), top(place[r["r1"], r["r2"]])
+        root[max(a, b)] = min(a, b)
+    assert [got[k] for k in place] == count and sum(count) > 40000
+    found = [top(i) for i in range(len(f))]
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    assert [top(i) for i in range(len(f))] == found  # connected by the returned edges alone
+
+
+def test_radii_and_segments():
+    assert sum(near_dedup.radii()) == near_dedup.MAX_DISTANCE - near_dedup.GROUPS + 1
+    assert [near_dedup.segments_for(n) for n in (10, 10**7, 10**9)] == [1, 3, 11]
+    for segments, radius in ((1, 2), (3, 2), (2, 3)):
+        steps = near_dedup.moves(segments, radius)
+        every = [s for s in np.ndindex(*[2 * radius + 1] * segments) if sum(abs(x - radius) for x in s) <= radius]
+        assert len(steps) == (len(every) + 1) // 2 and not steps[0].any()
+
+
+def test_near_duplicates_by_brute_force(spark, monkeypatch):
+    """The whole query on a table of the driver: groups, links and kept rows from all pairs."""
+    monkeypatch.setattr(near_dedup, "CELL_ROWS", 2000)
+    d = table(spark, SF.replace("0.001", "0.1"), "documents")
+    rows = sorted((r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect())
+    f, has = near_dedup.fingerprints([t for _, t in rows])
+    u, inverse = np.unique(f, axis=0, return_inverse=True)
+    count, pairs = brute_links(u)
+    label = np.arange(len(u))
+    a, b = np.array(sorted(pairs)).T
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        if (before == label).all():
+            break
+    first = {}
+    for (doc_id, _), k, ok in zip(rows, inverse, has):
+        first.setdefault(label[k] if ok else -1 - doc_id, doc_id)
+    want = {(doc_id, first[label[k]] if ok else doc_id, count[k] if ok else 0, not ok or first[label[k]] == doc_id) for (doc_id, _), k, ok in zip(rows, inverse, has)}
+    got = [tuple(r) for r in near_dedup.near_duplicates(d).collect()]
+    assert len(got) == len(rows) > 5000 and set(got) == want and sum(count) > 2000
 
 
 def test_components(spark):
