@@ -12,7 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lodegraph.llm import exact_dedup, mixing, near_dedup, packing, quality
-from lodegraph.llm.common import shared_dir, table
+from lodegraph.llm.common import table
+from lodegraph.plans.steps import remove, scope, shared_dir
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each stage's result is a table in the shared folder."""
+    """All stages over the documents table; each stage's result is a table in the shared folder, the last of which stays."""
     docs = table(spark, sf_dir, "documents", "doc_id")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")
+        if i:
+            remove(spark, f"{base}/{i - 1}")
     return docs
