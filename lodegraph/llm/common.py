@@ -1,23 +1,29 @@
-"""Shared plumbing of the corpus operators: tables, row locators, materialised steps, checked broadcasts."""
+"""Shared plumbing of the corpus operators: tables, row locators, samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A side is broadcast only when its measured rows times its row width stay under this many bytes.
-BROADCAST_BYTES = 32 << 20
+from ..plans.steps import materialize, sized
+
+#: Tables of more bytes are never spread by a shuffle: their files make tasks enough.
+SPREAD_BYTES = 256 << 20
+#: Texts of more characters are left out of the labelled samples that are sent to the driver; they are scored like all.
+LONGEST_SAMPLE = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """A table; with a key, one whose files make fewer scan tasks than there are cores is spread over them by it."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; with a key, a small one whose files make fewer scan tasks than there are cores is spread over them by it."""
+    where = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(where)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if key and df.rdd.getNumPartitions() < cores else df
+    if not key or df.rdd.getNumPartitions() >= cores:
+        return df
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)  # noqa: SLF001
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()  # noqa: SLF001
+    return df.repartition(cores, key) if size <= SPREAD_BYTES else df
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
@@ -33,42 +39,26 @@ def col(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local run without the setting gets its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="lodegraph-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write the frame as a table in the shared folder and read it back: lineage ends, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/lodegraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """A broadcast hint if the counted rows fit in BROADCAST_BYTES, else a sort-merge hint."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")
-
-
-def hash_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+def hash_sample(df: DataFrame, key: Column, rows: int, by: str | None = None) -> DataFrame:
     """At most ``rows`` rows of df, in hash order of ``key``: the same for any partitioning.
 
-    On large frames a bound on the hash leaves about twice the rows before they are ordered, so what tasks send
-    on doesn't grow with their number.
+    With ``by``, in turn from each of its values: rare ones come whole before common ones fill the rest. On large frames
+    a bound on the hash leaves about twice the rows of a value before they are ordered, so what tasks send on doesn't
+    grow with their number.
     """
-    n = df.count()
-    name = fresh("hash_", df)
+    name, size, place = (fresh(c, df) for c in ("hash_", "size_", "place_"))
+    own = [F.col(f"`{by}`")] if by else []
+    counts = materialize(df.groupBy(*own).agg(F.count("*").alias(size)))
+    n = counts.count()
     out = df.withColumn(name, F.xxhash64(key))
-    if n > 4 * rows:
-        out = out.filter(F.col(name) < F.lit(-(1 << 63) + (1 << 64) * 2 * rows // n))
-    return out.orderBy(name, *[F.col(f"`{c}`") for c in df.columns]).limit(rows).drop(name)
+    out = out.join(sized(counts, n, 64), by) if by else out.crossJoin(F.broadcast(counts))
+    share = F.least(F.lit(2.0) * rows / F.col(size), F.lit(1.0))
+    out = out.filter((F.col(size) <= 4 * rows) | (F.col(name) / 2.0**64 + 0.5 < share))
+    order = [F.col(name), *[F.col(f"`{c}`") for c in df.columns]]
+    if by:
+        out = out.withColumn(place, F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
+        order = [F.col(place), *order]
+    return out.orderBy(*order).limit(rows).select([F.col(f"`{c}`") for c in df.columns])
 
 
 def locator(df: DataFrame) -> list[Column]:

@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings, linear softmax, calibrated rejection.
 
-The model is fitted to at most ``LABELLED_ROWS`` documents that carry a language, drawn by hash. Three in
-four train it; the rest calibrate it: a temperature is chosen by likelihood, and the threshold is the
+The model is fitted to at most ``LABELLED_ROWS`` documents of up to LONGEST_SAMPLE characters that carry a language,
+drawn by hash and in turn from each language, so that a rare one counts whole. Three in four train it; the rest calibrate it: a temperature is chosen by likelihood, and the threshold is the
 confidence that all but ``REJECT_SHARE`` of the correctly named calibration documents reach, kept within
 ``THRESHOLD_RANGE``. A document below the threshold is ``und``.
 
@@ -9,8 +9,10 @@ Defined results
 * A null text, or one without any letter, is ``und`` with confidence 0.
 * A null language in the table only keeps the row out of training. With no labelled document at all,
   every row is ``und`` with confidence 0; with a single language, rejection alone can tell.
-* Repeated rows and equal doc_ids are scored one by one; very long texts are scored whole; an empty table
-  gives an empty result. Extra columns are ignored, whatever their names.
+* Of languages with equal probabilities the first in code point order is named; a confidence of exactly the threshold
+  is not rejected.
+* Repeated rows and equal doc_ids are scored one by one; very long texts are scored whole, in pieces whose sums are
+  added; an empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, hash_sample
+from .common import LONGEST_SAMPLE, col, hash_sample
 from .subword import Model, Spec, train
 
 LABELLED_ROWS = 3000
@@ -56,8 +58,8 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
 
 def fit(docs: DataFrame, rows: int = LABELLED_ROWS) -> Model | None:
     """A calibrated model, or None if no document carries a language."""
-    slim = docs.select(col(docs, "doc_id").alias("id"), col(docs, "text").alias("t"), col(docs, "lang").alias("y")).filter("t is not null and y is not null")
-    got = hash_sample(slim, F.struct("id", "t"), rows).collect()
+    slim = docs.select(col(docs, "doc_id").alias("id"), col(docs, "text").alias("t"), col(docs, "lang").alias("y")).filter((F.length("t") <= LONGEST_SAMPLE) & F.col("y").isNotNull())
+    got = hash_sample(slim, F.struct("id", "t"), rows, "y").collect()
     if not got:
         return None
     part = np.arange(len(got)) % 4 == 3

@@ -26,7 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh, locator, materialize, sized
+from ..plans.steps import materialize, sized
+from .common import col, fresh, locator
 
 SEED = "mix-1"
 RANGE_DIGITS = 3

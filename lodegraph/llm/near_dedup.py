@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, drop_rows, locator, materialize, min_by_order, sized
+from ..plans.steps import materialize, sized
+from .common import col, drop_rows, locator, min_by_order
 from .textvec import SLICE_CHARS, codes, is_word, mix, owners, pieces, slices, span_hashes, spans, unspaced
 
 BITS = 128

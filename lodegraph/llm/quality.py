@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings trained by numpy stochastic gradient descent.
 
-The model (``subword``) learns from at most ``LABELLED_ROWS`` labelled documents, drawn by the hash of
-their doc_id; every document is then scored over its whole text in one map-only pass.
+The model (``subword``) learns from at most ``LABELLED_ROWS`` labelled documents of up to LONGEST_SAMPLE characters,
+drawn by the hash of their doc_id and in turn from both classes, so that a rare class counts whole; every document is
+then scored over its whole text in one map-only pass.
 
 Defined results
 * A text that is null or holds nothing but white space has no feature: score 0, rejected.
@@ -9,7 +10,9 @@ Defined results
   both ways is not used either. If only one class or none is left, there is nothing to learn: every
   score is null and every document is kept.
 * Repeated rows and rows that share a doc_id are scored one by one; for training, a shared doc_id counts
-  once, with its least text. Very long texts are scored whole. An empty table gives an empty result.
+  once, with its least text. Very long texts are scored whole, in pieces whose sums are added. An empty table gives
+  an empty result.
+* A score of exactly LEAST_SCORE is kept; equal texts have equal scores.
 * Extra columns pass through ``keep_good`` untouched, whatever their names.
 """
 
@@ -19,28 +22,32 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh, hash_sample
+from ..plans.steps import materialize, sized
+from .common import LONGEST_SAMPLE, col, fresh, hash_sample
 from .subword import Model, Spec, train
 
 #: Bound on the labelled documents that the classifier is fitted to.
 LABELLED_ROWS = 3000
 #: Least probability of being good at which a document stays.
 LEAST_SCORE = 0.3
-SPEC = Spec(buckets=1 << 16, dim=16, chars=(3, 4), pairs=True, rate=1.0, epochs=5)
+SPEC = Spec(buckets=1 << 16, dim=16, chars=(3, 4), pairs=True, rate=1.0, epochs=8)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``rows`` labelled documents in hash order of doc_id."""
+    """Texts and labels of at most ``rows`` labelled documents, in turn from each class in hash order of doc_id."""
     one = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).filter("id is not null and y in (0, 1)")
-    one = one.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("id", "y")
-    # Twice the bound: labels may name documents that are not in the table.
-    pick = hash_sample(one, F.col("id"), 2 * rows)
-    text = docs.select(col(docs, "doc_id").cast("long").alias("id"), col(docs, "text").alias("t")).filter("t is not null")
+    one = materialize(one.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("id", "y"))
+    ids = docs.select(col(docs, "doc_id").cast("long").alias("id"))
+    known = materialize(ids.join(sized(one, one.count(), 32), "id").distinct())
+    # Twice the bound: some texts may be null or long.
+    pick = hash_sample(known, F.col("id"), 2 * rows, "y")
+    text = docs.select(col(docs, "doc_id").cast("long").alias("id"), col(docs, "text").alias("t")).filter(F.length("t") <= LONGEST_SAMPLE)
     found = text.join(F.broadcast(pick), "id").groupBy("id", "y").agg(F.min("t").alias("t"))
-    got = found.orderBy(F.xxhash64("id"), "id").limit(rows).collect()
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    got = found.withColumn("place", place).orderBy("place", "y").limit(rows).collect()
     return [r["t"] for r in got], [r["y"] for r in got]
 
 

@@ -3,16 +3,17 @@
 The document vector is the mean of the learned vectors of its features, and the class scores are a
 linear map of it. Scoring uses the identity mean(E[f]) @ W = mean((E @ W)[f]): the product E @ W is
 taken once after training, so a feature costs one gather of ``classes`` numbers. Texts are always
-used whole.
+used whole; a very long one is read in pieces between words, whose sums are added.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-from .textvec import codes, is_space, mix, owners, slices, span_hashes, spans
+from .textvec import SLICE_CHARS, codes, is_space, mix, owners, pieces, slices, span_hashes, spans
 
 
 @dataclass(frozen=True)
@@ -29,8 +30,33 @@ class Spec:
     seed: int = 7
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of words a each followed by b. A word followed by itself is one feature whatever the word: repetition is learned as such."""
+    return np.where(a == b, np.uint64(0xD0B1E), mix(a * np.uint64(3) + b))
+
+
 def features(texts: list[str | None], spec: Spec) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of every feature occurrence, documents ascending within each kind."""
+    return _features(texts, spec)[:2]
+
+
+def parts(texts: list[str | None], spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``features`` of a slice of documents, in parts: one, or one for each piece of a document that is a slice by itself."""
+    if len(texts) != 1 or len(texts[0] or "") <= SLICE_CHARS:
+        yield features(texts, spec)
+        return
+    last = np.zeros(0, np.uint64)
+    for a, b in pieces(texts[0]):
+        d, f, words = _features([texts[0][a:b]], spec)
+        yield d, f
+        if spec.pairs and len(words):
+            if len(last):  # the pair across the cut
+                yield np.zeros(1, np.int64), (_pairs(last, words[:1]) & np.uint64(spec.buckets - 1)).astype(np.int64)
+            last = words[-1:]
+
+
+def _features(texts: list[str | None], spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``features``, and the hashes of all words in order."""
     if spec.lower:
         texts = [t.lower() if t else t for t in texts]
     cp, starts = codes(texts)
@@ -41,9 +67,7 @@ def features(texts: list[str | None], spec: Spec) -> tuple[np.ndarray, np.ndarra
     docs, hashes = [doc], [words]
     if spec.pairs and len(words) > 1:
         same = doc[1:] == doc[:-1]
-        a, b = words[:-1][same], words[1:][same]
-        # A word followed by itself is one feature whatever the word: repetition is learned as such.
-        hashes.append(np.where(a == b, np.uint64(0xD0B1E), mix(a * np.uint64(3) + b)))
+        hashes.append(_pairs(words[:-1][same], words[1:][same]))
         docs.append(doc[1:][same])
     if len(cp) > 1:
         edge = np.where(space, 32, cp).astype(np.uint64)
@@ -62,18 +86,19 @@ def features(texts: list[str | None], spec: Spec) -> tuple[np.ndarray, np.ndarra
             # a space may stand at either end of an n-gram but not inside it
             ok = (gap[n - 2 : n - 2 + m] == gap[:m]) if n > 2 else np.ones(m, bool)
             ok &= ~((lead[:m] == 32) & (lead[n - 1 :] == 32)) if n == 2 else True
-            ok &= ~(lead[1 : 1 + m] == 32) if n > 1 else lead[:m] != 32
+            ok &= ~(lead[1 : 1 + m] == 32) if n > 2 else (lead[:m] != 32 if n == 1 else True)
             hashes.append(mix(h[ok]))
             docs.append(at[1 : m + 1][ok] if n > 1 else at[:m][ok])
-    return np.concatenate(docs), (np.concatenate(hashes) & np.uint64(spec.buckets - 1)).astype(np.int64)
+    return np.concatenate(docs), (np.concatenate(hashes) & np.uint64(spec.buckets - 1)).astype(np.int64), words
 
 
 def bags(texts: list[str | None], spec: Spec) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per document, its distinct buckets and their shares of the document's features."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in slices(texts):
-        d, f = features(texts[a:b], spec)
-        key, count = np.unique(d * spec.buckets + f, return_counts=True)
+        found = [np.unique(d * spec.buckets + f, return_counts=True) for d, f in parts(texts[a:b], spec)]
+        key, where = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        count = np.bincount(where, weights=np.concatenate([n for _, n in found]), minlength=len(key))
         d, f = key // spec.buckets, (key % spec.buckets).astype(np.int32)
         cut = np.searchsorted(d, np.arange(b - a + 1))
         for i in range(b - a):
@@ -97,10 +122,12 @@ class Model:
         """Mean score of each text's features; a text without features has the bias alone."""
         out = np.zeros((len(texts), len(self.classes)))
         for a, b in slices(texts):
-            d, f = features(texts[a:b], self.spec)
-            n = np.maximum(np.bincount(d, minlength=b - a), 1)
-            for c in range(len(self.classes)):
-                out[a:b, c] = np.bincount(d, weights=self.table[f, c], minlength=b - a) / n
+            n = np.zeros(b - a)
+            for d, f in parts(texts[a:b], self.spec):
+                n += np.bincount(d, minlength=b - a)
+                for c in range(len(self.classes)):
+                    out[a:b, c] += np.bincount(d, weights=self.table[f, c], minlength=b - a)
+            out[a:b] /= np.maximum(n, 1)[:, None]
         return (out + self.bias) / self.temperature
 
     def proba(self, texts: list[str | None]) -> np.ndarray:
