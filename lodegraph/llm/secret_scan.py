@@ -6,20 +6,24 @@ base 32, base 62, base 64), drawn by a seeded generator, and one for ordinary st
 standard library, words of a bounded sample of documents, their usual joinings (snake, camel, upper case,
 paths), plain numbers, and rules of one repeated character. A candidate is reported if the log-likelihood
 ratio of the likeliest random kind (kinds have equal weight) to the ordinary model exceeds ``LEAST_SCORE``
-nats, the odds against a random string being a secret a priori. Where the whole candidate isn't, the same is asked of
+nats, the odds against a random string being a secret a priori. Three characters that have occurred in the string
+before are no evidence for a random one: repeating a rare word doesn't make a secret. Where the whole candidate isn't, the same is asked of
 its best segment of at least ``MIN_LENGTH`` characters, less the logarithm of the number of its segments: ordinary
 characters glued to a secret don't cancel it. It is reported up to the marks or ends around it that close its outer
-letters and digits. What is left on both sides of a reported segment is searched again.
+letters and digits. What is left on both sides of a reported segment is searched again. A run of more than WINDOW
+characters is searched in windows that overlap by OVERLAP; finds that overlap are one, with the greater score.
 
 Defined results
 * A null or empty text has no candidate and no line; a document has one line per find.
+* Of equally good segments of a run the first to end is taken, and of those the shortest.
 * Repeated rows and rows with equal or null doc_ids are scanned one by one. Very long texts are scanned
-  whole. An empty table gives an empty result. Extra columns are ignored.
+  whole, piece by piece. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import builtins
+import itertools
 import keyword
 import sys
 from collections.abc import Iterator
@@ -29,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, hash_sample
-from .textvec import codes, owners, slices, spans
+from .common import LONGEST_SAMPLE, col, hash_sample
+from .textvec import SLICE_CHARS, codes, owners, pieces, slices, spans
 
-MIN_LENGTH = 20
+#: Shorter strings are out of question: of eight random characters one in ten already fails to reach LEAST_SCORE.
+MIN_LENGTH = 8
+#: Characters of a window of a long run, those it shares with the next, and those looked at together.
+WINDOW, OVERLAP, BATCH_CHARS = 1 << 16, 1 << 11, 1 << 18
 LEAST_SCORE = 14.0
-#: Bound on the documents whose words count as labelled ordinary strings.
+#: Bound on the documents, of up to LONGEST_SAMPLE characters, whose words count as labelled ordinary strings.
 SAMPLE_ROWS = 300
 SAMPLES = 20000
 SEED = 5
@@ -105,48 +112,92 @@ class Scanner:
         each = self.table[:, (two * _S + one) * _S + c].astype(np.float64)
         return each[:-1] - each[-1]
 
-    def _ratio(self, c: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self._ratios(c, first), first, axis=1).max(0) - np.log(len(KINDS))
+    def _once(self, c: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """``_ratios``, where a character that has come after the same two in its string before counts against, not for."""
+        one, two = _before(c, first)
+        string = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
+        again = np.ones(len(c), bool)
+        again[np.unique(((string * _S + two) * _S + one) * _S + c, return_index=True)[1]] = False
+        out = self._ratios(c, first)
+        return np.where(again, np.minimum(out, 0), out)
 
     def score(self, strings: list[str]) -> np.ndarray:
         size = np.array([len(s) for s in strings])
-        return self._ratio(_SYMBOL[np.frombuffer("".join(strings).encode("ascii"), np.uint8)], np.cumsum(size) - size)
+        first = np.cumsum(size) - size
+        return _whole(self._once(_SYMBOL[np.frombuffer("".join(strings).encode("ascii"), np.uint8)], first), first)
 
     def find(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, start, end, score) of every reported string."""
-        cp, starts = codes(texts)
-        sym = _SYMBOL[np.minimum(cp, 128)]
-        s, e = spans(sym > 0)
+        if len(texts) == 1 and len(texts[0] or "") > SLICE_CHARS:
+            found = [(s + a, e + a, score) for a, b in pieces(texts[0]) for _, s, e, score in [self.find_in(*codes([texts[0][a:b]]))]]
+            s, e, score = (np.concatenate(x) for x in zip(*found))
+            return np.zeros(len(s), np.int64), s, e, score
+        return self.find_in(*codes(texts))
+
+    def find_in(self, cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``find`` in texts as code points."""
+        s, e = spans(_SYMBOL[np.minimum(cp, 128)].astype(bool))
         long = e - s >= MIN_LENGTH
         s, e = s[long], e[long]
+        # A run beyond WINDOW is searched in windows that overlap; what is found in several is put together.
+        n = np.maximum(-(-(e - s - OVERLAP) // (WINDOW - OVERLAP)), 1)
+        run = np.repeat(np.arange(len(s)), n)
+        a = s[run] + (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)) * (WINDOW - OVERLAP)
+        b = np.minimum(a + WINDOW, e[run])
+        cut = np.searchsorted(np.cumsum(b - a), np.arange(0, int((b - a).sum()), BATCH_CHARS), side="right")
+        found = [self._search(cp, a[i:j], b[i:j]) for i, j in itertools.pairwise([*cut, len(a)]) if j > i]
+        a, b, score = (np.concatenate(x) for x in zip(*found)) if found else (s[:0], s[:0], np.zeros(0))
+        order = np.lexsort((b, a))
+        a, b, score = a[order], b[order], score[order]
+        if len(a):
+            new = np.append(True, a[1:] >= np.maximum.accumulate(b)[:-1])
+            head = np.flatnonzero(new)
+            a, b, score = a[head], np.maximum.reduceat(b, head), np.maximum.reduceat(score, head)
+        doc = owners(starts, a)
+        return doc, a - starts[doc], b - starts[doc], score
+
+    def _search(self, cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, score) of what is reported in the runs [s, e) of the code points."""
+        at, first = _laid(s, e)
+        ratios = self._ratios(_SYMBOL[cp[at]], first)
+        # Repeats only lower a score, so strings that don't reach the least one without that are done with.
+        maybe = (_whole(ratios, first) > LEAST_SCORE) | (best_segments(ratios, first, first + e - s)[0] > LEAST_SCORE)
+        s, e = s[maybe], e[maybe]
         if not len(s):
-            return s, s, e, np.zeros(0)
-        first = np.cumsum(e - s) - (e - s)
-        at = np.arange(int((e - s).sum())) + np.repeat(s - first, e - s)
-        ratios = self._ratios(sym[at], first)
-        score = np.add.reduceat(ratios, first, axis=1).max(0) - np.log(len(KINDS))
+            return s, e, np.zeros(0)
+        at, first = _laid(s, e)
+        sym = _SYMBOL[cp[at]]
+        ratios = self._once(sym, first)
+        score = _whole(ratios, first)
         hit = score > LEAST_SCORE
         found = [(s[hit], e[hit], score[hit])]
         # Parts of the other runs; what a found part leaves on both sides is searched again.
         lo, hi = first[~hit], (first + e - s)[~hit]
-        mark, i = sym[at] > _ALNUM, np.arange(len(at))
+        mark, i = sym > _ALNUM, np.arange(len(at))
         left = np.maximum.accumulate(np.where(mark, i, -1)) + 1  # after the last mark
         right = np.minimum.accumulate(np.where(mark, i, len(at))[::-1])[::-1]  # the next mark
         while len(lo):
             score, a, b = best_segments(ratios, lo, hi)
             hit = score > LEAST_SCORE
-            lo, hi, a, b = lo[hit], hi[hit], a[hit], b[hit]
+            lo, hi, a, b, score = lo[hit], hi[hit], a[hit], b[hit], score[hit]
             a = np.where(mark[a], a, np.maximum(lo, left[a]))
             b = np.where(mark[b - 1], b, np.minimum(hi, right[b - 1]))
-            found.append((at[a], at[b - 1] + 1, score[hit]))
+            found.append((at[a], at[b - 1] + 1, score))
             lo, hi = np.concatenate([lo, b]), np.concatenate([a, hi])
             long = hi - lo >= MIN_LENGTH
             lo, hi = lo[long], hi[long]
-        s, e, score = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(s)
-        s, e, score = s[order], e[order], score[order]
-        doc = owners(starts, s)
-        return doc, s - starts[doc], e - starts[doc], score
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _laid(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all characters of the strings [s, e), one after the other, and where each string starts among them."""
+    first = np.cumsum(e - s) - (e - s)
+    return np.arange(int((e - s).sum())) + np.repeat(s - first, e - s), first
+
+
+def _whole(ratios: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The score of each string as a whole."""
+    return np.add.reduceat(ratios, first, axis=1).max(0) - np.log(len(KINDS))
 
 
 def best_segments(ratios: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +229,7 @@ def best_segments(ratios: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[n
 
 
 def fit(docs: DataFrame) -> Scanner:
-    slim = docs.select(col(docs, "doc_id").alias("id"), col(docs, "text").alias("t")).filter("t is not null")
+    slim = docs.select(col(docs, "doc_id").alias("id"), col(docs, "text").alias("t")).filter(F.length("t") <= LONGEST_SAMPLE)
     rows = hash_sample(slim, F.struct("id", "t"), SAMPLE_ROWS).collect()
     return Scanner(sorted({w.strip(".,;:!?") for r in rows for w in r["t"].split()}))
 
