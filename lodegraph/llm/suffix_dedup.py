@@ -15,16 +15,17 @@ twice in the corpus, in other documents or the same one.
    Lyndon prefixes, groups are processed in descending order with previous-smaller pointers, and the order
    within groups is then emitted along these pointers, without recursive renaming. A window is repeated if
    it shares PASSAGE words with its neighbour in the suffix array. An anchor with over HOT_CONTEXTS distinct
-   contexts would not fit one task: its windows are grouped by 128-bit hashes instead, with the same result.
+   contexts would not fit one task: its windows get a finer anchor, the 2, then 4, 8, 16 and finally all grams with
+   the least hashes in the window instead of the one, and their runs meet by that. Equal windows stay together.
 4. Repeated windows go back to every run with that context, and are merged per document.
 
-Words are compared by 64-bit hashes in anchors and contexts (128 bits for a context's identity).
+Words are compared by 64-bit hashes in anchors and contexts (128 bits for a context's or a document's identity).
 
 Defined results
 * A null text, an empty one, or one of fewer than PASSAGE words has no stretch and no line in the result.
 * Repeated rows repeat all their passages; they share one set of lines. Rows with equal doc_ids and
   different texts are searched separately and reported under that doc_id; null doc_ids likewise.
-* Very long texts are searched whole. An empty table gives an empty result. Extra columns are ignored.
+* Very long texts are searched whole, in blocks of windows. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,19 +37,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, materialize, sized
-from .textvec import _P, codes, mix, owners, slices, span_hashes, spans
+from ..plans.steps import materialize, sized
+from .common import col
+from .textvec import _P, SLICE_CHARS, codes, mix, pieces, slices, span_hashes, spans
 
 PASSAGE = 50
 ANCHOR = 20
 #: Contexts in a shard, on average; a shard's suffix array holds about 65 words of each.
 SHARD_CONTEXTS = 3000
-#: Anchors with more distinct contexts than a task should hold have their windows compared one by one.
+#: Anchors with more distinct contexts than a task should hold are split.
 HOT_CONTEXTS = 20000
+#: Windows of one document looked at together.
+BLOCK = 1 << 17
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of all texts, and the first word of every text (one more than texts)."""
+    if len(texts) == 1 and len(texts[0] or "") > SLICE_CHARS:
+        words = np.concatenate([word_hashes([texts[0][a:b]])[0] for a, b in pieces(texts[0], SLICE_CHARS - 1)])
+        return words, np.array([0, len(words)])
     cp, starts = codes(texts)
     s, e = spans(~((cp == 32) | (cp == 10) | (cp == 9) | (cp == 13)))
     return span_hashes(cp, s, e), np.searchsorted(s, starts)
@@ -203,12 +210,23 @@ def repeated_windows(contexts: list[np.ndarray]) -> list[np.ndarray]:
     return [hit[s : s + max(n - PASSAGE + 1, 0)] for s, n in zip(starts, sizes)]
 
 
+def _blocks(words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """``runs`` of a slice; a document that is a slice by itself is cut into blocks of windows."""
+    if len(first) > 2:
+        yield runs(words, first)
+        return
+    for at in range(0, max(len(words) - PASSAGE + 1, 1), BLOCK):
+        part = words[at : at + BLOCK + PASSAGE - 1]
+        doc, start, *rest = runs(part, np.array([0, len(part)]))
+        yield doc, start + at, *rest
+
+
 def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, docs = batch.column(1).to_pylist(), np.asarray(batch.column(0))
+        d1, d2, texts = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_pylist()
         for a, b in slices(texts):
-            doc, start, count, anchor, context = runs(*word_hashes(texts[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(docs[a:b][doc]), pa.array((start << 24) | count)], ["anchor", "context", "doc", "place"])
+            for doc, start, count, anchor, context in _blocks(*word_hashes(texts[a:b])):
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(d1[a:b][doc]), pa.array(d2[a:b][doc]), pa.array((start << 24) | count)], ["anchor", "context", "d1", "d2", "place"])
 
 
 def _emit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,57 +258,98 @@ def _search(shard: pa.Table) -> pa.Table:
     return pa.table({"anchor": shard.column("anchor").take(take), "context": shard.column("context").take(take), "off": pa.array(out[1], pa.int64()), "count": pa.array(out[2], pa.int64())})
 
 
-def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the contexts, as its place in the context and two hashes of its words."""
-    for batch in batches:
-        for i, packed in enumerate(batch.column(2).to_pylist()):
-            words = np.frombuffer(packed, np.uint64)
-            one, two = (gram_hashes(words, PASSAGE, seed).view(np.int64) for seed in (41, 43))
-            at = pa.array(np.full(len(one), i))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.arange(len(one))), pa.array(one), pa.array(two)], ["anchor", "context", "off", "h1", "h2"])
+def finer_runs(words: np.ndarray, grams: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, windows, anchor, context hash) of every run of a context's windows that share their ``grams`` least gram hashes."""
+    width = PASSAGE - ANCHOR + 1
+    for at in range(0, len(words) - PASSAGE + 1, 4096):
+        part = words[at : at + 4096 + PASSAGE - 1]
+        least = np.sort(np.lib.stride_tricks.sliding_window_view(gram_hashes(part, ANCHOR, 3), width), axis=1)
+        key = np.full(len(least), grams, np.uint64)
+        for k in range(min(grams, width)):
+            key = mix(key + least[:, k])
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(head, len(key)))
+        s, inv = _prefix(part, 31)
+        context = mix((s[head + count + PASSAGE - 1] - s[head]) * inv[head] + count.astype(np.uint64))
+        yield from zip((head + at).tolist(), count.tolist(), key[head].view(np.int64).tolist(), context.view(np.int64).tolist())
 
 
 def _contexts(asked: DataFrame, rows: DataFrame) -> DataFrame:
     """(anchor, context, words) of the contexts in ``asked``, read from the documents that ``one`` names."""
-    wanted = materialize(asked.groupBy("one.doc").agg(F.collect_list(F.struct("anchor", "context", "one.place")).alias("wanted")))
-    some = rows.select("doc", "text").join(sized(wanted.select("doc"), wanted.count(), 64), "doc", "left_semi").dropDuplicates(["doc"])
-    return some.join(wanted, "doc").select("text", "wanted").mapInArrow(_emit_words, "anchor long, context long, words binary")
+    wanted = materialize(asked.groupBy("one.d1", "one.d2").agg(F.collect_list(F.struct("anchor", "context", "one.place")).alias("wanted")))
+    some = rows.select("d1", "d2", "text").join(sized(wanted.select("d1", "d2"), wanted.count(), 64), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+    return some.join(wanted, ["d1", "d2"]).select("text", "wanted").mapInArrow(_emit_words, "anchor long, context long, words binary")
+
+
+def _searched(contexts: DataFrame, n: int) -> DataFrame:
+    """(anchor, context, off, count): the repeated windows of n contexts, anchors of which fit a task."""
+    shards = max(1, -(-n // SHARD_CONTEXTS))
+    return contexts.withColumn("shard", F.pmod(F.col("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_search, "anchor long, context long, off long, count long")
+
+
+def _split(contexts: DataFrame, grams: int) -> DataFrame:
+    """``_searched`` for contexts (anchor, context, words) of hot anchors: by finer anchors, doubling ``grams`` while some are hot."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, packed in enumerate(batch.column(2).to_pylist()):
+                words = np.frombuffer(packed, np.uint64)
+                found = list(finer_runs(words, grams))
+                off, count, anchor, context = (np.array(x, np.int64) for x in zip(*found))
+                at = pa.array(np.full(len(off), i))
+                text = pa.array([words[o : o + k + PASSAGE - 1].tobytes() for o, k, _, _ in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(off), pa.array(count), pa.array(anchor), pa.array(context), text], ["anchor", "context", "off", "count", "a2", "c2", "words"])
+
+    sub = materialize(contexts.mapInArrow(emit, "anchor long, context long, off long, count long, a2 long, c2 long, words binary"))
+    kinds = sub.groupBy("a2", "c2").agg(F.count("*").alias("n"), F.min("words").alias("words"))
+    kinds = materialize(kinds.select(F.col("a2").alias("anchor"), F.col("c2").alias("context"), "n", "words"))
+    per_anchor = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    last = grams >= PASSAGE - ANCHOR + 1  # all grams: equal windows only
+    parts = _found(kinds, per_anchor if last else per_anchor.filter(F.col("kinds") <= HOT_CONTEXTS))
+    hot = per_anchor.filter(F.col("kinds") > HOT_CONTEXTS)
+    if not last and hot.limit(1).count():
+        parts = parts.unionByName(_split(kinds.join(hot, "anchor", "left_semi").select("anchor", "context", "words"), 2 * grams))
+    some = parts.select(F.col("anchor").alias("a2"), F.col("context").alias("c2"), F.col("off").alias("o2"), F.col("count").alias("k2"))
+    part = sub.join(some, ["a2", "c2"]).select("anchor", "context", (F.col("off") + F.col("o2")).alias("off"), F.col("k2").alias("count"))
+    twice = kinds.filter("n > 1").select(F.col("anchor").alias("a2"), F.col("context").alias("c2"))
+    return part.unionByName(sub.join(twice, ["a2", "c2"]).select("anchor", "context", "off", "count"))
+
+
+def _found(kinds: DataFrame, anchors: DataFrame) -> DataFrame:
+    asked = kinds.join(anchors.select("anchor"), "anchor", "left_semi").select("anchor", "context", "words")
+    return _searched(asked, asked.count())
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start_word (from 0) and n_words of every maximal stretch of repeated passages."""
     text, doc_id = col(docs, "text"), col(docs, "doc_id")
     # A row's identity: rows of equal doc_id and text have the same passages.
-    rows = docs.select(F.xxhash64(doc_id.isNull(), doc_id, text).alias("doc"), doc_id.alias("doc_id"), text.alias("text")).filter("text is not null")
-    every = rows.select("doc", "text").mapInArrow(_emit_runs, "anchor long, context long, doc long, place long")
-    often = every.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1").drop("n")
-    often = materialize(often)
-    groups = often.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one"))
-    groups = materialize(groups.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))))
-    asked = groups.filter((F.col("kinds") > 1) & (F.col("kinds") <= HOT_CONTEXTS))
-    shards = max(1, -(-asked.count() // SHARD_CONTEXTS))
-    found = _contexts(asked, rows).withColumn("shard", F.pmod(F.col("anchor"), F.lit(shards)))
-    parts = found.groupBy("shard").applyInArrow(_search, "anchor long, context long, off long, count long")
-    hot = groups.filter(F.col("kinds") > HOT_CONTEXTS)
-    if hot.limit(1).count():
-        windows = materialize(_contexts(hot, rows).mapInArrow(_emit_windows, "anchor long, context long, off long, h1 long, h2 long"))
-        twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-        parts = parts.unionByName(windows.join(twice, ["h1", "h2"]).select("anchor", "context", "off", F.lit(1).cast("long").alias("count")))
-    part = often.join(parts, ["anchor", "context"]).select("doc", (F.shiftright("place", 24) + F.col("off")).alias("s"), F.col("count"))
-    whole = often.join(groups.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("doc", F.shiftright("place", 24).alias("s"), F.col("place").bitwiseAND(F.lit(0xFFFFFF)).alias("count"))
-    hits = part.unionByName(whole).select("doc", "s", (F.col("s") + F.col("count") + PASSAGE - 1).alias("e"))
+    one, two = (F.xxhash64(F.lit(seed), doc_id.isNull(), doc_id, text) for seed in (17, 91))
+    rows = docs.select(one.alias("d1"), two.alias("d2"), doc_id.alias("doc_id"), text.alias("text")).filter("text is not null")
+    every = materialize(rows.select("d1", "d2", "text").mapInArrow(_emit_runs, "anchor long, context long, d1 long, d2 long, place long"))
+    # Counted with partial sums, then joined: an anchor may have a third of all runs.
+    often = materialize(every.join(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchor", "left_semi"))
+    groups = materialize(often.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "place")).alias("one")))
+    kinds = materialize(groups.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    asked = materialize(groups.join(kinds.filter(F.col("kinds") <= HOT_CONTEXTS).select("anchor"), "anchor", "left_semi"))
+    parts = _searched(_contexts(asked, rows), asked.count())
+    hot = groups.join(kinds.filter(F.col("kinds") > HOT_CONTEXTS).select("anchor"), "anchor", "left_semi")
+    if kinds.filter(F.col("kinds") > HOT_CONTEXTS).limit(1).count():
+        parts = parts.unionByName(_split(_contexts(hot, rows), 2))
+    part = often.join(parts, ["anchor", "context"]).select("d1", "d2", (F.shiftright("place", 24) + F.col("off")).alias("s"), F.col("count"))
+    whole = often.join(groups.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("d1", "d2", F.shiftright("place", 24).alias("s"), F.col("place").bitwiseAND(F.lit(0xFFFFFF)).alias("count"))
+    hits = part.unionByName(whole).select("d1", "d2", "s", (F.col("s") + F.col("count") + PASSAGE - 1).alias("e"))
     return _named(_merged(hits), rows)
 
 
 def _merged(hits: DataFrame) -> DataFrame:
     """Union of the word ranges [s, e) of each doc; ranges merge where their windows follow on each other."""
-    order = Window.partitionBy("doc").orderBy("s", "e")
+    order = Window.partitionBy("d1", "d2").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = hits.withColumn("new", F.coalesce((F.col("s") > reach - PASSAGE + 1).cast("int"), F.lit(1)))
     island = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return island.groupBy("doc", "island").agg(F.min("s").alias("start_word"), (F.max("e") - F.min("s")).alias("n_words")).drop("island")
+    return island.groupBy("d1", "d2", "island").agg(F.min("s").alias("start_word"), (F.max("e") - F.min("s")).alias("n_words")).drop("island")
 
 
 def _named(stretches: DataFrame, rows: DataFrame) -> DataFrame:
-    names = rows.select("doc", "doc_id").distinct()
-    return stretches.join(names, "doc").select("doc_id", "start_word", "n_words").distinct()
+    names = rows.select("d1", "d2", "doc_id").distinct()
+    return stretches.join(names, ["d1", "d2"]).select("doc_id", "start_word", "n_words").distinct()
