@@ -5,7 +5,8 @@ shards by their leading bits, and each shard gets a minimal perfect hash (a casc
 digest that lands alone in a level is placed there, the rest go on). Its slots hold the full 32-byte
 digest and the locator of the winning row. The batch's distinct digests go to the same shards, find their
 slot and are compared byte for byte: a match is a repeat of the history; what does not match is no
-member and is grouped on its own. Text never takes part in a shuffle.
+member and is grouped on its own. Text never takes part in a shuffle. The hash (``index``) is a table: it can be
+written, and read for every batch to come.
 
 Winner of a group: the least doc_id (nulls last, then the row's content hash), in the history if any of
 its rows has the text, else in the batch.
@@ -13,7 +14,7 @@ its rows has the text, else in the batch.
 Defined results
 * A null text equals nothing: each such row is kept, with itself as winner. The empty text is a text.
 * Of rows equal in every column one stays. Rows that share a doc_id are still separate rows.
-* Very long texts are digested whole. An empty history or an empty batch is fine.
+* doc_ids are integers; one that isn't is treated as null. Very long texts are digested whole. An empty history or an empty batch is fine.
 * Extra columns pass through ``keep_first`` untouched, whatever their names.
 """
 
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, drop_rows, locator, materialize, min_by_order
+from ..plans.steps import materialize
+from .common import col, drop_rows, locator, min_by_order
 from .textvec import mix
 
 #: Distinct digests in a shard, on average.
@@ -70,7 +72,7 @@ def slots(words: np.ndarray, sizes: list[int], bits: np.ndarray) -> np.ndarray:
     return out
 
 
-_SHARD = "shard int, sizes array<int>, bits binary, digests binary, winners array<struct<doc_id:bigint,l1:bigint,l2:bigint>>"
+_SHARD = "shard int, shards int, sizes array<int>, bits binary, digests binary, winners array<struct<doc_id:bigint,l1:bigint,l2:bigint>>"
 _FOUND = "digest binary, member boolean, w struct<doc_id:bigint,l1:bigint,l2:bigint>"
 
 
@@ -83,6 +85,7 @@ def _build_shard(rows: pa.Table) -> pa.Table:
     winners = rows.column("w").combine_chunks().take(pa.array(order))
     return pa.table({
         "shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()),
+        "shards": pa.array([rows.column("shards")[0].as_py()], pa.int32()),
         "sizes": pa.array([sizes], pa.list_(pa.int32())),
         "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()),
         "digests": pa.array([kept], pa.binary()),
@@ -107,59 +110,71 @@ def _look_up(shard: pa.Table, rows: pa.Table) -> pa.Table:
     return pa.table({"digest": digests, "member": pa.array(member), "w": own})
 
 
-def _verdicts(docs: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: l1, l2, doc_id, digest, old; verdicts: digest, old, w, n) over the history and the batch."""
-    def slim(df: DataFrame, old: bool) -> DataFrame:
-        one, two = locator(df)
-        return df.select(one.alias("l1"), two.alias("l2"), col(df, "doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(col(df, "text"), 256)).alias("digest"), F.lit(old).alias("old"))
+def _digests(docs: DataFrame) -> DataFrame:
+    """l1, l2, doc_id and digest of every row, as a table."""
+    one, two = locator(docs)
+    return materialize(docs.select(one.alias("l1"), two.alias("l2"), col(docs, "doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(col(docs, "text"), 256)).alias("digest")))
 
-    rows = materialize(slim(history, True).unionByName(slim(docs, False)))
+
+def _distinct(rows: DataFrame) -> DataFrame:
+    """digest, w (doc_id, l1, l2 of its winner) and n of every digest, as a table."""
     order = (F.col("doc_id"), F.col("l1"), F.col("l2"))
-    distinct = materialize(rows.filter("digest is not null").groupBy("digest", "old").agg(min_by_order(F.struct("doc_id", "l1", "l2"), *order).alias("w"), F.count("*").alias("n")))
-    shards = max(1, -(-distinct.filter("old").count() // SHARD_DIGESTS))
+    return materialize(rows.filter("digest is not null").groupBy("digest").agg(min_by_order(F.struct("doc_id", "l1", "l2"), *order).alias("w"), F.count("*").alias("n")))
+
+
+def _sharded(distinct: DataFrame, shards: int) -> DataFrame:
     of = F.pmod(F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("long"), F.lit(shards)).cast("int")
-    keyed = distinct.withColumn("shard", of)
-    hashes = keyed.filter("old").select("shard", "digest", "w").groupBy("shard").applyInArrow(_build_shard, _SHARD)
-    batch = keyed.filter("not old").select("shard", "digest", "w")
-    found = hashes.groupBy("shard").cogroup(batch.groupBy("shard")).applyInArrow(_look_up, _FOUND)
-    news = found.select("digest", F.lit(False).alias("old"), "w")
-    olds = distinct.filter("old").select("digest", "old", "w")
-    return rows, olds.unionByName(news)
+    return distinct.select(of.alias("shard"), F.lit(shards).alias("shards"), "digest", "w")
+
+
+def index(history: DataFrame) -> DataFrame:
+    """The minimal perfect hash of a history's distinct texts: a table, one row a shard, to be written and kept."""
+    distinct = _distinct(_digests(history))
+    shards = max(1, -(-distinct.count() // SHARD_DIGESTS))
+    return materialize(_sharded(distinct, shards).groupBy("shard").applyInArrow(_build_shard, _SHARD))
 
 
 def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(history, batch): doc_ids up to the middle of their range have come before; the others, and nulls, come now."""
-    lo, hi = docs.agg(F.min(col(docs, "doc_id")), F.max(col(docs, "doc_id"))).first()
-    middle = F.lit(None) if lo is None else F.lit((lo + hi) // 2)
-    old = F.coalesce(col(docs, "doc_id") <= middle, F.lit(False))
+    """(history, batch): by a hash of the doc_id, half of the rows have come before; the others, and null doc_ids, come now."""
+    old = F.coalesce(F.md5(col(docs, "doc_id").cast("string")) < "8", F.lit(False))
     return docs.filter(old), docs.filter(~old)
 
 
-def _placed(docs: DataFrame, history: DataFrame) -> DataFrame:
-    rows, verdicts = _verdicts(docs, history)
-    return rows.filter("digest is not null").join(verdicts, ["digest", "old"]).withColumn("wins", (F.col("l1") == F.col("w.l1")) & (F.col("l2") == F.col("w.l2")))
+def _verdicts(docs: DataFrame, history: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows: l1, l2, doc_id, digest; verdicts: digest, member, w) of a batch against the hash of a history."""
+    rows = _digests(docs)
+    distinct = _distinct(rows)
+    shards = history.agg(F.max("shards")).first()[0] if history is not None else None
+    if shards is None:
+        return rows, distinct.select("digest", F.lit(False).alias("member"), "w")
+    batch = _sharded(distinct, shards).drop("shards")
+    return rows, materialize(history.groupBy("shard").cogroup(batch.groupBy("shard")).applyInArrow(_look_up, _FOUND))
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, digest (hex), winner_id (doc_id of the group's kept row), kept.
+def exact_duplicates(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, digest (hex), winner_id (doc_id of the group's kept row, in the history or here), kept.
 
-    The earlier half of the doc_ids plays the history, the later half the arriving batch; the result is
-    the same wherever that border lies.
+    history is the ``index`` of what came before; without one the docs are only compared with each other.
     """
-    batch, history = reversed(halves(docs))
-    rows, verdicts = _verdicts(batch, history)
+    rows, verdicts = _verdicts(docs, history)
     place = F.row_number().over(Window.partitionBy("digest", "l1", "l2").orderBy("doc_id"))
-    found = rows.join(verdicts, ["digest", "old"], "left")
-    text = found.filter("digest is not null").withColumn("place", place)
-    kept = (F.col("l1") == F.col("w.l1")) & (F.col("l2") == F.col("w.l2")) & (F.col("place") == 1)
-    none = found.filter("digest is null").select("doc_id", F.lit(None).cast("string").alias("digest"), F.col("doc_id").alias("winner_id"), F.lit(True).alias("kept"))
+    text = rows.filter("digest is not null").join(verdicts, "digest").withColumn("place", place)
+    kept = ~F.col("member") & (F.col("l1") == F.col("w.l1")) & (F.col("l2") == F.col("w.l2")) & (F.col("place") == 1)
+    none = rows.filter("digest is null").select("doc_id", F.lit(None).cast("string").alias("digest"), F.col("doc_id").alias("winner_id"), F.lit(True).alias("kept"))
     return text.select("doc_id", F.lower(F.hex("digest")).alias("digest"), F.col("w.doc_id").alias("winner_id"), kept.alias("kept")).unionByName(none)
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def of_both_halves(docs: DataFrame) -> DataFrame:
+    """``exact_duplicates`` of a whole table: of its history by itself, and of the batch against it."""
+    history, batch = halves(docs)
+    return exact_duplicates(history).unionByName(exact_duplicates(batch, index(history)))
+
+
+def keep_first(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """docs without the rows that ``exact_duplicates`` does not keep, columns unchanged."""
-    batch, history = reversed(halves(docs))
-    placed = _placed(batch, history)
+    rows, verdicts = _verdicts(docs, history)
+    wins = ~F.col("member") & (F.col("l1") == F.col("w.l1")) & (F.col("l2") == F.col("w.l2"))
+    placed = materialize(rows.filter("digest is not null").join(verdicts, "digest").select("l1", "l2", wins.alias("wins")))
     losers = materialize(placed.filter("not wins").select("l1", "l2").distinct())
     repeated = materialize(placed.filter("wins").groupBy("l1", "l2").agg(F.count("*").alias("n")).filter("n > 1").select("l1", "l2"))
     return drop_rows(docs, losers, repeated)

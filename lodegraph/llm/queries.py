@@ -13,7 +13,7 @@ from .common import table
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": lambda s, d: quality.classify(table(s, d, "documents", "doc_id"), table(s, d, "labels")),
-        "op2_exact_dedup": lambda s, d: exact_dedup.exact_duplicates(table(s, d, "documents", "doc_id")),
+        "op2_exact_dedup": lambda s, d: exact_dedup.of_both_halves(table(s, d, "documents", "doc_id")),
         "op3_simhash_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents", "doc_id")),
         "op4_language_id": lambda s, d: language.identify(table(s, d, "documents", "doc_id")),
         "op5_secret_scan": lambda s, d: secret_scan.scan(table(s, d, "documents", "doc_id")),
@@ -38,7 +38,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, sha256(text) AS digest,
                    CASE WHEN text IS NULL THEN doc_id ELSE first_value(doc_id) OVER w END AS winner_id,
                    text IS NULL OR row_number() OVER w = 1 AS kept
-            FROM documents WINDOW w AS (PARTITION BY text ORDER BY doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+            FROM documents WINDOW w AS (PARTITION BY text ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)) >= '8', true), doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
         "op6_suffix_array_dedup": rf"""
             WITH words AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS w FROM documents),
             windows AS (SELECT doc_id, i - 1 AS s, array_to_string(w[i : i + {suffix_dedup.PASSAGE - 1}], ' ') AS t

@@ -40,22 +40,30 @@ def brute_exact(rows):
     return best
 
 
-def test_history_and_batch_border_does_not_matter(spark, monkeypatch):
+def test_batch_against_history(spark, monkeypatch, tmp_path):
+    """Repeats of a stored history go, wherever the border lies; the others are grouped by themselves."""
+    monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 7)
     rnd = random.Random(1)
     rows = [(i, prose(rnd.randrange(60), 5)) for i in range(300)]
-    d = docs(spark, rows)
-    want = {(i, best[1]) for i, t in rows for best in [brute_exact(rows)[t]]}
-    for cut in (-1, 100, 299):
-        monkeypatch.setattr(exact_dedup, "halves", lambda x, c=cut: (x.filter(F.col("doc_id") <= c), x.filter(F.col("doc_id") > c)))
-        monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 7)
-        got = exact_dedup.exact_duplicates(d).collect()
-        assert {(r["doc_id"], r["winner_id"]) for r in got} == want and len(got) == 300
+    for cut in (0, 100, 299):
+        exact_dedup.index(docs(spark, rows[:cut])).write.parquet(f"{tmp_path}/{cut}")
+        got = exact_dedup.exact_duplicates(docs(spark, rows[cut:]), spark.read.parquet(f"{tmp_path}/{cut}")).collect()
+        best = brute_exact(rows)
+        assert sorted((r["doc_id"], r["winner_id"]) for r in got) == [(i, best[t][1]) for i, t in rows[cut:]]
         assert all(r["kept"] == (r["doc_id"] == r["winner_id"]) and r["digest"] == hashlib.sha256(rows[r["doc_id"]][1].encode()).hexdigest() for r in got)
+        kept = exact_dedup.keep_first(docs(spark, rows[cut:]), spark.read.parquet(f"{tmp_path}/{cut}"))
+        assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, t in rows[cut:] if best[t][1] == i]
+
+
+def test_history_wins_over_lesser_ids(spark):
+    index = exact_dedup.index(docs(spark, [(50, "a b"), (40, "a b"), (60, None), (70, "")]))
+    got = exact_dedup.exact_duplicates(docs(spark, [(1, "a b"), (2, None), (3, "c"), (4, "c"), (None, ""), (5, "")]), index).collect()
+    assert sorted(((r["doc_id"] or 0, r["winner_id"], r["kept"]) for r in got)) == [(0, 70, False), (1, 40, False), (2, 2, True), (3, 3, True), (4, 3, False), (5, 70, False)]
 
 
 def test_awkward_exact(spark):
     d = awkward(spark)
-    got = exact_dedup.exact_duplicates(d).collect()
+    got = exact_dedup.of_both_halves(d).collect()
     assert len(got) == d.count()
     by = defaultdict(list)
     for r in got:
@@ -66,7 +74,9 @@ def test_awkward_exact(spark):
     assert kept.filter("text is null").count() == 3  # both copies of a row without text stay
     assert kept.filter("text is not null").count() == kept.filter("text is not null").select("text").distinct().count()
     assert kept.filter(F.col("text") == prose(1)).first()["doc_id"] == 1
-    assert exact_dedup.exact_duplicates(empty(d)).count() == 0 == exact_dedup.keep_first(empty(d)).count()
+    assert exact_dedup.keep_first(d, exact_dedup.index(d)).filter("text is not null").count() == 0
+    assert exact_dedup.keep_first(d, exact_dedup.index(empty(d))).count() == kept.count()
+    assert exact_dedup.of_both_halves(empty(d)).count() == 0 == exact_dedup.keep_first(empty(d)).count()
 
 
 # Near
@@ -236,6 +246,25 @@ def test_awkward_near(spark):
 # Suffix arrays
 
 
+def test_blocks_and_pieces_of_long_texts(spark, monkeypatch):
+    """Small blocks and pieces give the stretches of the brute force."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
+    monkeypatch.setattr(suffix_dedup, "SLICE_CHARS", 500)
+    monkeypatch.setattr(suffix_dedup, "slices", lambda texts: textvec.slices(texts, 500))
+    shared = prose("shared", 130)
+    rows = [(i, prose(f"{i}l", 300) + "\t" + shared + " \n" + prose(f"{i}r", 150)) for i in range(4)] + [(9, "same " * 700)]
+    every = [(d, r) for d, t in rows for r in _runs_of(t)]
+    assert all(k + suffix_dedup.PASSAGE - 1 <= 64 + suffix_dedup.PASSAGE - 1 for _, (_, k) in every)
+    for d, t in rows:
+        at = sorted(r for x, r in every if x == d)
+        assert [s for s, k in at for s in range(s, s + k)] == list(range(len(t.split()) - suffix_dedup.PASSAGE + 1))
+    assert {tuple(r) for r in suffix_dedup.repeated_passages(docs(spark, rows)).collect()} == brute_stretches(rows)
+
+
+def _runs_of(text):
+    return [(int(s), int(k)) for _, start, count, _, _ in suffix_dedup._blocks(*suffix_dedup.word_hashes([text])) for s, k in zip(start, count)]
+
+
 def test_suffix_array_by_sorting():
     rnd = random.Random(2)
     for _ in range(1500):
@@ -268,7 +297,7 @@ def brute_stretches(rows, n=suffix_dedup.PASSAGE):
     return out
 
 
-@pytest.mark.parametrize(("shard", "hot"), [(1, 20000), (3000, 20000), (3000, 4), (3000, 1)])
+@pytest.mark.parametrize(("shard", "hot"), [(1, 20000), (3000, 4), (3000, 1)])
 def test_passages_by_brute_force(spark, monkeypatch, shard, hot):
     monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", shard)
     monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
