@@ -17,7 +17,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col
@@ -55,18 +55,29 @@ def render(final: DataFrame) -> DataFrame:
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
-    """The event log behind a table of turns: each line of a message is a streamed delta.
+    """An event log that ends in a table of turns, with every kind of event.
 
-    Where a conversation has several rows for a turn, the first in order of role and text is streamed and
-    each later one is an edit of it.
+    By a hash of conversation and turn, half of the messages are streamed line by line, as deltas. A quarter is first
+    streamed up to its middle and then edited into the whole; another quarter likewise, but regenerated, after the next
+    turn had begun to answer the draft. Where a conversation has several rows for a turn, the first in order of role and
+    text is treated so and each later one is an edit of it.
     """
     t = conversations.select([col(conversations, c).alias(c) for c in ("conv_id", "turn", "role", "text")]).repartition("conv_id").distinct()
     w = Window.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    t = t.withColumn("version", F.row_number().over(w))
-    lines = F.split(F.coalesce("text", F.lit("")), "(?<=\n)", -1)
-    parts = t.select("conv_id", "turn", "role", F.when(F.col("version") > 1, "edit").otherwise("delta").alias("kind"), "version", F.posexplode(F.when(F.col("version") > 1, F.array(F.coalesce("text", F.lit("")))).otherwise(lines)).alias("line", "text"))
-    seq = F.coalesce(F.col("turn").cast("long"), F.lit(-1)) * (1 << 36) + (F.col("version") - 1) * (1 << 28) + F.col("line")
-    return parts.select("conv_id", seq.alias("seq"), "turn", "kind", "role", "text")
+    t = t.withColumn("version", F.row_number().over(w)).withColumn("text", F.coalesce("text", F.lit("")))
+    draft = F.expr("left(text, length(text) div 2)")
+    way = F.when(F.col("version") > 1, 4).when(F.col("turn").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)).cast("int"))
+
+    def event(kind: str, text: Column, turn: Column | str = "turn") -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (F.col(turn) if isinstance(turn, str) else turn).alias("turn"), text.alias("text"))
+
+    streamed = F.transform(F.split("text", "(?<=\n)", -1), lambda line: event("delta", line))
+    edited = F.array(event("delta", draft), event("edit", F.col("text")))
+    renewed = F.array(event("delta", draft), event("delta", F.lit("?"), F.col("turn") + 1), event("regenerate", F.col("text")))
+    events = F.when(way == 4, F.array(event("edit", F.col("text")))).when(way == 1, edited).when(way == 3, renewed).otherwise(streamed)
+    parts = t.select("conv_id", F.col("turn").alias("of"), "role", "version", F.posexplode(events).alias("at", "e"))
+    seq = F.coalesce(F.col("of").cast("long"), F.lit(-1)) * (1 << 36) + (F.col("version") - 1) * (1 << 28) + F.col("at")
+    return parts.select("conv_id", seq.alias("seq"), F.col("e.turn").alias("turn"), F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:

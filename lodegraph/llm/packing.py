@@ -9,6 +9,8 @@ document and grow in number with the table. Each leaves at most one bin part-fil
 Defined results
 * Tokens are runs of characters other than space, tab, newline and carriage return. A row without any (null
   or empty text) takes no room: one line with piece, class and bin null and 0 tokens.
+* Within a class and shard, pieces are placed in the order of a hash of doc_id and text, and of piece; pieces equal in
+  both are interchangeable.
 * Repeated rows are packed each; null doc_ids are packed by their text. Very long texts give many pieces.
 * An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
@@ -33,11 +35,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shards = max(1, -(-docs.count() // SHARD_ROWS))
     rows = docs.select(col(docs, "doc_id").alias("doc_id"), tokens_of(text).alias("n"), key_of(col(docs, "doc_id"), text, SEED).alias("key"))
     shard = F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(shards))
-    pieces = rows.filter("n > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))))
-    pieces = pieces.withColumn("tokens", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity))
-    pieces = pieces.withColumn("class", F.floor(F.lit(capacity) / F.col("tokens"))).withColumn("shard", shard)
+    whole = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity)))
+    pieces = rows.withColumn("shard", shard).withColumn("piece", F.explode_outer(whole))  # a row without tokens has the piece null
+    pieces = pieces.withColumn("tokens", F.when(F.col("piece").isNull(), 0).otherwise(F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity)))
+    pieces = pieces.withColumn("class", F.when(F.col("tokens") > 0, F.floor(F.lit(capacity) / F.col("tokens"))))
     place = F.row_number().over(Window.partitionBy("class", "shard").orderBy("key", "piece")) - 1
-    full = pieces.withColumn("place", place)
-    out = full.select("doc_id", "piece", "tokens", "class", F.concat_ws("-", F.col("class"), F.col("shard"), F.floor(F.col("place") / F.col("class"))).alias("bin_id"), F.pmod(F.col("place"), F.col("class")).alias("slot"))
-    none = rows.filter("n = 0").select("doc_id", *[F.lit(None).cast(t).alias(c) if c != "tokens" else F.lit(0).cast("long").alias(c) for c, t in (("piece", "long"), ("tokens", "long"), ("class", "long"), ("bin_id", "string"), ("slot", "long"))])
-    return out.unionByName(none)
+    bin_id = F.concat(F.col("class"), F.lit("-"), F.col("shard"), F.lit("-"), F.floor(F.col("place") / F.col("class")))
+    return pieces.withColumn("place", place).select("doc_id", "piece", "tokens", "class", bin_id.alias("bin_id"), F.pmod(F.col("place"), F.col("class")).alias("slot"))
