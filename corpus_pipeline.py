@@ -22,8 +22,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each distinct text."""
-    return exact_dedup.keep_first(docs)
+    """One document of each distinct text: of the half that came before by itself, then of the other half against its hash."""
+    history, batch = exact_dedup.halves(docs)
+    return exact_dedup.keep_first(history).unionByName(exact_dedup.keep_first(batch, exact_dedup.index(history)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
