@@ -1,20 +1,22 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of ``TABLES`` tables hashes a vector x to the integers floor((a_i . x + b_i) / WIDTH), with Gaussian a_i
+Each of ``TABLES`` tables hashes a vector x to the integers floor((a_i . x + b_i) / width), with Gaussian a_i
 (2-stable) and uniform b_i. A query visits its own bucket and perturbed ones: moving coordinate i by -1 or
 +1 costs the squared distance to that side of its slot, a set of moves costs their sum, and sets are
 visited by rising cost, which is the order of estimated success.
 
-Every vector is a query. Members and probes of a bucket meet in one group, or in several where a bucket has more
+The index is fitted to the vectors there are. The true neighbours, among all rows, of at most ``FIT_QUERIES`` queries
+are found by one scan. The width is twice the median distance of the last of them. Of the numbers of hashes and probes
+in HASHES and PROBES that find at least the share ``FIT_RECALL`` of these true neighbours, the one is taken that compares least, measured
+on FIT_ROWS rows. So hashes get more as neighbours get nearer, be it by clusters or by the number of rows; and where
+vectors have so little structure that a bucket's share must be large, recall is held and cost is not.
+
+Every row is indexed. Members and probes of a bucket meet in one group, or in several where a bucket has more
 of either than a worker should hold: each block of members meets each block of probes, so nothing is left out.
 Distances within a group are one matrix product in single precision; all members that may be among a query's ``k``
 nearest within its error bound are measured exactly, and the query keeps its ``k`` nearest there. Its lists from all
 buckets and tables are merged, repeats dropped, and reranked by exact distance; ties go to the lower vec_id.
 
-Hashing sees the vectors divided by their mean norm, so WIDTH means the same for any unit. The defaults suit
-vectors with little structure, whose nearest neighbours are not much nearer than the rest: there, a recall of
-0.9 needs most vectors to be compared. Clustered vectors allow more HASHES.
-
 Defined results
 * A null or empty vector, one with a null or non-finite entry, or one whose length isn't the table's
   commonest (the least of several), is not indexed and has no line; nor has a null vec_id.
@@ -29,21 +31,22 @@ from __future__ import annotations
 import heapq
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.steps import materialize, sized
-from .common import col
+from .common import col, hash_sample
 from .textvec import mix
 
 K = 10
-TABLES = 2
-HASHES = 3
-PROBES = 10
-WIDTH = 2.0
+TABLES = 3
+HASHES = tuple(range(1, 13))
+PROBES = (1, 2, 4, 8, 12, 16, 24, 32, 48, 64)
+FIT_QUERIES, FIT_ROWS, FIT_RECALL = 200, 4000, 0.95
 #: Members and probes that meet in one group at most, on average over the blocks of a bucket.
 MEMBER_BLOCK, PROBE_BLOCK = 1 << 14, 1 << 15
 #: Decimal places of a distance; those equal in them are ties.
@@ -53,10 +56,10 @@ MERGE = 4096
 SEED = 42
 
 
-def planes(dim: int, tables: int = TABLES, hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
-    """(a: [tables, hashes, dim], b: [tables, hashes])."""
+def planes(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a: [tables, hashes, dim], b: [tables, hashes], as shares of the width), for the most hashes there may be."""
     rng = np.random.default_rng(SEED)
-    return rng.standard_normal((tables, hashes, dim)), rng.uniform(0, WIDTH, (tables, hashes))
+    return rng.standard_normal((TABLES, max(HASHES), dim)), rng.random((TABLES, max(HASHES)))
 
 
 def perturbations(gaps: np.ndarray, probes: int) -> np.ndarray:
@@ -96,19 +99,64 @@ def all_perturbations(gaps: np.ndarray, probes: int) -> np.ndarray:
     return sets[np.argsort(cost, axis=1, kind="stable")[:, : min(probes, len(sets))]]
 
 
-def buckets(x: np.ndarray, a: np.ndarray, b: np.ndarray, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
-    """In one table: each vector's own bucket, and the buckets it visits, as 64-bit keys."""
-    t = (x @ a.T + b) / WIDTH
-    own = np.floor(t).astype(np.int64)
-    seen = own[:, None, :] + all_perturbations(t - own, probes)
+@dataclass
+class Plan:
+    """Planes a (divided by the width) and shifts b of every table, and the buckets that a query visits in each."""
+
+    a: np.ndarray
+    b: np.ndarray
+    probes: int
+
+    def slots(self, x: np.ndarray, table: int) -> np.ndarray:
+        """The vectors' coordinates in one table, in slots: the whole part names the slot."""
+        return x @ self.a[table].T + self.b[table]
 
-    def key(rows: np.ndarray) -> np.ndarray:
-        h = np.zeros(rows.shape[:-1], np.uint64)
-        for i in range(rows.shape[-1]):
-            h = mix(h + rows[..., i].astype(np.uint64) + np.uint64(i + 1))
-        return h.view(np.int64)
+    def own(self, x: np.ndarray, table: int) -> np.ndarray:
+        """Each vector's bucket."""
+        return keys_of(np.floor(self.slots(x, table)).astype(np.int64))
 
-    return key(own), key(seen)
+    def visited(self, x: np.ndarray, table: int) -> np.ndarray:
+        """The buckets that each query visits, [queries, probes], its own first."""
+        t = self.slots(x, table)
+        home = np.floor(t).astype(np.int64)
+        return keys_of(home[:, None, :] + all_perturbations(t - home, self.probes))
+
+
+def keys_of(slots: np.ndarray) -> np.ndarray:
+    """64-bit keys of buckets: rows of whole numbers."""
+    h = np.zeros(slots.shape[:-1], np.uint64)
+    for i in range(slots.shape[-1]):
+        h = mix(h + slots[..., i].astype(np.uint64) + np.uint64(i + 1))
+    return h.view(np.int64)
+
+
+def fitted(q: np.ndarray, near: np.ndarray, owner: np.ndarray, far: np.ndarray, some: np.ndarray) -> Plan:
+    """The cheapest plan that finds FIT_RECALL of the true neighbours: near[i] of query owner[i], at distance far[i].
+
+    Its cost is the share of the rows ``some`` that a query meets, over all tables. If none does, the last one, which
+    finds most.
+    """
+    last = np.zeros(len(q))
+    np.maximum.at(last, owner, far)
+    width = 2 * float(np.median(last[last > 0])) if (last > 0).any() else 1.0
+    a, b = planes(q.shape[1])
+    best = (np.inf, Plan(a[:, :1] / width, b[:, :1], max(PROBES)))
+    for hashes in HASHES:
+        most = Plan(a[:, :hashes] / width, b[:, :hashes], max(PROBES))
+        seen = [most.visited(q, t) for t in range(TABLES)]
+        home = [most.own(near, t) for t in range(TABLES)]
+        rows = [np.unique(most.own(some, t), return_counts=True) for t in range(TABLES)]
+        for probes in sorted({min(p, seen[0].shape[1]) for p in PROBES}):
+            hit = np.zeros(len(near), bool)
+            cost = 0.0
+            for t in range(TABLES):
+                hit |= (seen[t][owner, :probes] == home[t][:, None]).any(1)
+                at = np.minimum(np.searchsorted(rows[t][0], seen[t][:, :probes]), len(rows[t][0]) - 1)
+                cost += np.where(rows[t][0][at] == seen[t][:, :probes], rows[t][1][at], 0).sum() / len(q) / len(some)
+            cost += 1e-3 * TABLES * probes  # a probe costs something too
+            if hit.mean() >= FIT_RECALL and cost < best[0]:
+                best = (cost, Plan(a[:, :hashes] / width, b[:, :hashes], probes))
+    return best[1]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -164,19 +212,54 @@ def merged(qids: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> tuple[
     return qids[keep], ids[keep], rank[keep], far[keep]
 
 
-def neighbours(embeddings: DataFrame, k: int = K, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
-    """vec_id, neighbour_id, rank (from 1) and distance of every vector's k nearest found neighbours."""
+def _truth(rows: DataFrame, qids: np.ndarray, q: np.ndarray, k: int) -> list:
+    """(q: place in qids, id, d, v) of the k nearest rows of each query, by one scan."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, q.shape[1]), np.float32))
+        for batch in batches:
+            for at in range(0, len(batch), 8192):
+                part = batch.slice(at, 8192)
+                ids = np.asarray(part.column(0))
+                x = np.asarray(part.column(1).flatten(), np.float32).reshape(len(part), -1)
+                found, far = nearest(ids, x, qids, q, k)
+                which, d, i = np.repeat(np.arange(len(qids)), found.shape[1]), far.ravel(), found.ravel()
+                where = np.argsort(ids, kind="stable")
+                ok = i >= 0
+                v = x[where[np.searchsorted(ids[where], i[ok])]]
+                which, i, d, v = np.append(held[0], which[ok]), np.append(held[1], i[ok]), np.append(held[2], d[ok]), np.concatenate([held[3], v])
+                order = np.lexsort((i, d, which))
+                which = which[order]
+                order = order[np.arange(len(which)) - np.searchsorted(which, which) < k]
+                held = (np.append(held[0], np.repeat(np.arange(len(qids)), found.shape[1])[ok])[order], i[order], d[order], v[order])
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int32)), pa.array(held[1]), pa.array(held[2]), pa.array([r.tobytes() for r in held[3]], pa.binary())], ["q", "id", "d", "v"])
+
+    top = Window.partitionBy("q").orderBy("d", "id")
+    found = rows.mapInArrow(scan, "q int, id long, d double, v binary")
+    return found.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= k).collect()
+
+
+def neighbours(embeddings: DataFrame, queries: Column | None = None, k: int = K) -> DataFrame:
+    """vec_id, neighbour_id, rank (from 1) and distance of the k nearest found neighbours, among all rows, of each row
+    that fulfils the condition ``queries`` (on a column named id); of every row without one."""
     v = col(embeddings, "embedding").cast("array<float>")
     good = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (F.size(v) > 0)
     rows = embeddings.select(col(embeddings, "vec_id").cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & good)
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     schema = "vec_id long, neighbour_id long, rank int, distance double"
+    none = embeddings.sparkSession.createDataFrame([], schema)
     if not sizes:
-        return embeddings.sparkSession.createDataFrame([], schema)
+        return none
     dim = sizes[0]["dim"]
     rows = materialize(rows.filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")))
-    scale = rows.agg(F.avg(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e)))).first()[0] or 1.0
-    a, b = planes(dim, tables, hashes)
+    asked = rows if queries is None else rows.filter(queries)
+    sample = hash_sample(asked, F.col("id"), FIT_QUERIES).collect()
+    truth = _truth(rows, np.array([r["id"] for r in sample]), np.array([r["v"] for r in sample], np.float32), k) if sample else []
+    if not truth:
+        return none
+    some = np.array([r["v"] for r in hash_sample(rows, F.hash("id"), FIT_ROWS).collect()], np.float32)
+    near = np.frombuffer(b"".join(r["v"] for r in truth), np.float32).reshape(len(truth), dim)
+    plan = fitted(np.array([r["v"] for r in sample], np.float32), near, np.array([r["q"] for r in truth]), np.array([r["d"] for r in truth]), some)
 
     def hashed(visits: bool):  # noqa: ANN202
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,28 +269,28 @@ def neighbours(embeddings: DataFrame, k: int = K, tables: int = TABLES, hashes:
                     ids = np.asarray(part.column(0))
                     x = np.asarray(part.column(1).flatten(), np.float32).reshape(len(part), dim)
                     packed = pa.array([r.tobytes() for r in x], pa.binary())
-                    for t in range(tables):
-                        own, seen = buckets(x / scale, a[t], b[t], probes)
-                        times = seen.shape[1] if visits else 1
-                        at_row = np.repeat(np.arange(len(ids)), times)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at_row), t, np.int32)), pa.array(seen.ravel() if visits else own), pa.array(ids[at_row]), packed.take(pa.array(at_row))], ["t", "bucket", "id", "v"])
+                    for t in range(TABLES):
+                        keys = plan.visited(x, t) if visits else plan.own(x, t)[:, None]
+                        at_row = np.repeat(np.arange(len(ids)), keys.shape[1])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at_row), t, np.int32)), pa.array(keys.ravel()), pa.array(ids[at_row]), packed.take(pa.array(at_row))], ["t", "bucket", "id", "v"])
 
-        return rows.mapInArrow(emit, "t int, bucket long, id long, v binary")
+        return (asked if visits else rows).mapInArrow(emit, "t int, bucket long, id long, v binary")
 
-    def ids_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members (1, 0) and probes (0, 1) per bucket, added up within the batch."""
-        for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                x = np.asarray(part.column(1).flatten(), np.float32).reshape(len(part), dim)
-                for t in range(tables):
-                    for which, keys in enumerate(buckets(x / scale, a[t], b[t], probes)):
-                        u, n = np.unique(keys, return_counts=True)
-                        zero = np.zeros(len(u), np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), t, np.int32)), pa.array(u), pa.array(zero if which else n), pa.array(n if which else zero)], ["t", "bucket", "members", "probes"])
-
-    load = rows.mapInArrow(ids_only, "t int, bucket long, members long, probes long").groupBy("t", "bucket").agg(F.sum("members").alias("m"), F.sum("probes").alias("p"))
-    load = materialize(load.filter("m > 0 and p > 0").select("t", "bucket", F.ceil(F.col("m") / MEMBER_BLOCK).alias("mb"), F.ceil(F.col("p") / PROBE_BLOCK).alias("pb")))
+    def loads(visits: bool):  # noqa: ANN202
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Members, or probes, per bucket, added up within the batch."""
+            for batch in batches:
+                x = np.asarray(batch.column(1).flatten(), np.float32).reshape(len(batch), dim)
+                for t in range(TABLES):
+                    found = [np.unique((plan.visited if visits else plan.own)(x[at : at + 2048], t), return_counts=True) for at in range(0, len(x), 2048)]
+                    for u, n in found:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), t, np.int32)), pa.array(u), pa.array(n)], ["t", "bucket", "n"])
+
+        return (asked if visits else rows).mapInArrow(count, "t int, bucket long, n long").groupBy("t", "bucket")
+
+    # Only buckets that are visited and hold something go on.
+    load = loads(False).agg(F.ceil(F.sum("n") / MEMBER_BLOCK).alias("mb")).join(loads(True).agg(F.ceil(F.sum("n") / PROBE_BLOCK).alias("pb")), ["t", "bucket"])
+    load = materialize(load)
     n_load = load.count()
 
     def spread(side: DataFrame, own: str, other: str) -> DataFrame:
@@ -228,7 +311,7 @@ def neighbours(embeddings: DataFrame, k: int = K, tables: int = TABLES, hashes:
 
     keys = ["t", "bucket", "i", "j"]
     lists = spread(hashed(False), "mb", "pb").groupBy(keys).cogroup(spread(hashed(True), "pb", "mb").groupBy(keys)).applyInArrow(meet, "q long, ids array<long>, far array<double>")
-    parts = max(1, -(-rows.count() // MERGE))
+    parts = max(1, -(-asked.count() // MERGE))
 
     def merge(lists: pa.Table) -> pa.Table:
         ids = lists.column("ids").combine_chunks()

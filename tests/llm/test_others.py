@@ -324,12 +324,51 @@ def test_perturbations_rise_in_cost(hashes):
         assert list(map(cost, one)) == sorted(map(cost, one)) and len({tuple(s) for s in one}) == len(one)
 
 
-def test_recall(spark):
-    e = table(spark, SF.replace("0.001", "0.01"), "embeddings")
-    rows = e.select("vec_id", "embedding").collect()
-    want = brute_nearest([r[0] for r in rows], np.array([r[1] for r in rows], np.float32), ann.K)
-    got = {(r["vec_id"], r["neighbour_id"]) for r in ann.neighbours(e).collect()}
-    assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
+def recall_of(spark, ids, x, queries=None, wanted=None):
+    e = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = {(r["vec_id"], r["neighbour_id"]) for r in ann.neighbours(e, queries).collect()}
+    found, _ = ann.nearest(ids, x, ids, x, ann.K)
+    want = {(int(i), int(j)) for i, row in zip(ids, found) if wanted is None or wanted(i) for j in row}
+    return len(got & want) / len(want), len(got), len(want)
+
+
+@pytest.mark.parametrize(("n", "clusters"), [(500, 0), (10_000, 0), (3000, 40)])
+def test_recall(spark, n, clusters):
+    """Of unrelated vectors on a sphere, the hardest there are, and of clustered ones."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64))
+    if clusters:
+        x = rng.standard_normal((clusters, 64))[rng.integers(0, clusters, n)] + 0.15 * x
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    recall, got, want = recall_of(spark, np.arange(n), x, F.col("id") % 10 == 0, lambda i: i % 10 == 0)
+    assert recall >= 0.92 and got == want == n
+
+
+def test_recall_on_the_table(spark):
+    rows = table(spark, SF.replace("0.001", "0.1"), "embeddings").orderBy("vec_id").collect()
+    recall, got, want = recall_of(spark, np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float32))
+    assert recall >= 0.93 and got == want
+
+
+def test_fit_follows_the_vectors():
+    """Near neighbours take more selective buckets; the cost is what the plan says."""
+    rng = np.random.default_rng(5)
+    share = []
+    for noise in (0.02, 0.3, 3.0):
+        x = (rng.standard_normal((60, 32))[rng.integers(0, 60, 4000)] + noise * rng.standard_normal((4000, 32))).astype(np.float32)
+        ids = np.arange(4000)
+        found, far = ann.nearest(ids, x, ids[:150], x[:150], 10)
+        plan = ann.fitted(x[:150], x[found.ravel()], np.repeat(np.arange(150), 10), far.ravel(), x)
+        hit = np.zeros(1500, bool)
+        met = 0
+        for t in range(ann.TABLES):
+            seen, own = plan.visited(x[:150], t), plan.own(x, t)
+            assert (seen[:, 0] == own[:150]).all()
+            hit |= (seen[np.repeat(np.arange(150), 10)] == own[found.ravel()][:, None]).any(1)
+            met += sum(np.isin(own, s).sum() for s in seen)
+        assert hit.mean() >= ann.FIT_RECALL
+        share.append(met / 150 / 4000)
+    assert share[0] < 0.1 and share == sorted(share)
 
 
 @pytest.mark.parametrize("noise", [1e-3, 1e-4, 0])
@@ -357,7 +396,7 @@ def test_blocks_leave_nothing_out(spark, monkeypatch):
 def test_awkward_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (None, [1.0, 1.0]), (4, None), (5, []), (6, [1.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [0.5, float("inf")])]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("bucket", F.lit(1)).withColumn("ID", F.lit(2))
-    got = sorted((r["vec_id"], r["rank"], r["neighbour_id"], r["distance"]) for r in ann.neighbours(e, probes=9).collect())
+    got = sorted((r["vec_id"], r["rank"], r["neighbour_id"], r["distance"]) for r in ann.neighbours(e).collect())
     far = round(math.sqrt(2), 6)
     assert got == [(1, 1, 2, 0.0), (1, 2, 3, far), (2, 1, 1, 0.0), (2, 2, 3, far), (3, 1, 1, far), (3, 2, 2, far)]
     assert ann.neighbours(e.filter("false")).count() == 0 == ann.neighbours(e.filter("vec_id = 3")).count()
