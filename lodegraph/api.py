@@ -67,7 +67,10 @@ class Graph:
         return self._index.watch(log, checkpoint, once)
 
     def search(self, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
-        return search.search(self.symbols, query, kind, limit)
+        return search.search(self.symbols, query, kind, limit, self._postings())
+
+    def _postings(self) -> tuple[DataFrame, DataFrame]:
+        return self._index.store.read("postings"), self._index.store.read("search_stats")
 
     def semantic_search(self, query: str, limit: int = 20) -> DataFrame:
         read = self._index.store.read
@@ -113,7 +116,7 @@ class Graph:
         return lookup.file_tree(self.files, contains, language)
 
     def context(self, query: str, options: context.Options = context.Options()) -> DataFrame:
-        return context.build(self.symbols, self.edges, query, options, self._discovered() if self.source and options.include_code else None)
+        return context.build(self.symbols, self.edges, query, options, self._discovered() if self.source and options.include_code else None, self._postings())
 
     def overview(self) -> dict[str, DataFrame]:
         return context.overview(self.symbols, self.edges, self.files)

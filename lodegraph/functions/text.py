@@ -27,30 +27,32 @@ def _split_camel(text: Column) -> Column:
 def index_tokens(text: Column) -> Column:
     """Tokens for TF-IDF, repeats kept: camel case and _ - . / \\ : split; 2 to 39 characters; no stop words."""
     words = F.split(F.lower(F.regexp_replace(_split_camel(F.coalesce(text, F.lit(""))), r"[_\-./\\:]", " ")), r"\s+")
-    stop = F.array(*[F.lit(w) for w in sorted(INDEX_STOP_WORDS)])
-    return F.filter(words, lambda w: (F.length(w) > 1) & (F.length(w) < 40) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) > 1) & (F.length(w) < 40) & ~w.isin(*sorted(INDEX_STOP_WORDS)))
 
 
 def query_keywords(text: Column) -> Column:
     """Keywords of a context query: distinct, in order of first use."""
     words = F.split(F.lower(F.regexp_replace(_split_camel(text), "_", " ")), r"[\s,;:.!?/\\]+")
-    stop = F.array(*[F.lit(w) for w in sorted(QUERY_STOP_WORDS)])
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*sorted(QUERY_STOP_WORDS))))
 
 
-def _latin_folds() -> tuple[str, str]:
-    """Accented Latin letters and the plain letters they fold to."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
-    pairs += [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0x1E00, 0x1F00) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+def _folds() -> tuple[str, str]:
+    """Lower-case letters with diacritics, of all scripts, and the plain letters they fold to."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x10000)):
+        plain = unicodedata.normalize("NFD", c)
+        if len(plain) > 1 and c == c.lower() and unicodedata.category(c)[0] == "L" and all(map(unicodedata.combining, plain[1:])):
+            pairs.append((c, plain[0]))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-_ACCENTED, _PLAIN = _latin_folds()
+_ACCENTED, _PLAIN = _folds()
+_MARKS = "[\\u0300-\\u036f]"
 
 
 def fts_tokens(text: Column) -> Column:
     """Tokens for keyword search, repeats kept: runs of letters and digits, lower case, without diacritics."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _PLAIN)
+    folded = F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _MARKS, ""), _ACCENTED, _PLAIN)
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -22,11 +22,14 @@ def counts(rows: DataFrame, key: str) -> DataFrame:
 
 
 def stats(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """The totals with maps by kind, language and edge kind."""
-    def as_map(rows: DataFrame, key: str, name: str) -> DataFrame:
-        return rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(name))
-
-    return totals(symbols, edges, files).crossJoin(as_map(symbols, "kind", "nodes_by_kind")).crossJoin(as_map(files, "language", "files_by_language")).crossJoin(as_map(edges, "kind", "edges_by_kind"))
+    """The totals with maps by kind, language and edge kind; one pass over each table. The vocabularies are closed, so maps are small."""
+    def as_map(rows: DataFrame, key: str, name: str, total: str, *more: Column) -> DataFrame:
+        counted = rows.groupBy(key).agg(F.count("*").alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(more)])
+        sums = [F.coalesce(F.sum(f"m{i}"), F.lit(0)).cast("long").alias("lines") for i in range(len(more))]
+        return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(total), *sums, F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col(key).isNotNull(), F.struct(key, "n"))))).alias(name))
+
+    parts = as_map(symbols, "kind", "nodes_by_kind", "nodes").crossJoin(as_map(files, "language", "files_by_language", "files", F.sum("line_count"))).crossJoin(as_map(edges, "kind", "edges_by_kind", "edges"))
+    return parts.select("nodes", "edges", "files", "lines", "nodes_by_kind", "files_by_language", "edges_by_kind")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -46,10 +46,10 @@ def node_score(words: list[str]) -> Column:
     return (total + F.when(name.rlike("^(api|app|controller|handler|index|main|route|server)"), 1).otherwise(0)).cast("double")
 
 
-def candidates(symbols: DataFrame, words: list[str], options: Options, postings: DataFrame | None = None) -> DataFrame:
+def candidates(symbols: DataFrame, words: list[str], options: Options, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """id and score of the keyword hits, after the kind and file filters."""
-    postings = search.build_postings(symbols) if postings is None else postings
-    ranked = search.top_per_query(search.bm25(symbols, postings, search.term_frame(symbols, words)), options.per_keyword)
+    postings, stats = index or search.built(symbols)
+    ranked = search.top_per_query(search.bm25(search.naming(postings, words), search.term_frame(symbols, words), stats), options.per_keyword)
     rows = symbols.join(ranked.select("id").distinct(), "id")
     rows = rows.filter(F.col("kind").isin(*options.kinds)) if options.kinds else rows
     rows = rows.filter(F.col("file_path").contains(options.file_filter)) if options.file_filter else rows
@@ -81,10 +81,10 @@ def named_neighbours(top: DataFrame, edges: DataFrame, symbols: DataFrame, own:
     return first.groupBy(F.col("_n").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "qualified_name"))), lambda x: x["qualified_name"]).alias(name))
 
 
-def build(symbols: DataFrame, edges: DataFrame, query: str, options: Options = Options(), files: DataFrame | None = None) -> DataFrame:
+def build(symbols: DataFrame, edges: DataFrame, query: str, options: Options = Options(), files: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """place, score, the symbol's columns, callers, callees and code of the best symbols for a query; searched: candidates in all."""
     words = keywords(symbols.sparkSession, query)
-    found = materialize(candidates(symbols, words, options)) if words else symbols.limit(0).select("id", F.lit(0.0).alias("score"))
+    found = materialize(candidates(symbols, words, options, index)) if words else symbols.limit(0).select("id", F.lit(0.0).alias("score"))
     if options.include_graph and words:
         found = materialize(expand(found, edges, symbols, options))
     top = found.orderBy(F.desc("score"), "id").limit(options.max_nodes)

@@ -79,6 +79,7 @@ _DECLARED = re.compile(
 )
 _KIND = {"class": "class", "record": "class", "object": "class", "interface": "interface", "protocol": "interface", "trait": "trait", "struct": "struct", "enum": "enum", "namespace": "namespace", "module": "namespace", "mod": "namespace", "type": "type"}
 _NOT_NAMES = frozenset("if for while switch catch return else do try new function sizeof match foreach using lock until when elif".split())
+_ENDS = re.compile(r"[;}]")
 _CALL = re.compile(r"(?:\bnew\s+)?([A-Za-z_]\w*)\s*\(")
 _BASES = re.compile(r"\b(extends|implements)\s+([\w.]+(?:\s*,\s*[\w.]+)*)")
 _IMPORT_LINE = re.compile(r"^[ \t]*(?:import|use|from|require|#include|(?:const|let|var)\b[^\n=]*=\s*require)\b[^\n;]*", re.M)
@@ -96,18 +97,22 @@ def parse_braces(text: str) -> list[Raw]:
             close[stack.pop()] = m.end()
     opens = sorted(close)
     found = []
-    for m in _DECLARED.finditer(plain):
+    matches = list(_DECLARED.finditer(plain))
+    for i, m in enumerate(matches):
         name = m["name"] or m["var"] or m["fun"]
         if not name or name in _NOT_NAMES:
             continue
         start = m.end("pre")
         line_end = plain.find("\n", m.end())
         line_end = len(plain) if line_end < 0 else line_end
-        brace = next((o for o in opens[_at(opens, m.end() - 1) :] if o <= line_end + 200), None)
-        body = brace is not None and not re.search(r";", plain[m.end() : brace])
-        end = close[brace] if body else line_end
+        # Its body is the next brace, unless the declaration ends, or another begins, before that.
+        k = _at(opens, m.end() - 1)
+        following = matches[i + 1].start() if i + 1 < len(matches) else len(plain)
+        body = k < len(opens) and opens[k] < max(following, m.end()) and not _ENDS.search(plain, m.end(), opens[k])
+        end = close[opens[k]] if body else line_end
         kind = _KIND.get(m["word"] or "", "function") if m["word"] or m["fun"] or m["arrow"] else "variable"
-        found.append((start, end, kind, name, bool(re.search(r"\b(export|public|pub)\b", m["pre"] or ""))))
+        receiver = m["word"] == "func" and plain[m.end("word") :].lstrip()[:1] == "("
+        found.append((start, end, kind, name, bool(re.search(r"\b(export|public|pub)\b", m["pre"] or "")), receiver))
     return _nested(text, plain, found)
 
 
@@ -117,17 +122,34 @@ def _at(values: list[int], x: int) -> int:
     return bisect.bisect_left(values, x)
 
 
-def _nested(text: str, plain: str, found: list[tuple[int, int, str, str, bool]]) -> list[Raw]:
+def _comment_before(text: str, at: int) -> str | None:
+    """The block comment, or the run of line comments, that ends where the declaration at ``at`` begins, but for its modifiers."""
+    line = text.rfind("\n", 0, at) + 1
+    if not re.fullmatch(r"[\w \t]*", text[line:at]):
+        return None
+    end = len(text[:line].rstrip())
+    if text.endswith("*/", 0, end):
+        begin = text.rfind("/*", 0, end)
+        return text[begin:end].strip() if begin >= 0 else None
+    begin = end
+    while begin > 0:
+        line = text.rfind("\n", 0, begin - 1 if begin < end else end) + 1
+        if not text[line:begin].lstrip().startswith(("//", "#")):
+            break
+        begin = line
+    return text[begin:end].strip() or None
+
+
+def _nested(text: str, plain: str, found: list[tuple[int, int, str, str, bool, bool]]) -> list[Raw]:
     """Rows in order, each with its nearest enclosing one, the comment before it and the references it owns."""
     out: list[Raw] = []
     spans: list[tuple[int, int]] = []
     open_: list[int] = []
-    for start, end, kind, name, exported in found:
+    for start, end, kind, name, exported, receiver in found:
         while open_ and spans[open_[-1]][1] <= start:
             open_.pop()
         parent = open_[-1] if open_ else -1
-        before = re.search(r"(/\*(?:(?!\*/).)*\*/|(?:[ \t]*(?://|#)[^\n]*\n)+)\s*(?:[\w ]*)$", text[max(0, start - 2000) : start], re.S)
-        row = Raw(kind, name, text.count("\n", 0, start) + 1, text.count("\n", 0, end) + 1, text[start:end], parent, parent >= 0 and out[parent].kind in ("class", "interface", "struct", "trait"), exported, before.group(1).strip() if before else None)
+        row = Raw(kind, name, text.count("\n", 0, start) + 1, text.count("\n", 0, end) + 1, text[start:end], parent, receiver or (parent >= 0 and out[parent].kind in ("class", "interface", "struct", "trait")), exported, _comment_before(text, start))
         row.refs += [("implements" if w == "implements" else "extends", b.strip().split(".")[-1]) for w, bs in _BASES.findall(plain[start:end].split("{")[0]) for b in bs.split(",")]
         out.append(row)
         spans.append((start, end))
@@ -151,15 +173,20 @@ def _nested(text: str, plain: str, found: list[tuple[int, int, str, str, bool]])
 _RUBY = re.compile(r"^([ \t]*)(class|module|def)\s+(?:self\.)?([A-Za-z_]\w*[?!]?)(?:\s*<\s*([\w:]+))?", re.M)
 
 
+_RUBY_BLANK = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*|^=begin\b.*?^=end\b[^\n]*", re.S | re.M)
+
+
 def parse_ruby(text: str) -> list[Raw]:
     """Ruby's classes, modules and methods; each ends at the ``end`` of its own indentation."""
     found, bases = [], []
-    for m in _RUBY.finditer(text):
-        end = re.compile(rf"^{m[1]}end\b", re.M).search(text, m.end())
+    # Strings and comments are blanked in place, so that offsets hold.
+    plain = _RUBY_BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    for m in _RUBY.finditer(plain):
+        end = re.compile(rf"^{m[1]}end\b", re.M).search(plain, m.end())
         kind = {"class": "class", "module": "namespace", "def": "function"}[m[2]]
-        found.append((m.end(1), end.end() if end else len(text), kind, m[3], False))
+        found.append((m.end(1), end.end() if end else len(text), kind, m[3], False, False))
         bases.append(m[4])
-    out = _nested(text, re.sub(r"#[^\n]*", "", text) if "#" not in text else text, found)
+    out = _nested(text, plain, found)
     for row, base in zip(out, bases):
         row.refs += [("extends", base.split("::")[-1])] if base else []
     return out
@@ -167,7 +194,7 @@ def parse_ruby(text: str) -> list[Raw]:
 
 PARSERS: dict[str, Callable[[str], list[Raw]]] = {"python": parse_python, "ruby": parse_ruby} | dict.fromkeys(("c", "cpp", "csharp", "go", "java", "javascript", "kotlin", "php", "rust", "swift", "typescript"), parse_braces)
 
-_ROW = "file_path string, language string, n int, kind string, name string, start_line int, end_line int, text string, parent int, in_class boolean, exported boolean, docstring string, refs array<struct<kind:string,name:string>>, error string"
+_ROW = "file_path string, language string, n int, kind string, name string, start_line int, end_line int, text string, parent int, ancestors array<int>, in_class boolean, exported boolean, docstring string, refs array<struct<kind:string,name:string>>, error string"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +204,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             try:
                 found = PARSERS[lang](text) if lang in PARSERS and text else []
-            except (SyntaxError, ValueError, RecursionError) as e:
-                rows.append((path, lang, -1, *[None] * 10, str(e)))
+            except Exception as e:  # noqa: BLE001  a file that no parser can take is one file's error, whatever it raises
+                rows.append((path, lang, -1, *[None] * 11, f"{type(e).__name__}: {e}"))
                 continue
-            rows += [(path, lang, i, r.kind, r.name, r.start, r.end, r.text, r.parent, r.in_class, r.exported, r.doc, [{"kind": k, "name": n} for k, n in r.refs], None) for i, r in enumerate(found)]
-        types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string())])), pa.string()]
+            up: list[list[int]] = []
+            for r in found:
+                up.append([r.parent, *up[r.parent]] if r.parent >= 0 else [])
+            rows += [(path, lang, i, r.kind, r.name, r.start, r.end, r.text, r.parent, up[i], r.in_class, r.exported, r.doc, [{"kind": k, "name": n} for k, n in r.refs], None) for i, r in enumerate(found)]
+        types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string())])), pa.string()]
         columns = list(zip(*rows)) if rows else [()] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
@@ -191,6 +221,7 @@ def parsed(files: DataFrame) -> DataFrame:
     rows = files.select("file_path", "language", "content").mapInArrow(_parse, _ROW)
     name, kind, lang = F.col("name"), F.col("kind"), F.col("language")
     kind = F.when((kind == "function") & F.col("in_class"), "method").otherwise(kind)
+    kind = F.when((kind == "type") & (lang == "typescript"), "interface").when((kind == "struct") & (lang == "rust"), "class").otherwise(kind)
     # In this order: a component may become neither hook nor test.
     free = kind == "function"
     kind = F.when(free & name.rlike("^[A-Z]") & lang.isin("typescript", "javascript"), "component").when(free & name.rlike("^use[A-Z]"), "hook").when(free & name.rlike("(?i)^(describe|it|spec|test)"), "test").otherwise(kind)
@@ -218,19 +249,9 @@ def contains(rows: DataFrame) -> DataFrame:
 
 def refs(rows: DataFrame) -> DataFrame:
     """References of each declaration, those of the declarations within it included."""
-    own = rows.filter("n >= 0").select("file_path", "n", "parent", "id", F.explode("refs").alias("r"))
-    # Climb from each reference's owner; nesting is a few levels deep, and a file's rows stay in its partition.
-    line = rows.filter("n >= 0").groupBy("file_path").agg(F.map_from_entries(F.collect_list(F.struct("n", "parent"))).alias("up"), F.map_from_entries(F.collect_list(F.struct("n", "id"))).alias("ids"))
-    depth = 12
-
-    def climb(n):  # noqa: ANN001, ANN202
-        steps = [n]
-        for _ in range(depth):
-            steps.append(F.when(steps[-1] >= 0, F.try_element_at("up", steps[-1])))
-        return F.filter(F.array(*steps), lambda x: x >= 0)
-
-    up = own.select("file_path", "n", "r").join(line, "file_path")
-    wide = up.select("file_path", "r", F.explode(F.transform(climb(F.col("n")), lambda x: F.try_element_at("ids", x))).alias("from_node_id"))
+    own = rows.filter("n >= 0").select("file_path", "n", "ancestors", F.explode("refs").alias("r"))
+    wide = own.select("file_path", "r", F.explode(F.concat(F.array("n"), "ancestors")).alias("n"))
+    wide = wide.join(rows.filter("n >= 0").select("file_path", "n", F.col("id").alias("from_node_id")), ["file_path", "n"])
     named = F.when(F.col("r.kind") == "imports", F.coalesce(code.import_path(F.col("r.name")), F.regexp_extract(F.col("r.name"), r"([\w./:]+)\W*$", 1))).otherwise(F.col("r.name"))
     return wide.select("from_node_id", named.alias("ref_name"), F.col("r.kind").alias("ref_kind"), "file_path").filter("ref_name <> ''").distinct()
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -86,82 +86,114 @@ def shortest_path(symbols: DataFrame, edges: DataFrame, start: str, end: str, de
     return found.select(F.posexplode(F.concat("path", F.array("id"))).alias("hop", "id")).orderBy("hop")
 
 
-def cycles(edges: DataFrame, longest: int = 6, limit: int | None = 20) -> DataFrame:
-    """Simple cycles of up to ``longest`` edges over the cycle kinds, each once: path (joined by >, closed), size, via.
+def cycles(edges: DataFrame, limit: int | None = 20) -> DataFrame:
+    """Simple cycles of any length over the cycle kinds: path (joined by >, closed), size, via; the shortest first, then by path.
 
-    A strongly connected component without such a cycle gives one of any length: a shortest through its least id.
-    A cycle starts at its least id; ``via`` is the least kind of its closing edge. Edges outside strongly connected
-    components cannot lie on a cycle and are left out first. Cycles are found by rising size, up to the first size
-    at which there are ``limit``.
+    A cycle starts at its least id. Each edge from a node u to a node r, r not above u, that closes a cycle through ids
+    from r up gives one: the least of the shortest. So every cyclic component has one at least, and of the cycles with
+    the same closing edge the shortest is named; ``via`` is the least kind of that edge. Edges outside strongly
+    connected components cannot lie on a cycle and are left out first. Cycles are found by rising size, up to the
+    first size at which there are ``limit``.
     """
     e = edges.filter(F.col("kind").isin(*schema.CYCLE)).groupBy(F.col("source_id").alias("u"), F.col("target_id").alias("v")).agg(F.min("kind").alias("kind"))
     e = materialize(e)
     scc = components(e.select("u", "v"))
     inside = e.join(scc.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u").join(scc.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v").filter("cu = cv")
-    inside = materialize(inside.select("u", "v", "kind", F.col("cu").alias("c")))
-    paths = inside.select("c", F.col("u").alias("root"), F.col("v").alias("at"), F.array("u").alias("path"), "kind").filter("at >= root")
-    found, n = [], 0
-    for size in range(1, longest + 1):
-        paths = materialize(paths)
-        found.append(paths.filter("at = root").select("c", "path", "kind", F.lit(size).alias("size")))
-        n += found[-1].count() if limit else 0
-        if limit and n >= limit:
+    inside = materialize(inside.select("u", "v", "kind"))
+    closing = materialize(inside.filter("v <= u").select(F.col("v").alias("root"), F.col("u").alias("at"), "kind"))
+    front = materialize(closing.select("root").distinct().select("root", F.col("root").alias("at"), F.array("root").alias("path")))
+    seen, found, size = front.select("root", "at"), [], 1
+    n, all_ = 0, closing.count()
+    while True:
+        hit = materialize(front.join(closing, ["root", "at"]).select("path", F.col("kind").alias("via"), F.lit(size).alias("size")))
+        found.append(hit)
+        n += hit.count()
+        if n == all_ or (limit is not None and n >= limit):
+            break
+        step = front.join(inside.select(F.col("u").alias("at"), F.col("v").alias("next")), "at").filter("next > root")
+        step = step.groupBy("root", "next").agg(F.min("path").alias("path")).select("root", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
+        front = materialize(step.join(seen, ["root", "at"], "left_anti"))
+        if not front.limit(1).count():
             break
-        open_ = paths.filter("at > root")
-        if size == longest or not open_.limit(1).count():
+        seen, size = seen.unionByName(front.select("root", "at")), size + 1
+        if size % 8 == 0:  # short plans
+            seen = materialize(seen)
+    named = reduce(DataFrame.unionByName, found).select(F.array_join(F.concat("path", F.array(F.col("path")[0])), ">").alias("cycle"), "size", "via").orderBy("size", "cycle")
+    return named.limit(limit) if limit is not None else named
+
+
+def _trimmed(arcs: DataFrame, size: int, rounds: int) -> tuple[DataFrame, int]:
+    """arcs without nodes that lack an arc in or out, which lie on no cycle; at most ``rounds`` layers of them."""
+    for _ in range(rounds):
+        kept = materialize(arcs.join(arcs.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(arcs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
+        after = kept.count()
+        if after == size:
+            return arcs, size
+        arcs, size = kept, after
+        if not size:
             break
-        step = open_.join(inside.select(F.col("u").alias("at"), F.col("v").alias("next"), F.col("kind").alias("k")), "at")
-        step = step.filter((F.col("next") >= F.col("root")) & ~F.array_contains(F.slice(F.concat("path", F.array("at")), 2, longest), F.col("next")))
-        paths = step.select("c", "root", F.col("next").alias("at"), F.concat("path", F.array("at")).alias("path"), F.col("k").alias("kind"))
-    all_ = reduce(DataFrame.unionByName, found)
-    if not limit or n < limit:
-        all_ = all_.unionByName(_one_cycle_each(materialize(inside.join(all_.select("c").distinct(), "c", "left_anti"))))
-    named = all_.select(F.array_join(F.concat("path", F.array(F.col("path")[0])), ">").alias("cycle"), "size", F.col("kind").alias("via")).orderBy("size", "cycle")
-    return named.limit(limit) if limit else named
+    return arcs, size
 
 
-def _one_cycle_each(arcs: DataFrame) -> DataFrame:
-    """c, path, kind and size of the least of the shortest cycles through the node c, for each component c of arcs (u, v, kind, c).
+def _contracted(arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Chains of nodes with one arc in and one out, replaced by arcs; None if there are no such nodes.
 
-    Breadth first from all c at once; a component is done when it comes back to c.
+    (arcs left, chains: id of each such node with the nodes p and v that its chain leads from and to, rings: id and c of
+    those whose chain leads back to itself). Pointers along chains double, so rounds grow with the logarithm of the
+    longest chain.
     """
-    spark = arcs.sparkSession
-    front = arcs.select("c").distinct().select("c", F.col("c").alias("at"), F.array().cast("array<string>").alias("path"))
-    seen, found = front.select("c", "at"), [spark.createDataFrame([], "c string, path array<string>, kind string, size int")]
-    depth = 0
-    while front.limit(1).count():
-        depth += 1
-        step = arcs.join(front.withColumnRenamed("at", "u"), ["c", "u"]).select("c", F.col("v").alias("at"), F.concat("path", F.array("u")).alias("path"), "kind")
-        step = materialize(step.groupBy("c", "at").agg(F.min(F.struct("path", "kind")).alias("least")).select("c", "at", "least.path", "least.kind"))
-        back = step.filter("at = c")
-        found.append(back.select("c", "path", "kind", F.lit(depth).alias("size")))
-        front = materialize(step.join(back.select("c"), "c", "left_anti").join(seen, ["c", "at"], "left_anti").select("c", "at", "path"))
-        seen = seen.unionByName(front.select("c", "at"))
-        if depth % 4 == 0:  # short lineage
-            seen, found = materialize(seen), [materialize(reduce(DataFrame.unionByName, found))]
-    return reduce(DataFrame.unionByName, found)
+    ends = arcs.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("next"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("v").alias("id"), F.lit(None).alias("next"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
+    mid = ends.groupBy("e.id").agg(F.sum("e.o").alias("o"), F.sum("e.i").alias("i"), F.max("e.next").alias("next")).filter("o = 1 and i = 1").select("id", "next")
+    mid = materialize(mid)
+    n = mid.count()
+    if not n:
+        return None
+    # to: the node as far along the chain as is known, low: the least id on the way; ``done`` at the chain's last node.
+    ids = mid.select(F.col("id").alias("next"), F.lit(True).alias("more"))
+    state = materialize(mid.join(ids, "next", "left").select("id", F.when(F.col("more"), F.col("next")).otherwise(F.col("id")).alias("to"), F.when(F.col("more"), F.least("id", "next")).otherwise(F.col("id")).alias("low"), F.col("more").isNull().alias("done")))
+    for _ in range(n.bit_length() + 1):
+        if not state.filter("not done").limit(1).count():
+            break
+        far = state.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"), F.col("done").alias("done2"))
+        ahead = state.filter("not done").join(far, "to").select("id", F.col("to2").alias("to"), F.least("low", "low2").alias("low"), F.col("done2").alias("done"))
+        state = materialize(state.filter("done").unionByName(ahead))
+    rings = state.filter("not done").select("id", F.col("low").alias("c"))
+    chain = state.filter("done").select("id", F.col("to").alias("last"))
+    last = mid.select(F.col("id").alias("last"), F.col("next").alias("to_"))
+    ids = mid.select("id")
+    # A chain's first node is the one whose arc in comes from a node that isn't of this kind.
+    into = arcs.join(ids.withColumnRenamed("id", "u"), "u", "left_anti").join(chain.withColumnRenamed("id", "v"), "v").select(F.col("u").alias("p"), "last")
+    spans = materialize(into.join(last, "last").select("last", "p", F.col("to_").alias("v")))
+    chains = materialize(chain.join(spans, "last").select("id", "p", "v"))
+    left = arcs.join(ids.withColumnRenamed("id", "u"), "u", "left_anti").join(ids.withColumnRenamed("id", "v"), "v", "left_anti")
+    left = materialize(left.unionByName(spans.select(F.col("p").alias("u"), "v")).filter("u <> v").distinct())
+    return left, chains, materialize(rings)
 
 
 def components(arcs: DataFrame) -> DataFrame:
     """Strongly connected components of (u, v): id and component, the component's least id.
 
-    Colouring: nodes without an arc in or out are single; the least id that reaches a node colours it; a colour's
-    component is what its root reaches against the arcs within the colour. Repeats on what is left.
+    Layers without arcs in or out are trimmed and chains contracted in turn, as long as that takes a tenth of the arcs.
+    On what is left: the least id that reaches a node colours it; a colour's component is what its root reaches against
+    the arcs within the colour; repeat on the rest. Rounds grow with the distances in the contracted graph.
     """
+    nodes = arcs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     left = materialize(arcs.filter("u <> v").distinct())
-    done = [arcs.select(F.explode(F.array("u", "v")).alias("id")).distinct()]  # all nodes, to fill in single ones
-    found: list[DataFrame] = []
-    while True:
-        # Trim: a node on a cycle has arcs both ways.
-        size = left.count()
-        while size:
-            kept = materialize(left.join(left.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(left.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
-            after = kept.count()
-            if after == size:
-                break
-            left, size = kept, after
-        if not size:
+    size = left.count()
+    found: list[DataFrame] = []  # (id, c): members of components
+    chains: list[DataFrame] = []
+    while size:
+        before = size
+        left, size = _trimmed(left, size, 4)
+        made = _contracted(left) if size else None
+        if made:
+            left, chain, rings = made
+            chains.append(chain)
+            found.append(rings)
+            size = left.count()
+        if size > 0.9 * before:
             break
+    while size:
         colour = materialize(left.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("c", F.col("id")))
         while True:
             seen = left.join(colour.withColumnRenamed("id", "u"), "u").groupBy("v").agg(F.min("c").alias("m")).withColumnRenamed("v", "id")
@@ -181,12 +213,19 @@ def components(arcs: DataFrame) -> DataFrame:
         found.append(reach)
         gone = reach.select("id")
         left = materialize(left.join(gone.select(F.col("id").alias("u")), "u", "left_anti").join(gone.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v"))
-    nodes = done[0]
-    if not found:
+        left, size = _trimmed(left, left.count(), 4)
+    if not found and not chains:
         return nodes.select("id", F.col("id").alias("component"))
-    named = reduce(DataFrame.unionByName, found)
-    own: Column = F.coalesce("c", F.col("id"))
-    return nodes.join(named, "id", "left").select("id", own.alias("component"))
+    named = reduce(DataFrame.unionByName, found) if found else nodes.limit(0).select("id", F.col("id").alias("c"))
+    # The nodes of a chain belong to its ends' component if that is one: chains made last are undone first.
+    for chain in reversed(chains):
+        own = materialize(named)
+        p, v = own.select(F.col("id").alias("p"), F.col("c").alias("cp")), own.select(F.col("id").alias("v"), F.col("c").alias("cv"))
+        both = chain.join(p, "p", "left").join(v, "v", "left").filter("p = v or cp = cv").select("id", F.coalesce("cp", "p").alias("c"), "p", "cp")
+        named = own.unionByName(both.select("id", "c")).unionByName(both.filter("cp is null").select(F.col("p").alias("id"), "c").distinct())
+    least = named.groupBy("c").agg(F.min("id").alias("least"))
+    named = named.join(least, "c").select("id", F.col("least").alias("c"))
+    return nodes.join(named, "id", "left").select("id", F.coalesce("c", "id").alias("component"))
 
 
 def scc_members(edges: DataFrame) -> DataFrame:

@@ -56,6 +56,11 @@ def resolve(symbols: DataFrame, name: str, path: str | None = None, kind: str |
     return got.select(status.alias("status"), F.when(status == "ok", F.col("id")).alias("id"), "matches", "files")
 
 
+def file(files: DataFrame, path: str) -> DataFrame:
+    """The record of one file."""
+    return files.filter(F.col("file_path") == path)
+
+
 def file_tree(files: DataFrame, contains: str | None = None, language: str | None = None) -> DataFrame:
     """path, language, node_count, line_count of every file, by path."""
     rows = files.filter(F.col("file_path").contains(contains)) if contains else files

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.code import directory
 from ..functions.text import fts_tokens
+from ..plans.steps import materialize
 from ..schema import edge_id
 from . import search
 
@@ -25,26 +26,23 @@ def name_terms(names: DataFrame) -> DataFrame:
     return rows.select("query", F.size("t").alias("n"), F.posexplode("t").alias("term_no", "term")).select("query", "term_no", "term", (F.col("term_no") == F.col("n") - 1).alias("is_prefix"))
 
 
-def bm25_by_name(symbols: DataFrame, postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """``search.bm25`` for many queries: prefixes meet tokens through equal leading characters, so all joins are equi-joins.
+def bm25_by_name(postings: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """``search.bm25`` for many queries, by equi-joins alone: tokens meet prefixes through their own leading parts.
 
-    Terms are first expanded to the vocabulary (distinct tokens), which is far smaller than the postings.
+    Terms are first expanded to the vocabulary (distinct tokens), which is far smaller than the postings. A token has a
+    part for each length that a prefix has; these lengths are few.
     """
-    vocabulary = postings.groupBy("token").agg(F.count("*").alias("df"))
-    lead = F.substring("token", 1, 2).alias("lead")
-    wide = terms.filter("is_prefix").withColumn("lead", F.substring("term", 1, 2))
-    short = wide.filter(F.length("term") < 2)
-    by_lead = vocabulary.select("token", lead).join(wide.filter(F.length("term") >= 2), "lead").filter(F.col("token").startswith(F.col("term")))
-    by_one = vocabulary.select("token", F.substring("token", 1, 1).alias("one")).join(short, F.col("one") == F.col("term"))
+    vocabulary = postings.select("token").distinct()
+    wide = terms.filter("is_prefix")
+    lengths = sorted(r[0] for r in wide.select(F.length("term")).distinct().collect())
+    parts = F.explode(F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("token")), lambda n: F.substring("token", 1, n)))
+    by_prefix = vocabulary.select("token", parts.alias("term")).join(wide, "term")
     exact = terms.filter("not is_prefix").select("query", "term_no", F.col("term").alias("token"))
-    pairs = exact.unionByName(by_lead.select("query", "term_no", "token")).unionByName(by_one.select("query", "term_no", "token"))
+    pairs = exact.unionByName(by_prefix.select("query", "term_no", "token"))
     per_term = postings.join(pairs, "token").groupBy("query", "term_no", "id").agg(F.sum("tf").alias("f"), F.first("size").alias("size"))
     found = per_term.groupBy("query", "term_no").agg(F.count("*").alias("n_i"))
     need = terms.groupBy("query").agg(F.count("*").alias("need"))
-    stats = symbols.agg(F.count("*").alias("n_all")).crossJoin(postings.agg(F.sum("tf").alias("all_tokens")))
-    idf = F.log((F.col("n_all") - F.col("n_i") + 0.5) / (F.col("n_i") + 0.5))
-    gain = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("size") / (F.col("all_tokens") / F.col("n_all"))))
-    sums = per_term.join(found, ["query", "term_no"]).crossJoin(F.broadcast(stats)).groupBy("query", "id").agg(F.sum(gain).alias("score"), F.count("*").alias("got"))
+    sums = per_term.join(found, ["query", "term_no"]).crossJoin(F.broadcast(stats)).groupBy("query", "id").agg(F.sum(search.gain()).alias("score"), F.count("*").alias("got"))
     return sums.join(need, "query").filter("got = need").select("query", "id", "score")
 
 
@@ -56,11 +54,11 @@ def points(own_path: Column, path: Column, same_name: Column, exported: Column,
     return F.when(same_name, 10).otherwise(0) + near + F.when(exported, 3).otherwise(0) + F.when((ref_kind == "imports") & kind.isin("class", "interface", "module"), 2).otherwise(0)
 
 
-def resolve(refs: DataFrame, symbols: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+def resolve(refs: DataFrame, symbols: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """id, source_id, target_id, kind: one edge for each pair of symbols and kind that references resolve to."""
-    postings = search.build_postings(symbols) if postings is None else postings
-    terms = name_terms(refs.select("ref_name").distinct())
-    top = search.top_per_query(bm25_by_name(symbols, postings, terms), CANDIDATES).select(F.col("query").alias("ref_name"), "id", "place")
+    postings, stats = index or search.built(symbols)
+    terms = materialize(name_terms(refs.select("ref_name").distinct()))
+    top = search.top_per_query(bm25_by_name(postings, terms, stats), CANDIDATES).select(F.col("query").alias("ref_name"), "id", "place")
     s = symbols.select("id", F.col("name"), F.col("file_path").alias("path"), "exported", "kind")
     asked = refs.select("from_node_id", "ref_name", "ref_kind", F.col("file_path").alias("own_path")).distinct()
     rows = asked.join(top.join(s, "id"), "ref_name")

@@ -16,7 +16,7 @@ def token_counts(symbols: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFr
     """node_id, source (field), token, n. The fields move once, by symbol; all counts within a symbol then stay in place."""
     parts = F.explode(F.array(*[F.struct(F.lit(f).alias("source"), index_tokens(F.col(f)).alias("tokens")) for f in fields]))
     rows = symbols.select(F.col("id").alias("node_id"), *fields).repartition("node_id")
-    rows = rows.select("node_id", parts.alias("p")).select("node_id", "p.source", F.explode("p.tokens").alias("token"))
+    rows = rows.select("node_id", parts.alias("p")).select("node_id", "p.source", F.explode_outer("p.tokens").alias("token")).filter("token is not null")
     return rows.groupBy("node_id", "source", "token").agg(F.count("*").alias("n"))
 
 

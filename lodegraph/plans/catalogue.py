@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from ..sources import files as sources_files
 from ..sources import fixtures as fx
 from ..sources import store
 from ..streaming import watch
+from ..streaming.sync import Index
+from . import steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +38,7 @@ def _in(values: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-SUPPLY, TRADE, TEXT, PART = fx.SUPPLY_SQL, fx.TRADE_SQL, fx.TEXT_SQL, fx.PART_SQL
+SUPPLY, WHOLE, TEXT, PART = fx.SUPPLY_SQL, fx.WHOLE_SQL, fx.TEXT_SQL, fx.PART_SQL
 
 # Counts and reports
 
@@ -106,7 +109,7 @@ def file_tree_filtered(s, d):  # noqa: ANN001, ANN201
 
 @query("file_lookup", f"WITH {TEXT} SELECT file_path, hash, language, node_count, line_count FROM files WHERE file_path = 'src0/0'")
 def file_lookup(s, d):  # noqa: ANN001, ANN201
-    return fx.text_files(s, d).filter(F.col("file_path") == "src0/0")
+    return lookup.file(fx.text_files(s, d), "src0/0")
 
 
 @query("directory_rollup", f"WITH {TEXT} SELECT regexp_replace(file_path, '/[^/]*$', '') AS dir, count(*) AS files, CAST(sum(node_count) AS BIGINT) AS symbols FROM files GROUP BY 1")
@@ -154,9 +157,9 @@ def dependencies_by_kind(s, d):  # noqa: ANN001, ANN201
 _DEAD = "SELECT id, name, file_path FROM symbols AS s WHERE kind IN {k}{x} AND NOT EXISTS (SELECT 1 FROM edges AS e WHERE e.target_id = s.id AND e.kind IN " + _in(IMPACT) + ")"
 
 
-@query("dead_code", f"WITH {TRADE} " + _DEAD.format(k=_in(DEAD_KINDS), x=""))
+@query("dead_code", f"WITH {WHOLE} " + _DEAD.format(k=_in(DEAD_KINDS), x=""))
 def dead_code(s, d):  # noqa: ANN001, ANN201
-    return analysis.dead_code(fx.trade_symbols(s, d), fx.trade_edges(s, d)).select("id", "name", "file_path")
+    return analysis.dead_code(fx.whole_symbols(s, d), fx.whole_edges(s, d)).select("id", "name", "file_path")
 
 
 @query("dead_code_unexported", f"WITH {SUPPLY} " + _DEAD.format(k=_in(DEAD_KINDS), x=" AND NOT exported"))
@@ -405,83 +408,48 @@ def impact_radius(s, d):  # noqa: ANN001, ANN201
     return graph.impact(fx.supply_symbols(s, d), fx.supply_edges(s, d), "p:1").select("id", "depth")
 
 
-_TRADE_WALK = f"""WITH RECURSIVE {TRADE}, arcs AS (SELECT DISTINCT target_id AS u, source_id AS v FROM edges),
-    top AS (SELECT target_id AS start FROM edges GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
-    walk AS (SELECT start AS id, 0 AS depth, CAST([] AS VARCHAR[]) AS path FROM top UNION ALL SELECT v, depth + 1, list_append(path, id) FROM walk JOIN arcs ON u = id WHERE depth < 3 AND NOT list_contains(path, v)),
-    first AS (SELECT id, depth, array_to_string(path, '>') AS path, row_number() OVER (PARTITION BY id ORDER BY depth, path) AS place FROM walk), found AS (SELECT id, depth, path FROM first, top WHERE place = 1 AND id <> start)"""
+_WALK = f"""WITH RECURSIVE {WHOLE}, arcs AS (SELECT DISTINCT target_id AS u, source_id AS v FROM edges WHERE kind IN {_in(IMPACT)}),
+    walk AS (SELECT 'p:1' AS id, 0 AS depth, CAST([] AS VARCHAR[]) AS path UNION ALL SELECT v, depth + 1, list_append(path, id) FROM walk JOIN arcs ON u = id WHERE depth < 3 AND NOT list_contains(path, v)),
+    first AS (SELECT id, depth, array_to_string(path, '>') AS path, row_number() OVER (PARTITION BY id ORDER BY depth, path) AS place FROM walk), found AS (SELECT id, depth, path FROM first WHERE place = 1 AND id <> 'p:1')"""
 
 
-def _busiest(s: SparkSession, d: str) -> str:
-    return fx.trade_edges(s, d).groupBy("target_id").count().orderBy(F.desc("count"), "target_id").first()[0]
+def _impact(s: SparkSession, d: str) -> DataFrame:
+    return graph.impact(fx.whole_symbols(s, d), fx.whole_edges(s, d), "p:1")
 
 
-@query("impact_paths", _TRADE_WALK + " SELECT id, CAST(depth AS INTEGER) AS depth, path FROM found")
+@query("impact_paths", _WALK + " SELECT id, CAST(depth AS INTEGER) AS depth, path FROM found")
 def impact_paths(s, d):  # noqa: ANN001, ANN201
-    return graph.impact(fx.trade_symbols(s, d), fx.trade_edges(s, d), _busiest(s, d)).select("id", "depth", F.array_join("path", ">").alias("path"))
+    return _impact(s, d).select("id", "depth", F.array_join("path", ">").alias("path"))
 
 
-@query("impact_by_depth", _TRADE_WALK + " SELECT CAST(depth AS INTEGER) AS depth, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM found GROUP BY depth")
+@query("impact_by_depth", _WALK + " SELECT CAST(depth AS INTEGER) AS depth, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM found GROUP BY depth")
 def impact_by_depth(s, d):  # noqa: ANN001, ANN201
-    return graph.impact_by_depth(graph.impact(fx.trade_symbols(s, d), fx.trade_edges(s, d), _busiest(s, d)))
+    return graph.impact_by_depth(_impact(s, d))
 
 
-@query("shortest_path", f"""WITH RECURSIVE {TRADE}, arcs AS (SELECT source_id AS u, target_id AS v FROM edges UNION SELECT target_id, source_id FROM edges),
-    walk AS (SELECT 'n:0' AS id, ['n:0'] AS path UNION ALL SELECT v, list_append(path, v) FROM walk JOIN arcs ON u = id WHERE len(path) < 5 AND NOT list_contains(path, v)),
-    best AS (SELECT path FROM walk WHERE id = 'n:24' ORDER BY len(path), path LIMIT 1)
+# Depths first, each symbol once a depth; then only steps that lead down to the end are followed.
+@query("shortest_path", f"""WITH RECURSIVE {WHOLE}, arcs AS (SELECT source_id AS u, target_id AS v FROM edges UNION SELECT target_id, source_id FROM edges),
+    reach AS (SELECT 'r:0' AS id, 0 AS depth UNION SELECT v, depth + 1 FROM reach JOIN arcs ON u = id WHERE depth < 6),
+    depths AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id),
+    back AS (SELECT id, depth FROM depths WHERE id = 'p:1' UNION SELECT d.id, d.depth FROM back AS b JOIN arcs ON v = b.id JOIN depths AS d ON d.id = u AND d.depth = b.depth - 1),
+    walk AS (SELECT 'r:0' AS id, 0 AS depth, ['r:0'] AS path UNION ALL SELECT b.id, b.depth, list_append(path, b.id) FROM walk AS w JOIN arcs ON u = w.id JOIN back AS b ON b.id = v AND b.depth = w.depth + 1),
+    best AS (SELECT path FROM walk WHERE id = 'p:1' ORDER BY path LIMIT 1)
     SELECT CAST(i - 1 AS INTEGER) AS hop, path[i] AS id FROM best, unnest(range(1, len(path) + 1)) AS r(i)""")
 def shortest_path(s, d):  # noqa: ANN001, ANN201
-    return graph.shortest_path(fx.trade_symbols(s, d), fx.trade_edges(s, d), "n:0", "n:24")
-
-
-_CYCLES = f"""WITH RECURSIVE {TRADE}, arcs AS (SELECT source_id AS u, target_id AS v, min(kind) AS kind FROM edges WHERE kind IN {_in(CYCLE)} GROUP BY 1, 2),
-    walk AS (SELECT u AS root, v AS here, [u] AS path, kind FROM arcs WHERE v >= u UNION ALL SELECT root, v, list_append(path, u), a.kind FROM walk JOIN arcs AS a ON a.u = here WHERE here > root AND v >= root AND len(path) < 6 AND (v = root OR (NOT list_contains(path, v) AND v <> here)))"""
+    return graph.shortest_path(fx.whole_symbols(s, d), fx.whole_edges(s, d), "r:0", "p:1")
 
 
-@query("circular_deps", _CYCLES + " SELECT array_to_string(list_append(path, root), '>') AS cycle, CAST(len(path) AS INTEGER) AS size, kind AS via FROM walk WHERE here = root ORDER BY size, cycle LIMIT 20")
+# Twenty pairs of nations buy from each other, so the twenty shortest cycles are among those of one or two calls.
+@query("circular_deps", f"""WITH {WHOLE}, arcs AS (SELECT source_id AS u, target_id AS v, min(kind) AS kind FROM edges WHERE kind IN {_in(CYCLE)} GROUP BY 1, 2)
+    SELECT u || '>' || u AS cycle, 1 AS size, kind AS via FROM arcs WHERE u = v UNION ALL SELECT a.u || '>' || a.v || '>' || a.u, 2, b.kind FROM arcs AS a JOIN arcs AS b ON a.v = b.u AND b.v = a.u WHERE a.u < a.v ORDER BY size, cycle LIMIT 20""")
 def circular_deps(s, d):  # noqa: ANN001, ANN201
-    return graph.cycles(fx.trade_edges(s, d))
+    return graph.cycles(fx.whole_edges(s, d))
 
 
-@query("scc_members", f"""WITH RECURSIVE {TRADE}, reach AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT a, target_id FROM reach JOIN edges ON source_id = b),
+@query("scc_members", f"""WITH RECURSIVE {WHOLE}, arcs AS (SELECT DISTINCT source_id AS u, target_id AS v FROM edges WHERE kind IN {_in(CYCLE)}),
+    reach AS (SELECT u AS a, v AS b FROM arcs UNION SELECT a, v FROM reach JOIN arcs ON u = b),
     comp AS (SELECT x.a AS id, min(x.b) AS component FROM reach AS x JOIN reach AS y ON x.a = y.b AND x.b = y.a GROUP BY 1), n AS (SELECT component, count(*) AS size FROM comp GROUP BY 1 HAVING count(*) > 1) SELECT id, component, size FROM comp JOIN n USING (component)""")
 def scc_members(s, d):  # noqa: ANN001, ANN201
-    return graph.scc_members(fx.trade_edges(s, d))
-
-
-# The same over the whole graph: paths are too many for recursive SQL, so the tests hold these against plain Python.
-
-
-@query("dead_code_whole")
-def dead_code_whole(s, d):  # noqa: ANN001, ANN201
-    return analysis.dead_code(fx.whole_symbols(s, d), fx.whole_edges(s, d)).select("id", "name", "file_path")
-
-
-def _impact_whole(s: SparkSession, d: str) -> DataFrame:
-    return graph.impact(fx.whole_symbols(s, d), fx.whole_edges(s, d), "p:1")
-
-
-@query("impact_paths_whole")
-def impact_paths_whole(s, d):  # noqa: ANN001, ANN201
-    return _impact_whole(s, d).select("id", "depth", F.array_join("path", ">").alias("path"))
-
-
-@query("impact_by_depth_whole")
-def impact_by_depth_whole(s, d):  # noqa: ANN001, ANN201
-    return graph.impact_by_depth(_impact_whole(s, d))
-
-
-@query("shortest_path_whole")
-def shortest_path_whole(s, d):  # noqa: ANN001, ANN201
-    return graph.shortest_path(fx.whole_symbols(s, d), fx.whole_edges(s, d), "r:0", "p:1")
-
-
-@query("circular_deps_whole")
-def circular_deps_whole(s, d):  # noqa: ANN001, ANN201
-    return graph.cycles(fx.whole_edges(s, d))
-
-
-@query("scc_members_whole")
-def scc_members_whole(s, d):  # noqa: ANN001, ANN201
     return graph.scc_members(fx.whole_edges(s, d))
 
 
@@ -590,13 +558,19 @@ def sync_classify(s, d):  # noqa: ANN001, ANN201
     return sources_files.classify_changes(now, indexed)
 
 
-@query("sync_apply", f"WITH {TEXT}, {_STATES} SELECT file_path, hash FROM new_")
+def _index(s: SparkSession) -> Index:
+    return Index(s, f"{steps.shared_dir(s)}/store-{uuid.uuid4().hex}")
+
+
+@query("sync_apply", f"WITH {TEXT}, {_STATES} SELECT file_path, hash, line_count FROM new_")
 def sync_apply(s, d):  # noqa: ANN001, ANN201
+    """An index of the old files, synced to the new ones."""
     now, indexed = _states(s, d)
-    status = sources_files.classify_changes(now, indexed)
-    stale = status.filter("status in ('removed', 'modified')").select("file_path")
-    changed = now.join(status.filter("status in ('added', 'modified')").select("file_path"), "file_path", "left_semi")
-    return store.without_files(indexed, stale).unionByName(changed).select("file_path", "hash")
+    text = fx.table(s, d, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("file_path"), F.col("text").alias("content"))
+    index = _index(s)
+    for files in (indexed, now):
+        index.sync(files.join(text, "file_path"))
+    return index.store.read("files").select("file_path", "hash", "line_count")
 
 
 _BURST = "e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM e)"
@@ -608,33 +582,42 @@ def watch_debounce(s, d):  # noqa: ANN001, ANN201
     return watch.bursts(log, "1 hour", "event_id").select(F.col("path").alias("user_id"), "event_id", "events")
 
 
-@query("watch_apply", f"WITH {_BURST}, last AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM b GROUP BY user_id) SELECT user_id, event_type FROM last WHERE event_type <> 'error'")
+@query("watch_apply", f"WITH {_BURST}, last AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM b GROUP BY user_id) SELECT 'u' || user_id || '.py' AS file_path, 'event_' || event_id AS name FROM last WHERE event_type <> 'error'")
 def watch_apply(s, d):  # noqa: ANN001, ANN201
-    log = fx.table(s, d, "events").withColumnRenamed("user_id", "path")
+    """Each user's events as changes of a file, which an error removes, applied to an index in two batches: the later half first."""
+    log = fx.table(s, d, "events").select(F.concat(F.lit("u"), "user_id", F.lit(".py")).alias("path"), F.when(F.col("event_type") == "error", "unlink").otherwise("change").alias("op"), "ts", F.concat(F.lit("def event_"), "event_id", F.lit("():\n    pass\n")).alias("content"), "event_id")
     kept = watch.bursts(log, "1 hour", "event_id")
-    return watch.latest(kept, "event_id").filter("event_type <> 'error'").select(F.col("path").alias("user_id"), "event_type")
+    middle = F.lit(kept.agg(F.percentile_approx("ts", 0.5)).first()[0])
+    index = _index(s)
+    for n, part in enumerate((kept.filter(F.col("ts") > middle), kept.filter(F.col("ts") <= middle))):
+        index.apply_changes(watch.latest(part, "event_id").select("path", "op", "ts", "content"), ("events", n))
+    return index.store.read("symbols").select("file_path", "name")
 
 
-# Extraction: the tables hold no source code, so these read this package's own
+# Extraction: a class for each nation with a method for each customer, in Python or TypeScript
 
+_CODE = """k AS (SELECT n_nationkey AS n, n_nationkey % 2 = 0 AS py, CASE WHEN n_nationkey % 2 = 0 THEN 'py/nation' || n_nationkey || '.py' ELSE 'web/nation' || n_nationkey || '.ts' END AS file_path, c_custkey AS c, lower(c_mktsegment) AS segment,
+    row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY n_nationkey) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey),
+    decl AS (SELECT DISTINCT 'class' AS kind, 'Nation' || n AS name, file_path, 1 AS start_line, CAST(CASE WHEN py THEN 2 * k + 1 ELSE k + 2 END AS INTEGER) AS end_line, CASE WHEN py THEN 'python' ELSE 'typescript' END AS language, NOT py AS exported, NULL AS segment, n FROM k
+        UNION ALL SELECT 'method', 'customer_' || c, file_path, CAST(CASE WHEN py THEN 2 * i ELSE i + 1 END AS INTEGER), CAST(CASE WHEN py THEN 2 * i + 1 ELSE i + 1 END AS INTEGER), CASE WHEN py THEN 'python' ELSE 'typescript' END, false, segment, n FROM k),
+    named AS (SELECT *, substr(sha256(kind || ':' || file_path || ':' || name || ':' || start_line), 1, 16) AS id FROM decl)"""
 
-def _sources(s: SparkSession) -> DataFrame:
-    import os
 
-    return extract.parsed(sources_files.discover(s, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+def _code(s: SparkSession, d: str) -> DataFrame:
+    return extract.parsed(fx.code_files(s, d))
 
 
-@query("extract_symbols")
+@query("extract_symbols", f"WITH {_CODE} SELECT id, kind, name, file_path, start_line, end_line, language, exported FROM named")
 def extract_symbols(s, d):  # noqa: ANN001, ANN201
-    """Symbols of this package's modules; the tests hold extraction against known trees."""
-    return extract.symbols(_sources(s)).drop("created_at", "updated_at", "metadata")
+    return extract.symbols(_code(s, d)).select("id", "kind", "name", "file_path", "start_line", "end_line", "language", "exported")
 
 
-@query("extract_contains")
+@query("extract_contains", f"WITH {_CODE} SELECT substr(sha256(a.id || '->' || b.id || ':contains'), 1, 16) AS id, a.id AS source_id, b.id AS target_id, 'contains' AS kind FROM named AS a JOIN named AS b ON a.n = b.n AND a.kind = 'class' AND b.kind = 'method'")
 def extract_contains(s, d):  # noqa: ANN001, ANN201
-    return extract.contains(_sources(s)).drop("metadata")
+    return extract.contains(_code(s, d)).drop("metadata")
 
 
-@query("extract_refs")
+@query("extract_refs", f"WITH {_CODE} SELECT DISTINCT a.id AS from_node_id, 'segment_' || b.segment AS ref_name, 'calls' AS ref_kind, a.file_path FROM named AS a JOIN named AS b ON a.n = b.n AND b.kind = 'method' AND (a.kind = 'class' OR a.id = b.id)")
 def extract_refs(s, d):  # noqa: ANN001, ANN201
-    return extract.refs(_sources(s))
+    """What each method calls, and what a class calls through its methods."""
+    return extract.refs(_code(s, d))

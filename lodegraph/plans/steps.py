@@ -47,6 +47,11 @@ def scope(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)  # noqa: SLF001
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001

@@ -16,6 +16,9 @@ EDGES = "id string, source_id string, target_id string, kind string, metadata st
 FILES = "file_path string, hash string, language string, indexed_at timestamp, node_count int, line_count int"
 SEARCH_TOKENS = "node_id string, token string, tf double, source string"
 IDF = "token string, idf double, doc_count long"
+POSTINGS = "id string, token string, tf long, size int"
+SEARCH_STATS = "n_all long, all_tokens long"
+APPLIED = "path string, ts timestamp"
 REFS = "from_node_id string, ref_name string, ref_kind string, file_path string"
 CHANGES = "path string, op string, ts timestamp, content string"
 

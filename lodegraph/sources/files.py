@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..schema import all_extensions
 
 MAX_BYTES = 1 << 20
 #: Directory names that are left out at the root of the tree, and file-name endings that are left out there.
-SKIPPED_DIRS = tuple(".git .next .nuxt .venv __pycache__ bin build coverage dist env node_modules out target vendor venv".split())
+SKIPPED_DIRS = tuple(".git .next .nuxt .venv __pycache__ bin build coverage dist node_modules out target vendor venv".split())
 SKIPPED_ENDINGS = (".map", ".bundle.js", ".min.css", ".min.js")
 DEFAULTS = {"exclude": [], "maxFileSize": MAX_BYTES}
 
@@ -72,13 +73,28 @@ def with_facts(files: DataFrame) -> DataFrame:
 def discover(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
     """Source files below root: file_path (relative), content, hash, language, line_count."""
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(all_extensions()) + "}").load(base)
+    glob = "*.{" + ",".join(all_extensions()) + "}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(_entered(spark, base))
     stem = F.regexp_replace("path", "^file:/+", "/")
     rel = F.expr(f"substring(_p, {len(os.path.abspath(base)) + 2})")
     named = raw.withColumn("_p", stem).withColumn("file_path", rel).filter(wanted(F.col("file_path"), F.col("length"), exclude, max_bytes))
     return with_facts(named.select("file_path", F.decode("content", "UTF-8").alias("content")))
 
 
+def _entered(spark: SparkSession, base: str) -> list[str]:
+    """base's files, and its directories but those that are skipped: what lies in them is neither listed nor read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)  # noqa: SLF001
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    found = [(s.getPath(), s.isDirectory()) for s in fs.listStatus(path)]
+    ends = tuple("." + e for e in all_extensions())
+    kept = [p.toString() for p, is_dir in found if not p.getName().startswith(".") and (p.getName() not in SKIPPED_DIRS if is_dir else p.getName().lower().endswith(ends))]
+    return [_escaped(p) for p in kept] or [_escaped(path.toString())]
+
+
+def _escaped(path: str) -> str:
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
 def snippets(symbols: DataFrame, files: DataFrame, limit: int = 500) -> DataFrame:
     """symbols with ``code``: their lines, cut at ``limit`` characters with a note; null where the file is gone."""
     text = files.select("file_path", F.split("content", "\n", -1).alias("_lines"))

@@ -10,8 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..plans.steps import materialize, sized
 
-TABLES = {"symbols": schema.SYMBOLS, "edges": schema.EDGES, "files": schema.FILES, "search_tokens": schema.SEARCH_TOKENS, "idf": schema.IDF, "refs": schema.REFS}
+TABLES = {
+    "symbols": schema.SYMBOLS, "edges": schema.EDGES, "files": schema.FILES, "search_tokens": schema.SEARCH_TOKENS, "idf": schema.IDF, "refs": schema.REFS,
+    "postings": schema.POSTINGS, "search_stats": schema.SEARCH_STATS, "applied": schema.APPLIED,
+}
+#: Columns that a table is ordered by when it is written: point lookups and prefixes then skip most of it by its statistics.
+ORDERED = {"symbols": "id", "postings": "token", "search_tokens": "token", "idf": "token"}
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -62,8 +68,12 @@ def dangling(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def without_file_edges(edges: DataFrame, symbols: DataFrame, paths: DataFrame) -> DataFrame:
-    """edges with neither end in the files in ``paths``: two anti joins, since an OR would join by nested loop."""
-    gone = symbols.join(paths.select("file_path").distinct(), "file_path", "left_semi").select("id").distinct()
+    """edges with neither end in the files in ``paths``: two anti joins, since an OR would join by nested loop.
+
+    The symbols of those files are found once and counted, so the joins can spare the edges a shuffle where they are few.
+    """
+    gone = materialize(symbols.join(paths.select("file_path").distinct(), "file_path", "left_semi").select("id").distinct())
+    gone = sized(gone, gone.count(), 64)
     out = edges.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
     return out.join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti").select(edges.columns)
 
@@ -71,8 +81,10 @@ def without_file_edges(edges: DataFrame, symbols: DataFrame, paths: DataFrame) -
 class Store:
     """Versioned snapshots of the graph's tables under one root.
 
-    A commit writes each changed table to a new directory and then replaces the pointer file, so readers see a
-    whole version or the one before it. All file access goes through Hadoop's file system, local or not.
+    A commit writes each changed table to a new directory and then puts a pointer file with the next number in place by
+    one rename, which fails where that number exists; the greatest number is the current version. So readers see a whole
+    version or the one before it, and a crash at any point leaves the last version. All file access goes through
+    Hadoop's file system, local or not.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -83,14 +95,25 @@ class Store:
         self._io = jvm.org.apache.hadoop.io.IOUtils
         self._out = jvm.java.io.ByteArrayOutputStream
 
+    def _names(self) -> list[str]:
+        where = self._path(self.root)
+        return [s.getPath().getName() for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+
+    def version(self) -> int:
+        """Number of the current version; 0 if there is none."""
+        return max((int(n[8:]) for n in self._names() if n.startswith("VERSION-") and n[8:].isdigit()), default=0)
+
     def exists(self) -> bool:
-        return self._fs.exists(self._path(f"{self.root}/CURRENT"))
+        return self.version() > 0
 
-    def pointer(self) -> dict[str, str]:
-        """Table name to directory, of the current version."""
-        if not self.exists():
+    def pointer(self) -> dict:
+        """Table name to directory, of the current version; ``_batches`` has the last batch of each stream."""
+        return self._pointer(self.version())
+
+    def _pointer(self, version: int) -> dict:
+        if not version:
             return {}
-        stream, buffer = self._fs.open(self._path(f"{self.root}/CURRENT")), self._out()
+        stream, buffer = self._fs.open(self._path(f"{self.root}/VERSION-{version:012}")), self._out()
         self._io.copyBytes(stream, buffer, 4096, True)
         return json.loads(buffer.toString())
 
@@ -100,34 +123,39 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{found}")
 
-    def commit(self, batch: str | None = None, **tables: DataFrame) -> None:
-        """Write the tables and switch to them together; a batch name that was committed before is skipped."""
-        now = self.pointer()
-        if batch is not None and now.get("_batch") == batch:
-            return
+    def done(self, batch: tuple[str, int]) -> bool:
+        """Has this batch of the stream, or a later one, been committed?"""
+        return self.pointer().get("_batches", {}).get(batch[0], -1) >= batch[1]
+
+    def commit(self, batch: tuple[str, int] | None = None, **tables: DataFrame) -> None:
+        """Write the tables and switch to them together; a stream's batch (stream, number) that was committed before is skipped."""
+        version = self.version()
+        now = self._pointer(version)
+        if batch is not None:
+            if self.done(batch):
+                return
+            now["_batches"] = now.get("_batches", {}) | {batch[0]: batch[1]}
         tag = uuid.uuid4().hex
         for name, df in tables.items():
+            if name in ORDERED:
+                df = df.repartitionByRange(ORDERED[name]).sortWithinPartitions(ORDERED[name])
             df.write.mode("overwrite").parquet(f"{self.root}/{name}-{tag}")
             now[name] = f"{name}-{tag}"
-        if batch is not None:
-            now["_batch"] = batch
-        fresh = self._path(f"{self.root}/CURRENT-{tag}")
+        fresh, target = self._path(f"{self.root}/next-{tag}"), self._path(f"{self.root}/VERSION-{version + 1:012}")
         out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        target = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(fresh, target):
-            raise OSError(f"cannot switch {self.root} to version {tag}")
+        if self._fs.exists(target) or not self._fs.rename(fresh, target):
+            raise OSError(f"{self.root} was changed by someone else, or version {version + 1} cannot be written")
 
     def reset(self) -> None:
         """Empty every table."""
         self.commit(**{n: self.spark.createDataFrame([], s) for n, s in TABLES.items()})
 
     def vacuum(self) -> None:
-        """Delete directories that the current version does not use."""
-        keep = {"CURRENT", *self.pointer().values()}
-        for status in self._fs.listStatus(self._path(self.root)):
-            if status.getPath().getName() not in keep:
-                self._fs.delete(status.getPath(), True)
+        """Delete directories and pointers that the current version does not use."""
+        version = self.version()
+        keep = {f"VERSION-{version:012}", *(d for d in self._pointer(version).values() if isinstance(d, str))}
+        for name in self._names():
+            if name not in keep:
+                self._fs.delete(self._path(f"{self.root}/{name}"), True)

@@ -38,7 +38,7 @@ def walk(arcs, start, depth):
 
 
 def test_whole_graph_by_plain_python(spark):
-    got = {n: [tuple(r) for r in catalogue.QUERIES[f"{n}_whole"](spark, SF).collect()] for n in ("dead_code", "impact_paths", "impact_by_depth", "shortest_path", "circular_deps", "scc_members")}
+    got = {n: [tuple(r) for r in catalogue.QUERIES[n](spark, SF).collect()] for n in ("dead_code", "impact_paths", "impact_by_depth", "shortest_path", "circular_deps", "scc_members")}
     symbols = {r["id"]: r for r in fx.whole_symbols(spark, SF).collect()}
     # The edges themselves, from the tables.
     t = {n: fx.table(spark, SF, n).toPandas() for n in ("nation", "supplier", "customer", "orders", "lineitem")}

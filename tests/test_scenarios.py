@@ -49,8 +49,22 @@ def test_search_needs_all_terms_and_takes_operators_as_words(spark):
 
 
 def test_search_folds_accents(spark):
-    s = symbols(spark, ("x", {"docstring": "Élan vital"}))
-    assert ids(search.search(s, "elan")) == ["x"]
+    s = symbols(spark, ("x", {"docstring": "Élan vital"}), ("y", {"docstring": "e\u0301toile"}), ("z", {"docstring": "άλφα йод"}))
+    assert ids(search.search(s, "elan")) == ["x"] and ids(search.search(s, "etoile")) == ["y"]
+    tokens = {r["token"] for r in search.build_postings(s).filter("id = 'z'").collect()}
+    assert {"αλφα", "иод"} <= tokens
+
+
+def test_a_search_reads_the_tokens_it_names(spark, tmp_path):
+    s = symbols(spark, *[(f"s{i}", {"docstring": f"word{i} shared"}) for i in range(20)])
+    kept = store.Store(spark, f"file://{tmp_path}/store")
+    postings, stats = search.built(s)
+    kept.commit(postings=postings, search_stats=stats)
+    stored = kept.read("postings"), kept.read("search_stats")
+    found = search.search(s, "shared word7", index=stored)
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in search.search(s, "shared word7").collect()] and ids(found) == ["s7"]
+    plan = search.naming(stored[0], ["shared word7"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "StringStartsWith(token,word7)" in plan and "EqualTo(token,shared)" in plan
 
 
 def test_by_file_and_delete(spark):
@@ -102,17 +116,59 @@ def test_cycles(spark):
     assert {r["id"] for r in graph.scc_members(e).collect()} == {"a", "b", "c"}
 
 
-def test_components_of_long_cycles_are_reported(spark):
+def brute_cycles(arcs):
+    """For each arc u to r that closes a cycle through nodes from r up: the least of the shortest paths from r to u."""
+    out = []
+    for u, r in arcs:
+        if r > u:
+            continue
+        front, seen = {r: (r,)}, {r}
+        while front and u not in front:
+            after = {}
+            for x, p in front.items():
+                for a, b in arcs:
+                    if a == x and b > r and b not in seen:
+                        after[b] = min(after.get(b, (*p, b)), (*p, b))
+            front = after
+            seen |= front.keys()
+        if u in front:
+            out.append((len(front[u]), ">".join([*front[u], r])))
+    return sorted(out)
+
+
+def test_long_cycles_are_reported(spark):
     def ring(ids):
         return [(a, b, "calls") for a, b in zip(ids, ids[1:] + ids[:1])]
 
     seven, nine = [f"a{i}" for i in range(7)], [f"b{i}" for i in range(9)]
-    # b has cycles of 8 and 9 edges: the shortest counts.
+    # b has cycles of 8 and 9 edges with the same closing edge: the shorter one counts.
     arcs = ring(seven) + ring(nine) + [("b3", "b5", "extends"), ("a0", "b0", "calls"), ("x", "y", "calls"), ("y", "x", "calls")]
     want = [("x>y>x", 2, "calls"), (">".join([*seven, "a0"]), 7, "calls"), (">".join([*nine[:4], *nine[5:], "b0"]), 8, "calls")]
     assert [tuple(r) for r in graph.cycles(edges(spark, *arcs)).collect()] == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycles_by_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    arcs = {(f"v{rnd.randrange(14):02}", f"v{rnd.randrange(14):02}") for _ in range(24)} | {(f"w{i}", f"w{(i + 1) % 8}") for i in range(8)}
+    want = brute_cycles(arcs)
+    e = edges(spark, *[(a, b, "calls") for a, b in arcs])
+    assert [(r["size"], r["cycle"]) for r in graph.cycles(e, None).collect()] == want and len(want) > 2
+    assert [(r["size"], r["cycle"]) for r in graph.cycles(e, 2).collect()] == want[:2]
+
+
+def test_components_of_chains_and_rings(spark):
+    """Chains that lead into, out of and through components, a ring of nothing else, and rings in series."""
+    chain = [(f"q{i:03}", f"q{i + 1:03}") for i in range(60)]
+    ring = [(f"r{i:02}", f"r{(i + 1) % 20:02}") for i in range(20)]
+    loop = [("m", "n"), ("n", "o"), ("o", "m"), ("m", "z1"), ("z1", "z2"), ("z2", "o"), ("n", "x1"), ("x1", "x2"), ("q060", "m"), ("o", "q000"), ("e1", "e2"), ("e2", "e1"), ("e2", "r05")]
+    arcs = chain + ring + loop
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(arcs, "u string, v string")).collect()}
+    big = {"m", "n", "o", "z1", "z2"} | {x for a in chain for x in a}
+    want = {x: "m" if x in big else "r00" if x[0] == "r" else "e1" if x[0] == "e" else x for a in arcs for x in a}
+    assert got == want
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_graph(spark, seed):
     rnd = random.Random(seed)
@@ -201,8 +257,8 @@ def test_bm25_of_many_names_equals_single_searches(spark):
     words = ["alpha", "alphabet", "beta", "gamma ray", "a", "ray"]
     rnd = random.Random(3)
     s = symbols(spark, *[(f"s{i}", {"docstring": " ".join(rnd.choices(["alpha", "alphabet", "beta", "gamma", "ray", "arc"], k=6))}) for i in range(30)])
-    postings = search.build_postings(s)
+    postings, stats = search.built(s)
     names = spark.createDataFrame([(w,) for w in words], "ref_name string")
-    many = resolve.bm25_by_name(s, postings, resolve.name_terms(names))
-    one = search.bm25(s, postings, search.term_frame(s, words))
+    many = resolve.bm25_by_name(postings, resolve.name_terms(names), stats)
+    one = search.bm25(search.naming(postings, words), search.term_frame(s, words), stats)
     assert sorted((r["query"], r["id"], round(r["score"], 9)) for r in many.collect()) == sorted((r["query"], r["id"], round(r["score"], 9)) for r in one.collect())
