@@ -100,7 +100,7 @@ class Index:
         idf = semantic.idf(semantic.document_frequency(tokens), stats.select(F.col("n_all").alias("n")))
         tell("resolving", refs.count())
         resolved = resolve.resolve(refs, symbols, (postings, stats)).withColumn("metadata", F.lit(None).cast("string"))
-        new_files = fresh.join(counts, "file_path", "left").select("file_path", "hash", "language", F.current_timestamp().alias("indexed_at"), F.coalesce("node_count", F.lit(0)).alias("node_count"), "line_count")
+        new_files = fresh.select("file_path", "hash", "language", "line_count").join(counts, "file_path", "left").select("file_path", "hash", "language", F.current_timestamp().alias("indexed_at"), F.coalesce("node_count", F.lit(0)).alias("node_count"), "line_count")
         files = upsert(without_files(read("files"), stale), new_files, ["file_path"])
         self.store.commit(batch, symbols=symbols, refs=refs, edges=upsert(inside, resolved, ["id"]), files=files, search_tokens=tokens, idf=idf, postings=postings, search_stats=stats, **more)
         failed = extract.errors(rows)
