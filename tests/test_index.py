@@ -1,6 +1,7 @@
 """Extraction, indexing, sync, watching, the facade and its tools, on a small tree of files."""
 
 import os
+import time
 
 import pyarrow as pa
 import pytest
@@ -191,6 +192,24 @@ def test_any_exception_of_a_parser_is_one_files_error(spark, monkeypatch):
     assert [(r["file_path"], r["n"], r["error"]) for r in rows] == [("a.go", -1, "KeyError: 'odd'"), ("b.py", 0, None)]
 
 
+@pytest.mark.parametrize("lang", ["typescript", "ruby", "python"])
+def test_work_grows_with_the_file_not_with_its_square(lang):
+    n = 12_000
+    head, method, tail = {"typescript": ("class A {\n", "  m_%d(x) { return f_%d(x); }\n", "}\n"), "ruby": ("class A\n", "  def m_%d(x)\n    f_%d(x)\n  end\n", "end\n"), "python": ("class A:\n", "    def m_%d(self):\n        return f_%d(1)\n", "")}[lang]
+    text = head + "".join(method % (i, i) for i in range(n)) + tail
+    began = time.process_time()
+    rows = extract.PARSERS[lang](text)
+    assert time.process_time() - began < 10  # a search of all declarations for each call took 30 and more
+    assert [(r.name, r.parent) for r in rows] == [("A", -1)] + [(f"m_{i}", 0) for i in range(n)]
+    assert [[n for k, n in r.refs if k == "calls" and n[0] == "f"] for r in rows] == [[]] + [[f"f_{i}"] for i in range(n)]
+
+
+def test_declarations_are_handed_on_in_batches():
+    text = "".join(f"def f{i}():\n    pass\n" for i in range(extract.BATCH_ROWS + 5))
+    out = list(extract._parse(iter([pa.RecordBatch.from_pylist([{"file_path": "a.py", "language": "python", "content": text}])])))
+    assert [b.num_rows for b in out] == [extract.BATCH_ROWS, 5]
+
+
 def test_deep_nesting_and_far_comments(spark):
     deep = "".join("    " * i + f"def f{i}():\n" for i in range(20)) + "    " * 20 + "inner()\n"
     comment = "/* " + "long " * 1000 + "*/"
