@@ -603,8 +603,8 @@ _CODE = """k AS (SELECT n_nationkey AS n, n_nationkey % 2 = 0 AS py, CASE WHEN n
     named AS (SELECT *, substr(sha256(kind || ':' || file_path || ':' || name || ':' || start_line), 1, 16) AS id FROM decl)"""
 
 
-def _code(s: SparkSession, d: str) -> DataFrame:
-    return extract.parsed(fx.code_files(s, d))
+def _code(s: SparkSession, d: str, columns: str = "*") -> DataFrame:
+    return extract.parsed(fx.code_files(s, d)).select(*columns.split())
 
 
 @query("extract_symbols", f"WITH {_CODE} SELECT id, kind, name, file_path, start_line, end_line, language, exported FROM named")
@@ -614,10 +614,11 @@ def extract_symbols(s, d):  # noqa: ANN001, ANN201
 
 @query("extract_contains", f"WITH {_CODE} SELECT substr(sha256(a.id || '->' || b.id || ':contains'), 1, 16) AS id, a.id AS source_id, b.id AS target_id, 'contains' AS kind FROM named AS a JOIN named AS b ON a.n = b.n AND a.kind = 'class' AND b.kind = 'method'")
 def extract_contains(s, d):  # noqa: ANN001, ANN201
-    return extract.contains(_code(s, d)).drop("metadata")
+    # A table, as both sides of a join read it and files are parsed once.
+    return extract.contains(steps.materialize(_code(s, d, "file_path n parent id"))).drop("metadata")
 
 
 @query("extract_refs", f"WITH {_CODE} SELECT DISTINCT a.id AS from_node_id, 'segment_' || b.segment AS ref_name, 'calls' AS ref_kind, a.file_path FROM named AS a JOIN named AS b ON a.n = b.n AND b.kind = 'method' AND (a.kind = 'class' OR a.id = b.id)")
 def extract_refs(s, d):  # noqa: ANN001, ANN201
     """What each method calls, and what a class calls through its methods."""
-    return extract.refs(_code(s, d))
+    return extract.refs(steps.materialize(_code(s, d, "file_path n ancestors refs id")))
