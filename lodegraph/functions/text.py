@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SHARED = """a about all an and are as at be been being both but by can class could dare did do does each few for from function
@@ -30,6 +30,29 @@ def index_tokens(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & (F.length(w) < 40) & ~w.isin(*sorted(INDEX_STOP_WORDS)))
 
 
+def merged(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """key and the fields: one row for each key; the texts of a repeated one are joined by blanks, which part tokens.
+
+    A window and not an aggregate: texts are sorted by key once, after they have moved, and held for one key at a time.
+    """
+    same = Window.partitionBy(key)
+    lists = rows.select(key, *[F.array_join(F.collect_list(f).over(same), " ").alias(f) for f in fields], F.row_number().over(same.orderBy(key)).alias("_no"))
+    return lists.filter("_no = 1").drop("_no")
+
+
+def counted(rows: DataFrame, tokens: str) -> DataFrame:
+    """rows with the array ``tokens`` replaced by ``entries``: each distinct token of the row with n, its number, by token.
+
+    Counting stays within the row, whose sorted tokens are cut into runs: a task holds one row's tokens at a time. The
+    steps are columns of their own, or the optimizer would sort anew for each element.
+    """
+    t, at = F.col("_t"), F.col("_at")
+    sorted_ = rows.withColumn("_t", F.sort_array(tokens)).drop(tokens)
+    runs = sorted_.withColumn("_at", F.filter(F.transform(t, lambda w, i: F.when((i == 0) | (w != F.get(t, i - 1)), i)), lambda i: i.isNotNull()))
+    entry = F.transform(at, lambda i, k: F.struct(F.get(t, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(t)) - i).cast("long").alias("n")))
+    return runs.withColumn("entries", entry).drop("_t", "_at")
+
+
 def query_keywords(text: Column) -> Column:
     """Keywords of a context query: distinct, in order of first use."""
     words = F.split(F.lower(F.regexp_replace(_split_camel(text), "_", " ")), r"[\s,;:.!?/\\]+")

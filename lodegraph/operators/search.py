@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fts_terms, fts_tokens
+from ..functions.text import counted, fts_terms, fts_tokens, merged
 from ..plans.steps import materialize
 
 FIELDS = ("name", "qualified_name", "signature", "docstring")
@@ -21,11 +21,11 @@ LIMIT = 20
 
 
 def build_postings(symbols: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """id, token, tf, size: occurrences of each token of a symbol, and the symbol's tokens in all. One shuffle, by symbol."""
-    tokens = F.concat(*[fts_tokens(F.col(f)) for f in fields])
-    rows = symbols.select("id", *fields).repartition("id").select("id", tokens.alias("t")).select("id", F.size("t").alias("size"), F.explode_outer("t").alias("token"))
-    # explode_outer and a filter after it: explode would have the optimizer tokenise twice, to drop empty arrays first.
-    return rows.filter("token is not null").groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    """id, token, tf, size: occurrences of each token of a symbol, and the symbol's tokens in all. One shuffle, by symbol; counts within a row."""
+    rows = merged(symbols.select("id", *fields), "id", fields)
+    rows = counted(rows.select("id", F.concat(*[fts_tokens(F.col(f)) for f in fields]).alias("t")).withColumn("size", F.size("t")), "t")
+    # explode_outer and a filter after it: explode would have the optimizer take entries twice, for each element anew.
+    return rows.select("id", "size", F.explode_outer("entries").alias("e")).filter("e is not null").select("id", "e.token", F.col("e.n").alias("tf"), "size")
 
 
 def statistics(symbols: DataFrame, postings: DataFrame) -> DataFrame:

@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import index_tokens
+from ..functions.text import counted as in_row
+from ..functions.text import index_tokens, merged
 
 FIELDS = ("name", "qualified_name", "signature", "docstring")
 WEIGHTS = {"name": 4.0, "signature": 2.0, "docstring": 1.5}
 LIMIT = 20
 
 
+def _tokens(symbols: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """node_id and its tokens by field; the fields' texts move once, by symbol."""
+    rows = merged(symbols.select(F.col("id").alias("node_id"), *fields), "node_id", fields)
+    return rows.select("node_id", *[index_tokens(F.col(f)).alias(f) for f in fields])
+
+
 def token_counts(symbols: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """node_id, source (field), token, n. The fields move once, by symbol; all counts within a symbol then stay in place."""
-    parts = F.explode(F.array(*[F.struct(F.lit(f).alias("source"), index_tokens(F.col(f)).alias("tokens")) for f in fields]))
-    rows = symbols.select(F.col("id").alias("node_id"), *fields).repartition("node_id")
-    rows = rows.select("node_id", parts.alias("p")).select("node_id", "p.source", F.explode_outer("p.tokens").alias("token")).filter("token is not null")
-    return rows.groupBy("node_id", "source", "token").agg(F.count("*").alias("n"))
+    """node_id, source (field), token, n, and most, the greatest n of the symbol's field. All counts are taken within a row."""
+    parts = F.explode(F.array(*[F.struct(F.lit(f).alias("source"), F.col(f).alias("tokens")) for f in fields]))
+    rows = _tokens(symbols, fields).select("node_id", parts.alias("p")).select("node_id", "p.source", "p.tokens")
+    rows = in_row(rows, "tokens").withColumn("most", F.array_max(F.transform("entries", lambda x: x["n"])))
+    # explode_outer and a filter after it: explode would have the optimizer take entries twice, for each element anew.
+    return rows.select("node_id", "source", "most", F.explode_outer("entries").alias("e")).filter("e is not null").select("node_id", "source", "e.token", "e.n", "most")
 
 
 def term_frequency(counted: DataFrame) -> DataFrame:
     """node_id, token, tf, source: each count over the greatest of its symbol and field."""
-    most = F.max("n").over(Window.partitionBy("node_id", "source"))
-    return counted.select("node_id", "token", (F.col("n") / most).alias("tf"), "source")
+    return counted.select("node_id", "token", (F.col("n") / F.col("most")).alias("tf"), "source")
+
+
+def vocabulary(symbols: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``document_frequency`` of the symbols' texts: tokens are told apart within a row, so that a task holds distinct tokens only."""
+    rows = _tokens(symbols, fields).select(F.array_distinct(F.concat(*fields)).alias("t"))
+    return rows.select(F.explode_outer("t").alias("token")).filter("token is not null").groupBy("token").agg(F.count("*").alias("doc_count"))
 
 
 def document_frequency(counted: DataFrame) -> DataFrame:
@@ -39,8 +52,7 @@ def idf(df: DataFrame, n_symbols: DataFrame) -> DataFrame:
 
 def build_index(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(search_tokens, idf)."""
-    counted = token_counts(symbols)
-    return term_frequency(counted), idf(document_frequency(counted), symbols.agg(F.count("*").alias("n")))
+    return term_frequency(token_counts(symbols)), idf(vocabulary(symbols), symbols.agg(F.count("*").alias("n")))
 
 
 def scores(tokens: DataFrame, idfs: DataFrame, query: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code
-from ..functions.text import INDEX_STOP_WORDS, QUERY_STOP_WORDS, fts_terms, index_tokens, query_keywords
+from ..functions.text import INDEX_STOP_WORDS, QUERY_STOP_WORDS, counted, fts_terms, index_tokens, merged, query_keywords
 from ..operators import analysis, context, extract, graph, lookup, resolve, search, semantic
 from ..schema import CYCLE, DEAD_KINDS, HOTSPOT_KINDS, IMPACT, MEMBER, edge_id, node_id
 from ..sources import files as sources_files
@@ -292,10 +292,10 @@ def _tokens_sql(text: str) -> str:
 
 @query("tokenize", f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_tokens_sql('text')}) AS token FROM documents) AS x GROUP BY token")
 def tokenize(s, d):  # noqa: ANN001, ANN201
-    # Texts move once, by document; then only distinct tokens of each part move.
-    docs = fx.table(s, d, "documents").select("doc_id", "text").repartition("doc_id")
-    rows = docs.select("doc_id", F.explode_outer(index_tokens(F.col("text"))).alias("token")).filter("token is not null")
-    return rows.groupBy("token", "doc_id").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
+    # Texts move once, by document, and are counted within a row; then only distinct tokens of each part move.
+    docs = merged(fx.table(s, d, "documents").select("doc_id", "text"), "doc_id", ("text",))
+    rows = counted(docs.select(index_tokens(F.col("text")).alias("t")), "t").select(F.explode_outer("entries").alias("e")).filter("e is not null")
+    return rows.groupBy("e.token").agg(F.sum("e.n").alias("n"), F.count("*").alias("docs"))
 
 
 _COUNTED = f"""counted AS (SELECT node_id, source, token, count(*) AS n FROM (
@@ -312,7 +312,7 @@ def term_frequency(s, d):  # noqa: ANN001, ANN201
 
 @query("document_frequency", f"WITH {TEXT}, {_COUNTED} SELECT token, doc_count FROM df")
 def document_frequency(s, d):  # noqa: ANN001, ANN201
-    return semantic.document_frequency(semantic.token_counts(fx.text_symbols(s, d)))
+    return semantic.vocabulary(fx.text_symbols(s, d))
 
 
 @query("idf", f"WITH {TEXT}, {_COUNTED} SELECT token, doc_count, round(idf, 6) AS idf FROM idfs")

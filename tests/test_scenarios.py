@@ -262,3 +262,18 @@ def test_bm25_of_many_names_equals_single_searches(spark):
     many = resolve.bm25_by_name(postings, resolve.name_terms(names), stats)
     one = search.bm25(search.naming(postings, words), search.term_frame(s, words), stats)
     assert sorted((r["query"], r["id"], round(r["score"], 9)) for r in many.collect()) == sorted((r["query"], r["id"], round(r["score"], 9)) for r in one.collect())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_counted_within_a_row(spark):
+    rows = spark.createDataFrame([("a", "Red red", None), ("a", "red blueGreen", "x"), ("b", "", "two two one"), (None, "red", None), ("c", None, None)], "id string, name string, docstring string")
+    fields = ("name", "docstring")
+    counts = semantic.token_counts(rows, fields)
+    assert "Aggregate" not in _plan(counts) and "Aggregate" not in _plan(search.build_postings(rows, fields))  # a task would hold every token it meets
+    got = {tuple(r) for r in counts.collect()}
+    assert got == {("a", "name", "red", 3, 3), ("a", "name", "blue", 1, 3), ("a", "name", "green", 1, 3), ("b", "docstring", "two", 2, 2), ("b", "docstring", "one", 1, 2), (None, "name", "red", 1, 1)}
+    assert {tuple(r) for r in semantic.vocabulary(rows, fields).collect()} == {("red", 2), ("blue", 1), ("green", 1), ("two", 1), ("one", 1)}
+    assert {tuple(r) for r in search.build_postings(rows, fields).collect()} == {("a", "red", 3, 5), ("a", "bluegreen", 1, 5), ("a", "x", 1, 5), ("b", "two", 2, 3), ("b", "one", 1, 3), (None, "red", 1, 1)}
