@@ -277,3 +277,9 @@ def test_tokens_are_counted_within_a_row(spark):
     assert got == {("a", "name", "red", 3, 3), ("a", "name", "blue", 1, 3), ("a", "name", "green", 1, 3), ("b", "docstring", "two", 2, 2), ("b", "docstring", "one", 1, 2), (None, "name", "red", 1, 1)}
     assert {tuple(r) for r in semantic.vocabulary(rows, fields).collect()} == {("red", 2), ("blue", 1), ("green", 1), ("two", 1), ("one", 1)}
     assert {tuple(r) for r in search.build_postings(rows, fields).collect()} == {("a", "red", 3, 5), ("a", "bluegreen", 1, 5), ("a", "x", 1, 5), ("b", "two", 2, 3), ("b", "one", 1, 3), (None, "red", 1, 1)}
+
+
+def test_edges_are_made_distinct_by_keys():
+    from lodegraph.sources import fixtures
+
+    assert fixtures._EDGES_BY_KEYS.count("SELECT DISTINCT ") == 2 and "DISTINCT concat" not in fixtures._EDGES_BY_KEYS
