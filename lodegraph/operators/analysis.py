@@ -50,7 +50,7 @@ def dead_code(symbols: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = sch
     """Symbols of the kinds that no impact edge points to, by file and line."""
     rows = symbols.filter(F.col("kind").isin(*kinds))
     rows = rows if include_exported else rows.filter(~F.col("exported"))
-    used = edges.filter(F.col("kind").isin(*schema.IMPACT)).select(F.col("target_id").alias("id"))
+    used = edges.filter(F.col("kind").isin(*schema.IMPACT)).select(F.col("target_id").alias("id")).distinct()  # targets move once each, not once an edge
     return rows.join(used, "id", "left_anti").orderBy("file_path", "start_line", "id")
 
 
