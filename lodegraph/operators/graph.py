@@ -78,12 +78,49 @@ def impact_by_depth(found: DataFrame) -> DataFrame:
 
 
 def shortest_path(symbols: DataFrame, edges: DataFrame, start: str, end: str, depth: int = 10) -> DataFrame:
-    """hop (from 0) and id along the least of the shortest undirected paths over all edge kinds; empty if there is none."""
+    """hop (from 0) and id along the least of the shortest undirected paths over all edge kinds; empty if there is none.
+
+    Levels grow from both ends, the smaller one next, until they meet; edges are read as they are, without a copy in both
+    directions. Then the path is followed from the start, to the least neighbour that is on a shortest path each time.
+    """
+    spark = edges.sparkSession
+    none = spark.createDataFrame([], "hop int, id string")
+    if not symbols.filter(F.col("id") == end).limit(1).count():
+        return none
     both = edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"))
-    arcs = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct())
-    found = _levels(arcs, start, depth if start != end else 0, end).filter(F.col("id") == end)
-    found = found.join(symbols.select("id"), "id", "left_semi")
-    return found.select(F.posexplode(F.concat("path", F.array("id"))).alias("hop", "id")).orderBy("hop")
+    arcs = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v")
+
+    def beside(front: DataFrame, n: int) -> DataFrame:
+        near = sized(front.select(F.col("id").alias("u")), n, 100)
+        return arcs.join(near, "u").select(F.col("v").alias("id")).distinct()
+
+    sides = [[(spark.createDataFrame([(x,)], "id string"), 1)] for x in (start, end)]
+    met = sides[0][0] if start == end else None
+    while met is None:
+        if sum(map(len, sides)) - 2 >= depth:
+            return none
+        own = min(sides, key=lambda s: s[-1][1])
+        other = sides[1] if own is sides[0] else sides[0]
+        # An undirected edge leads at most one level back.
+        seen = reduce(DataFrame.unionByName, [f for f, _ in own[-2:]])
+        front = materialize(beside(*own[-1]).join(seen, "id", "left_anti"))
+        n = front.count()
+        if not n:
+            return none
+        own.append((front, n))
+        common = materialize(front.join(other[-1][0], "id", "left_semi"))
+        met = (common, k) if (k := common.count()) else None
+    # The nodes on shortest paths: from where the sides meet back to the start, and all of the other side's levels.
+    on = [met]
+    for level, n in reversed(sides[0][1:-1]):
+        before = materialize(sized(level, n, 100).join(beside(*on[0]), "id", "left_semi"))
+        on.insert(0, (before, before.count()))
+    on = (on if len(sides[0]) > 1 else []) + sides[1][-2::-1] if start != end else []
+    path = [start]
+    for level, _ in on:
+        step = arcs.filter(F.col("u") == path[-1]).select(F.col("v").alias("id")).distinct()
+        path.append(step.join(level, "id", "left_semi").agg(F.min("id")).first()[0])
+    return spark.createDataFrame(list(enumerate(path)), "hop int, id string").orderBy("hop")
 
 
 def cycles(edges: DataFrame, limit: int | None = 20) -> DataFrame:
