@@ -132,11 +132,14 @@ def cycles(edges: DataFrame, limit: int | None = 20) -> DataFrame:
     connected components cannot lie on a cycle and are left out first. Cycles are found by rising size, up to the
     first size at which there are ``limit``.
     """
-    e = edges.filter(F.col("kind").isin(*schema.CYCLE)).groupBy(F.col("source_id").alias("u"), F.col("target_id").alias("v")).agg(F.min("kind").alias("kind"))
-    e = materialize(e)
-    scc = components(e.select("u", "v"))
-    inside = e.join(scc.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u").join(scc.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v").filter("cu = cv")
-    inside = materialize(inside.select("u", "v", "kind"))
+    e = edges.filter(F.col("kind").isin(*schema.CYCLE)).select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), "kind")
+    scc = members(e.select("u", "v"))
+    inside = e.filter("u = v")
+    if scc is not None:
+        scc, n = (scc := materialize(scc)), scc.count()
+        near = [sized(scc.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")), n, 200) for x in "uv"]
+        inside = inside.unionByName(e.filter("u <> v").join(near[0], "u").join(near[1], "v").filter("cu = cv").select("u", "v", "kind"))
+    inside = materialize(inside.groupBy("u", "v").agg(F.min("kind").alias("kind")))
     closing = materialize(inside.filter("v <= u").select(F.col("v").alias("root"), F.col("u").alias("at"), "kind"))
     front = materialize(closing.select("root").distinct().select("root", F.col("root").alias("at"), F.array("root").alias("path")))
     seen, found, size = front.select("root", "at"), [], 1
@@ -159,10 +162,18 @@ def cycles(edges: DataFrame, limit: int | None = 20) -> DataFrame:
     return named.limit(limit) if limit is not None else named
 
 
+def _between(arcs: DataFrame) -> DataFrame:
+    """arcs whose ends both have arcs in and out. These nodes are counted first: where they are few, no arc moves."""
+    inner = materialize(arcs.select(F.col("u").alias("id")).distinct().join(arcs.select(F.col("v").alias("id")).distinct(), "id", "left_semi"))
+    n = inner.count()
+    near = [sized(inner.select(F.col("id").alias(x)), n, 100) for x in "uv"]
+    return arcs.join(near[0], "u", "left_semi").join(near[1], "v", "left_semi").select("u", "v")
+
+
 def _trimmed(arcs: DataFrame, size: int, rounds: int) -> tuple[DataFrame, int]:
     """arcs without nodes that lack an arc in or out, which lie on no cycle; at most ``rounds`` layers of them."""
     for _ in range(rounds):
-        kept = materialize(arcs.join(arcs.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(arcs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
+        kept = materialize(_between(arcs))
         after = kept.count()
         if after == size:
             return arcs, size
@@ -208,14 +219,22 @@ def _contracted(arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | Non
 
 
 def components(arcs: DataFrame) -> DataFrame:
-    """Strongly connected components of (u, v): id and component, the component's least id.
+    """Strongly connected components of (u, v): id and component, the component's least id."""
+    nodes = arcs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    named = members(arcs)
+    if named is None:
+        return nodes.select("id", F.col("id").alias("component"))
+    return nodes.join(named, "id", "left").select("id", F.coalesce("c", "id").alias("component"))
+
 
-    Layers without arcs in or out are trimmed and chains contracted in turn, as long as that takes a tenth of the arcs.
+def members(arcs: DataFrame) -> DataFrame | None:
+    """id and c, the least id of its component, for every node in a component of several and maybe some others; None if there are none.
+
+    Nodes without arcs in or out are left out before arcs are made distinct. Layers without arcs in or out are trimmed and chains contracted in turn, as long as that takes a tenth of the arcs.
     On what is left: the least id that reaches a node colours it; a colour's component is what its root reaches against
     the arcs within the colour; repeat on the rest. Rounds grow with the distances in the contracted graph.
     """
-    nodes = arcs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    left = materialize(arcs.filter("u <> v").distinct())
+    left = materialize(_between(arcs.filter("u <> v")).distinct())
     size = left.count()
     found: list[DataFrame] = []  # (id, c): members of components
     chains: list[DataFrame] = []
@@ -252,8 +271,8 @@ def components(arcs: DataFrame) -> DataFrame:
         left = materialize(left.join(gone.select(F.col("id").alias("u")), "u", "left_anti").join(gone.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v"))
         left, size = _trimmed(left, left.count(), 4)
     if not found and not chains:
-        return nodes.select("id", F.col("id").alias("component"))
-    named = reduce(DataFrame.unionByName, found) if found else nodes.limit(0).select("id", F.col("id").alias("c"))
+        return None
+    named = reduce(DataFrame.unionByName, found) if found else chains[0].limit(0).select("id", F.col("p").alias("c"))
     # The nodes of a chain belong to its ends' component if that is one: chains made last are undone first.
     for chain in reversed(chains):
         own = materialize(named)
@@ -261,12 +280,14 @@ def components(arcs: DataFrame) -> DataFrame:
         both = chain.join(p, "p", "left").join(v, "v", "left").filter("p = v or cp = cv").select("id", F.coalesce("cp", "p").alias("c"), "p", "cp")
         named = own.unionByName(both.select("id", "c")).unionByName(both.filter("cp is null").select(F.col("p").alias("id"), "c").distinct())
     least = named.groupBy("c").agg(F.min("id").alias("least"))
-    named = named.join(least, "c").select("id", F.col("least").alias("c"))
-    return nodes.join(named, "id", "left").select("id", F.coalesce("c", "id").alias("component"))
+    return named.join(least, "c").select("id", F.col("least").alias("c"))
 
 
 def scc_members(edges: DataFrame) -> DataFrame:
     """id, component and size of the components of several symbols, over the cycle kinds."""
-    c = components(edges.filter(F.col("kind").isin(*schema.CYCLE)).select(F.col("source_id").alias("u"), F.col("target_id").alias("v")))
+    c = members(edges.filter(F.col("kind").isin(*schema.CYCLE)).select(F.col("source_id").alias("u"), F.col("target_id").alias("v")))
+    if c is None:
+        return edges.sparkSession.createDataFrame([], "id string, component string, size long")
+    c = c.select("id", F.col("c").alias("component"))
     n = c.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
     return c.join(n, "component").select("id", "component", "size")
