@@ -7,6 +7,11 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.steps import BROADCAST_BYTES, materialize
+
+#: A key's width in a broadcast.
+KEY_BYTES = 64
+
 _SHARED = """a about all an and are as at be been being both but by can class could dare did do does each few for from function
 get had has have he i if in is it its just may me might more most must my need new no not of on only or other our out own same set
 shall she should so some such than that the these they this those to too up very was we were will with would you your""".split()
@@ -33,8 +38,23 @@ def index_tokens(text: Column) -> Column:
 def merged(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     """key and the fields: one row for each key; the texts of a repeated one are joined by blanks, which part tokens.
 
-    A window and not an aggregate: texts are sorted by key once, after they have moved, and held for one key at a time.
+    Repeated keys are counted first, from the keys alone: a text moves only if its key is repeated, all others stay in
+    the row they are in, where a task needs no memory for them. Nulls are one key.
     """
+    again = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_key"))
+    n = again.count()
+    single = rows.select(key, *[F.coalesce(f, F.lit("")).alias(f) for f in fields])
+    if not n:
+        return single
+    if n * KEY_BYTES > BROADCAST_BYTES:
+        return _joined(rows, key, fields)
+    again = F.broadcast(materialize(again))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return single.join(again, same, "left_anti").unionByName(_joined(rows.join(again, same, "left_semi"), key, fields))
+
+
+def _joined(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """A window and not an aggregate: texts are sorted by key once, after they have moved, and held for one key at a time."""
     same = Window.partitionBy(key)
     lists = rows.select(key, *[F.array_join(F.collect_list(f).over(same), " ").alias(f) for f in fields], F.row_number().over(same.orderBy(key)).alias("_no"))
     return lists.filter("_no = 1").drop("_no")

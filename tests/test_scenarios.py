@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph import schema
+from lodegraph.functions import text
 from lodegraph.operators import analysis, graph, lookup, resolve, search, semantic
 from lodegraph.sources import store
 
@@ -279,6 +280,20 @@ def test_tokens_are_counted_within_a_row(spark):
     assert {tuple(r) for r in search.build_postings(rows, fields).collect()} == {("a", "red", 3, 5), ("a", "bluegreen", 1, 5), ("a", "x", 1, 5), ("b", "two", 2, 3), ("b", "one", 1, 3), (None, "red", 1, 1)}
 
 
+def test_texts_of_single_keys_stay_in_their_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "Red red", None), ("b", "", "two two one"), (None, "red", None), ("c", None, None)], "id string, name string, docstring string")
+    fields = ("name", "docstring")
+    for df in (semantic.token_counts(rows, fields), search.build_postings(rows, fields)):
+        assert "Exchange" not in _plan(df) and "Sort" not in _plan(df)  # a task would hold the texts that it sorts
+    tokens = semantic.vocabulary(rows, fields)
+    assert "Window" not in _plan(tokens) and {tuple(r) for r in tokens.collect()} == {("red", 2), ("two", 1), ("one", 1)}
+    twice = rows.unionByName(rows.filter("id is null or id = 'b'"))
+    want = [("a", "Red red", ""), ("b", " ", "two two one two two one"), ("c", "", ""), (None, "red red", "")]
+    for width in (text.KEY_BYTES, 1 << 40):  # few repeated keys; more than a broadcast takes
+        monkeypatch.setattr(text, "KEY_BYTES", width)
+        assert sorted(map(tuple, text.merged(twice, "id", fields).collect()), key=str) == sorted(want, key=str)
+
+
 def test_edges_are_made_distinct_by_keys():
     from lodegraph.sources import fixtures
 
