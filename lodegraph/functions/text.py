@@ -95,7 +95,9 @@ _MARKS = "[\\u0300-\\u036f]"
 
 def fts_tokens(text: Column) -> Column:
     """Tokens for keyword search, repeats kept: runs of letters and digits, lower case, without diacritics."""
-    folded = F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _MARKS, ""), _ACCENTED, _PLAIN)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    # Folding looks up each letter; text of one byte a letter has none to fold.
+    folded = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(F.regexp_replace(low, _MARKS, ""), _ACCENTED, _PLAIN))
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
 
 

@@ -62,10 +62,11 @@ def bm25(postings: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(need), "query").filter("got = need").select("query", "id", "score")
 
 
-def gain() -> Column:
+def gain(f: Column | None = None, n_i: Column | None = None) -> Column:
     """A term's part of the score, from f, size, n_i, n_all and all_tokens."""
-    idf = F.log((F.col("n_all") - F.col("n_i") + 0.5) / (F.col("n_i") + 0.5))
-    return F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("size") / (F.col("all_tokens") / F.col("n_all"))))
+    f, n_i = F.col("f") if f is None else f, F.col("n_i") if n_i is None else n_i
+    idf = F.log((F.col("n_all") - n_i + 0.5) / (n_i + 0.5))
+    return F.when(idf <= 0, 1e-6).otherwise(idf) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("size") / (F.col("all_tokens") / F.col("n_all"))))
 
 
 def term_frame(symbols: DataFrame, queries: list[str]) -> DataFrame:

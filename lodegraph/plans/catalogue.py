@@ -533,9 +533,9 @@ _RESOLVED = rf"""WITH {SUPPLY}, sized AS (SELECT id, list_filter(string_split_re
 def reference_resolution(s, d):  # noqa: ANN001, ANN201
     """Every distinct part name as a reference from each supplier that ships such a part, resolved among the supply symbols."""
     parts = fx.table(s, d, "part").select("p_partkey", "p_name")
-    ships = fx.table(s, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    refs = ships.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("s:"), "l_suppkey").alias("from_node_id"), F.col("p_name").alias("ref_name")).distinct()
-    own = fx.supply_symbols(s, d).select(F.col("id").alias("from_node_id"), "file_path")
+    ships = fx.table(s, d, "lineitem").select("l_suppkey", "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_name").distinct()
+    refs = ships.select(F.concat(F.lit("s:"), "l_suppkey").alias("from_node_id"), F.col("p_name").alias("ref_name"))
+    own = fx.supply_symbols(s, d).filter(F.col("id").startswith("s:")).select(F.col("id").alias("from_node_id"), "file_path")
     return resolve.resolve(refs.join(own, "from_node_id").withColumn("ref_kind", F.lit("imports")), fx.supply_symbols(s, d))
 
 

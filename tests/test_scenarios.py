@@ -265,6 +265,16 @@ def test_bm25_of_many_names_equals_single_searches(spark):
     assert sorted((r["query"], r["id"], round(r["score"], 9)) for r in many.collect()) == sorted((r["query"], r["id"], round(r["score"], 9)) for r in one.collect())
 
 
+def test_references_are_rated_once_for_each_place(spark):
+    s = symbols(spark, ("near", {"name": "helper", "file_path": "src/a/x.ts"}), ("far", {"name": "helper", "file_path": "lib/y.ts"}), ("me", {"name": "caller", "file_path": "src/a/z.ts"}), ("red", {"name": "red red", "file_path": "lib/r.ts"}))
+    refs = [("me", "helper", "calls", "src/a/z.ts"), ("other", "helper", "calls", "src/a/z.ts"), ("near", "helper", "calls", "src/a/x.ts"), ("up", "helper", "calls", None), ("up", "helper", "imports", "lib/q.ts"), ("me", "red red", "calls", "lib/q.ts"), ("me", "red none", "calls", "lib/q.ts"), ("me", "", "calls", "lib/q.ts")]
+    got = resolve.resolve(spark.createDataFrame(refs, schema.REFS), s)
+    assert "Window" not in _plan(got)  # the references themselves are only joined to the ratings of their places
+    want = {("me", "near", "calls"), ("other", "near", "calls"), ("up", "far", "calls"), ("up", "far", "imports"), ("me", "red", "calls")}
+    rows = [(r["source_id"], r["target_id"], r["kind"]) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
