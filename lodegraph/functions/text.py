@@ -35,19 +35,22 @@ def index_tokens(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & (F.length(w) < 40) & ~w.isin(*sorted(INDEX_STOP_WORDS)))
 
 
-def merged(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+def merged(rows: DataFrame, key: str, fields: tuple[str, ...], nulls: bool = True) -> DataFrame:
     """key and the fields: one row for each key; the texts of a repeated one are joined by blanks, which part tokens.
 
     Repeated keys are counted first, from the keys alone: a text moves only if its key is repeated, all others stay in
-    the row they are in, where a task needs no memory for them. Nulls are one key.
+    the row they are in, where a task needs no memory for them. Nulls are one key, or, without ``nulls``, none: their
+    rows stay as they are.
     """
-    again = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_key"))
+    named = rows if nulls else rows.filter(F.col(key).isNotNull())
+    again = named.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_key"))
     n = again.count()
     single = rows.select(key, *[F.coalesce(f, F.lit("")).alias(f) for f in fields])
     if not n:
         return single
     if n * KEY_BYTES > BROADCAST_BYTES:
-        return _joined(rows, key, fields)
+        joined = _joined(named, key, fields)
+        return joined if nulls else joined.unionByName(single.filter(F.col(key).isNull()))
     again = F.broadcast(materialize(again))
     same = F.col(key).eqNullSafe(F.col("_key"))
     return single.join(again, same, "left_anti").unionByName(_joined(rows.join(again, same, "left_semi"), key, fields))

@@ -292,10 +292,10 @@ def _tokens_sql(text: str) -> str:
 
 @query("tokenize", f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_tokens_sql('text')}) AS token FROM documents) AS x GROUP BY token")
 def tokenize(s, d):  # noqa: ANN001, ANN201
-    # Texts move once, by document, and are counted within a row; then only distinct tokens of each part move.
-    docs = merged(fx.table(s, d, "documents").select("doc_id", "text"), "doc_id", ("text",))
-    rows = counted(docs.select(index_tokens(F.col("text")).alias("t")), "t").select(F.explode_outer("entries").alias("e")).filter("e is not null")
-    return rows.groupBy("e.token").agg(F.sum("e.n").alias("n"), F.count("*").alias("docs"))
+    # Texts are counted within a row; then only distinct tokens of each part move. Rows without an id count as no document.
+    docs = merged(fx.table(s, d, "documents").select("doc_id", "text"), "doc_id", ("text",), nulls=False)
+    rows = counted(docs.select("doc_id", index_tokens(F.col("text")).alias("t")), "t").select("doc_id", F.explode_outer("entries").alias("e")).filter("e is not null")
+    return rows.groupBy("e.token").agg(F.sum("e.n").alias("n"), F.count("doc_id").alias("docs"))
 
 
 _COUNTED = f"""counted AS (SELECT node_id, source, token, count(*) AS n FROM (

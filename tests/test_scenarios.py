@@ -304,6 +304,24 @@ def test_texts_of_single_keys_stay_in_their_rows(spark, monkeypatch):
         assert sorted(map(tuple, text.merged(twice, "id", fields).collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("width", [text.KEY_BYTES, 1 << 40])  # few repeated keys; more than a broadcast takes
+def test_documents_without_an_id_are_not_counted_and_not_joined(spark, tmp_path, monkeypatch, width):
+    import duckdb
+
+    from lodegraph.plans import catalogue
+
+    monkeypatch.setattr(text, "KEY_BYTES", width)
+    docs = [(1, "red red blue"), (2, "red"), (2, "red two"), (3, None), (None, "red green"), (None, "green green"), (None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["tokenize"](spark, str(tmp_path)).select("token", "n", "docs").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(f"SELECT token, n, docs FROM ({catalogue.ORACLES['tokenize']})").fetchall())
+    assert got == {("red", 5, 2), ("blue", 1, 1), ("two", 1, 1), ("green", 3, 0)}
+    apart = text.merged(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", ("text",), nulls=False)
+    assert sorted(r["text"] for r in apart.filter("doc_id is null").collect()) == ["", "green green", "red green"]
+
+
 def test_edges_are_made_distinct_by_keys():
     from lodegraph.sources import fixtures
 
