@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import counted, fts_terms, fts_tokens, merged
-from ..plans.steps import materialize
+from ..functions.text import KEY_BYTES, counted, fts_terms, fts_tokens, merged
+from ..plans.steps import materialize, sized
 
 FIELDS = ("name", "qualified_name", "signature", "docstring")
 LIMIT = 20
@@ -78,15 +78,19 @@ def term_frame(symbols: DataFrame, queries: list[str]) -> DataFrame:
 def search(symbols: DataFrame, query: str, kind: str | None = None, limit: int = LIMIT, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The best symbols for a query, with score; a query without any letter or digit searches names for it as it is.
 
-    index: postings and their statistics, where they are stored.
+    index: postings and their statistics, where they are stored. Symbols are fetched after the cut: texts are neither
+    moved nor sorted, and ids are only where hits must be told from those of other kinds, or of a stored index.
     """
     rows = symbols.filter(F.col("kind") == kind) if kind else symbols
     if not fts_terms(query):
         return name_like(rows, query, limit)
     postings, stats = index or built(symbols)
-    ranked = bm25(naming(postings, [query]), term_frame(symbols, [query]), stats)
-    hits = rows.join(ranked.select("id", "score"), "id")
-    return hits.orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
+    hits = bm25(naming(postings, [query]), term_frame(symbols, [query]), stats).filter("id is not null").select("id", "score")
+    if kind or index:
+        hits = hits.join(rows.select("id"), "id", "left_semi")
+    order = F.desc(F.round("score", 9)), "id"
+    top = hits.orderBy(*order).limit(limit)  # each has a row or, where an id is repeated, more
+    return rows.join(sized(top, limit, KEY_BYTES), "id").orderBy(*order).limit(limit)
 
 
 def built(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:

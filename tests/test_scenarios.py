@@ -56,6 +56,25 @@ def test_search_folds_accents(spark):
     assert {"αλφα", "иод"} <= tokens
 
 
+def test_a_search_fetches_symbols_after_the_cut(spark):
+    s = symbols(spark, *[(f"s{i}", {"docstring": "shared " * (i % 4 + 1), "kind": "class" if i % 2 else "function"}) for i in range(12)])
+    s = s.unionByName(s.filter("id = 's7'")).unionByName(s.filter("id = 's1'").withColumn("id", F.lit(None).cast("string"))).repartition(3)
+    index = search.built(s)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if no side were small
+    try:
+        for kind, stored in ((None, None), ("class", index)):
+            rows = s.filter(F.col("kind") == kind) if kind else s
+            ranked = search.bm25(search.naming(index[0], ["shared"]), search.term_frame(s, ["shared"]), index[1])
+            every = [(r["id"], r["docstring"], round(r["score"], 9)) for r in rows.join(ranked, "id").collect()]
+            for limit in (3, 20):
+                found = search.search(s, "shared", kind, limit, stored)
+                assert [(r["id"], r["docstring"], round(r["score"], 9)) for r in found.collect()] == sorted(every, key=lambda r: (-r[2], r[0]))[:limit]
+            assert found.columns == [*s.columns, "score"]
+            assert "BroadcastHashJoin [id" in _plan(found) and ("LeftSemi" in _plan(found)) == bool(kind or stored)  # rows aren't sorted to meet the hits
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_search_reads_the_tokens_it_names(spark, tmp_path):
     s = symbols(spark, *[(f"s{i}", {"docstring": f"word{i} shared"}) for i in range(20)])
     kept = store.Store(spark, f"file://{tmp_path}/store")
